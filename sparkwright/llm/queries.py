@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .content_dedup import exact_dedup
+from .gif_media import text_media
 from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import balanced_shards
 
 
@@ -14,6 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that the packing contract names; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
+
+
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_shards(_table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -29,6 +46,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_gif_media": op4_gif_media,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
