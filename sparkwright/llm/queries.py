@@ -10,6 +10,7 @@ from .gif_media import text_media
 from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import balanced_shards
+from .simhash import simhash_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"), radius=4, size=4)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_shards(_table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,6 +53,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_gif_media": op4_gif_media,
+    "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
