@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .content_dedup import exact_dedup
 from .gif_media import text_media
+from .html_text import extract_text
 from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import balanced_shards
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     """The public tokenizer that the packing contract names; operators take the path as a parameter."""
     import public_tokenizers
@@ -51,6 +56,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
     "op4_gif_media": op4_gif_media,
     "op5_simhash": op5_simhash,
