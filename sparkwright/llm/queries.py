@@ -10,6 +10,7 @@ from .gif_media import text_media
 from .html_text import extract_text
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import digests, find_personal_data
 from .sharding import balanced_shards
 from .simhash import simhash_components
 
@@ -55,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
