@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .pii import digests, find_personal_data
 from .sharding import balanced_shards
 from .simhash import simhash_components
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(_table(spark, sf_dir, "documents")))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 
