@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .content_dedup import exact_dedup
 from .gif_media import text_media
 from .html_text import extract_text
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import digests, find_personal_data
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"), similarity=0.8).select("doc_id", "n_lines", "n_dropped", "clean_text")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
     "op4_gif_media": op4_gif_media,
