@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import encoders  # noqa: F401
+from .plans import encoders, metrics, vectors  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -62,7 +62,8 @@ def block_pairs(df: DataFrame, key: str, vector: str, size: int = 1024, extra: t
     placed = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), *extra, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = placed.withColumn("other", every).withColumnRenamed("own", "a").withColumnRenamed("other", "b")
-    right = placed.withColumn("other", every).withColumnRenamed("own", "b").withColumnRenamed("other", "a")
+    # columns of its own, which a cogroup of a frame with itself needs
+    right = placed.withColumn("other", every).select(F.col("other").alias("a"), F.col("own").alias("b"), *[F.col(c).alias(c) for c in ("key", "vector", *extra)])
     return left.groupBy("a", "b"), right.groupBy("a", "b")
 
 
