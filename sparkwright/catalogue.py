@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import encoders, labels, metrics, sequences, vectors  # noqa: F401
+from .plans import encoders, labels, metrics, models, sequences, vectors  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
