@@ -36,7 +36,7 @@ def token_offsets(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts that end in . ! or ? and white space; trimmed, without empty ones."""
     parts = F.split(F.trim(text), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def slug(text: Column, default: str = "item") -> Column:
@@ -50,24 +50,18 @@ def sha256(value: Column) -> Column:
 
 class _Text(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=False)
+        super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
 
     def handle_data(self, data):
         self.parts.append(data)
 
-    def handle_entityref(self, name):
-        self.parts.append(f"&{name};")
-
-    def handle_charref(self, name):
-        self.parts.append(f"&#{name};")
-
 
 def _strip(value: str) -> str:
     """References resolved and tags removed, again and again until nothing changes."""
     while True:
         parser = _Text()
-        parser.feed(html.unescape(value))
+        parser.feed(html.unescape(value).replace("&", "&amp;"))  # what is still an ampersand now is one
         parser.close()
         plain = "".join(parser.parts)
         if plain == value:

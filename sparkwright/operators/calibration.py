@@ -101,7 +101,7 @@ def monotone_slopes(knots: list[tuple[float, float]]) -> list[float]:
             m[i] = m[i + 1] = 0.0
             continue
         a, b = m[i] / s, m[i + 1] / s
-        if (size := a * a + b * b) > 3:
+        if (size := a * a + b * b) > 9:
             m[i], m[i + 1] = 3 / np.sqrt(size) * a * s, 3 / np.sqrt(size) * b * s
     return m.tolist()
 

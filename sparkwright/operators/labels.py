@@ -120,7 +120,7 @@ def parse_label_cell(cell: Column) -> Column:
     schema = "struct<value:string,confidence:double>"
     js = F.from_json(cell, schema)
     text = F.when(F.startswith(F.trim(cell), F.lit("{")), js["value"]).otherwise(cell)
-    inner = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.transform(F.split(text, r"\|"), F.trim))
+    inner = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)))
     values = F.filter(inner, lambda x: x != "")
     return F.when(cell.isNotNull(), F.struct(values.alias("values"), F.when(F.startswith(F.trim(cell), F.lit("{")), js["confidence"]).alias("confidence")))
 
