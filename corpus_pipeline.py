@@ -15,7 +15,7 @@ from sparkwright.llm.content_dedup import exact_dedup
 from sparkwright.llm.mixing import mix_sources
 from sparkwright.llm.packing import pack_documents
 from sparkwright.llm.queries import tokenizer_path
-from sparkwright.llm.shared import materialise, release, shared_folder
+from sparkwright.llm.shared import mark, materialise, release, shared_folder
 from sparkwright.llm.simhash import simhash_components
 from sparkwright.llm.toxicity import score_toxicity
 
@@ -31,9 +31,13 @@ def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return out.join(again, twice, "left_anti").unionByName(out.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
 
 
+#: Tables written before the first stage belong to others; each later stage removes those of the stages before it.
+_first = [0]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go."""
-    release(spark)
+    _first[0] = mark()
     scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = materialise(scores.filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct(), "toxic")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
@@ -41,20 +45,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    release(spark)
+    release(spark, _first[0])
     return _rows_of(docs, exact_dedup(docs).filter("kept").select("doc_id").distinct())
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id stays."""
-    release(spark)
+    release(spark, _first[0])
     found = simhash_components(docs, radius=4, size=4)
     return _rows_of(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to twice, so that the sources' words come near their targets."""
-    release(spark)
+    release(spark, _first[0])
     plan = mix_sources(docs, weights=(5.0, 2.0, 1.0), share=1.5, repeats=2).filter("copies > 0")
     plan = materialise(plan.select(F.col("doc_id").alias("_id"), "copies").distinct(), "mix-plan")
     taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -63,7 +67,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 4096 ids."""
-    release(spark)
+    release(spark, _first[0])
     return pack_documents(docs, tokenizer_path(), capacity=4096)
 
 

@@ -38,9 +38,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables that materialise() has written. Only for callers whose results are already stored."""
-    while _written:
+def mark() -> int:
+    """How many tables materialise() has written so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables that materialise() has written since mark(). Only for callers whose results are already stored."""
+    while len(_written) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
