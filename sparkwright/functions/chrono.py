@@ -66,3 +66,11 @@ def to_timestamp(text: Column) -> Column:
     """The first of the usual formats that fits, else null."""
     formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "yyyy/MM/dd"]
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+#: How many parts a whole has, to turn a share of a cycle into its unit again.
+PARTS = {("minute", "hour"): 60.0, ("hour", "day"): 24.0, ("day", "week"): 7.0, ("day", "month"): 30.437, ("day", "year"): 365.25, ("week", "month"): 4.345, ("week", "year"): 52.1775, ("month", "year"): 12.0}
+
+
+def cycle_value(share: Column, part: str, whole: str) -> Column:
+    return share * F.lit(PARTS[part, whole])

@@ -232,3 +232,33 @@ def bin_frequencies(size: int, rate: float) -> Column:
 def ball_log_volume(dimensions: int, log_radius: Column) -> Column:
     """Logarithm of the volume of a ball."""
     return dimensions * log_radius + F.lit(dimensions / 2 * math.log(math.pi) - math.lgamma(dimensions / 2 + 1))
+
+
+def log_sum_exp(v: Column) -> Column:
+    top = F.array_max(v)
+    return top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
+
+
+def attention_softmax(v: Column, allowed: Column) -> Column:
+    """Masked softmax whose rows without an allowed place are all zero."""
+    return F.when(F.exists(allowed, lambda m: m), masked_softmax(v, allowed)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+
+
+def softmax_slope(p: Column, upstream: Column) -> Column:
+    """Gradient through a softmax with output p: p (u - sum p u)."""
+    inner = dot(p, upstream)
+    return F.zip_with(p, upstream, lambda a, u: a * (u - inner))
+
+
+def soft_bound(x: Column, bound: float) -> Column:
+    return bound * F.tanh(x / bound)
+
+
+def position_angles(position: Column, width: int, base: float = 10_000.0) -> Column:
+    """position times each frequency of a rotary or sinusoidal code of the given width."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width // 2 - 1)), lambda k: position * F.pow(F.lit(base), -2.0 * k / width))
+
+
+def gather(values: Column, mask: Column) -> Column:
+    """The items where the mask holds, in order."""
+    return F.transform(F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda z: z["m"]), lambda z: z["v"])

@@ -145,3 +145,40 @@ def candidates(df: DataFrame, key: str, seed: str, count: int, shards: int = 1)
     asked = ring.withColumn("place", steps).withColumn("at", (F.col("at") + F.col("place")) % F.col("size"))
     found = ring.select("shard", "at", F.col(key).alias("candidate"))
     return asked.join(found, ["shard", "at"]).select(key, "place", "candidate")
+
+
+def is_confidence(c: Column) -> Column:
+    """A number from 0 to 1; null and NaN are none."""
+    return F.coalesce(c.isNotNull() & ~F.isnan(c) & c.between(0, 1), F.lit(False))
+
+
+def label_problems(values: Column, confidence: Column, labels: list[str], multi: bool) -> Column:
+    """array<string> of what is wrong with a label: none, too many, unknown or repeated ones, a bad confidence."""
+    known = F.array(*[F.lit(x) for x in labels])
+    checks = [
+        F.when(values.isNull() | (F.size(values) == 0), F.lit("no label")),
+        F.when(F.size(values) > 1, F.lit("several labels")) if not multi else F.lit(None).cast("string"),
+        F.when(F.size(F.array_except(values, known)) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(F.array_except(values, known)), " "))),
+        F.when(F.size(F.array_distinct(values)) < F.size(values), F.lit("repeated label")),
+        F.when(~is_confidence(confidence), F.lit("confidence")),
+    ]
+    return F.array_compact(F.array(*checks))
+
+
+def labelled_for(current: DataFrame, samples: DataFrame, task: str, key: str = "sample_id") -> DataFrame:
+    """Current labels of one task, of samples in the dataset only."""
+    return current.filter(F.col("task_id") == task).join(samples.select(key), key, "left_semi")
+
+
+def needs_work(samples: DataFrame, current: DataFrame, drafts: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Samples without a current label, or with a draft."""
+    done = current.select(key).join(drafts.select(key), key, "left_anti").distinct()
+    return samples.join(done, key, "left_anti")
+
+
+def score_frame(samples: DataFrame, tasks: list[str], predictions: DataFrame, current: DataFrame, key: str = "sample_id") -> DataFrame:
+    """A row for each sample and task: score (null without a prediction) and whether it is labelled. Tasks are a short literal list."""
+    every = samples.select(key, F.explode(F.array(*[F.lit(t) for t in tasks])).alias("task_id"))
+    keys = [key, "task_id"]
+    marked = current.select(*keys).distinct().withColumn("labelled", F.lit(True))
+    return every.join(predictions.select(*keys, "score"), keys, "left").join(marked, keys, "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))

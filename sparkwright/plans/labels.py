@@ -154,3 +154,31 @@ def stream_daily(spark, sf_dir):
     from ..streaming.label_state import daily_counts
 
     return daily_counts(spark, _stream(spark, sf_dir), "ts", "event_type")
+
+
+@query("""select doc_id, case when toxic = 1 then 'several labels' when quality = 0 then 'unknown: bad' else '' end as problems from labels""")
+def label_problems(spark, sf_dir):
+    l = table(spark, sf_dir, "labels")
+    values = F.when(F.col("toxic") == 1, F.array(F.lit("good"), F.lit("fine"))).when(F.col("quality") == 0, F.array(F.lit("bad"))).otherwise(F.array(F.lit("good")))
+    return l.select("doc_id", F.array_join(L.label_problems(values, F.lit(0.5), ["good", "fine"], multi=False), " ").alias("problems"))
+
+
+@query(LOG + ", u as (select distinct sample_id from log where cast(sample_id as bigint) % 2 = 0) select sample_id, seq from cur semi join u using (sample_id) where task_id = '1'")
+def labelled_for(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    samples = log.filter(F.col("sample_id").cast("long") % 2 == 0).select("sample_id").distinct()
+    return L.labelled_for(L.current_state(log), samples, "1").select("sample_id", "seq")
+
+
+@query(SCORES + ", sm as (select distinct sample_id from sc), tk as (select unnest(['t0', 't1', 't9']) as task_id) select sm.sample_id, tk.task_id, round(score, 6) + 0.0 as score, coalesce(score > 0.9, false) as labelled from sm cross join tk left join sc on sc.sample_id = sm.sample_id and sc.task_id = tk.task_id")
+def score_frame(spark, sf_dir):
+    sc = _scores(spark, sf_dir)
+    out = L.score_frame(sc.select("sample_id").distinct(), ["t0", "t1", "t9"], sc, sc.filter("score > 0.9"))
+    return out.select("sample_id", "task_id", rounded(F.col("score")).alias("score"), "labelled")
+
+
+@query(LOG + ", s as (select distinct sample_id from log), d as (select sample_id from log group by 1 having max(seq) % 2 = 0) select sample_id from s where sample_id not in (select sample_id from cur) or sample_id in (select sample_id from d)")
+def needs_work(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    drafts = log.groupBy("sample_id").agg(F.max("seq").alias("m")).filter("m % 2 = 0")
+    return L.needs_work(log.select("sample_id").distinct(), L.current_state(log), drafts)

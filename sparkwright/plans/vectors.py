@@ -213,3 +213,13 @@ def free_energy(spark, sf_dir):
     s = _slice(spark, sf_dir)
     first = F.get("v", F.lit(0))
     return s.select("vec_id", rounded(V.free_energy(F.col("v"), 0.7)).alias("energy"), rounded(V.decibels(first * first)).alias("level"))
+
+
+@query(SOFT + """, g as (select vec_id, p, v, list_inner_product(p, v) as inner_, list_transform(v, lambda x: x > 0) as m from q)
+select vec_id, round(ln(list_sum(list_transform(v, lambda x: exp(x)))), 6) + 0.0 as lse, round(p[1] * (v[1] - inner_), 6) + 0.0 as slope, round(2 * tanh(v[1] / 2), 6) + 0.0 as bounded, cast(len(list_filter(v, lambda x: x > 0)) as int) as kept,
+case when len(list_filter(v, lambda x: x > 0)) > 0 then 1.0::double else 0.0::double end as attention from g""")
+def attention_parts(spark, sf_dir):
+    s = _slice(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("m", F.transform("v", lambda x: x > 0))
+    v, first = F.col("v"), F.get("v", F.lit(0))
+    attention = F.round(V.total(V.attention_softmax(v, F.col("m"))), 6)
+    return s.select("vec_id", rounded(V.log_sum_exp(v)).alias("lse"), rounded(F.get(V.softmax_slope(F.col("p"), v), F.lit(0))).alias("slope"), rounded(V.soft_bound(first, 2.0)).alias("bounded"), F.size(V.gather(v, F.col("m"))).alias("kept"), attention.alias("attention"))
