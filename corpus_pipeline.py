@@ -21,8 +21,11 @@ from sparkwright.llm.toxicity import score_toxicity
 
 
 def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (which has each once): one row for an id, even where rows repeat it."""
-    kept = materialise(kept, "kept")
+    """The rows of docs whose doc_id is in kept (which has each once): one row for an id, even where rows repeat it.
+
+    Nearly every document has its id in kept, so the table grows with the input: a merge join at every size, never a broadcast.
+    """
+    kept = materialise(kept, "kept").hint("merge")
     out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     again = materialise(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
     if again.isEmpty():
@@ -60,7 +63,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to twice, so that the sources' words come near their targets."""
     release(spark, _first[0])
     plan = mix_sources(docs, weights=(5.0, 2.0, 1.0), share=1.5, repeats=2).filter("copies > 0")
-    plan = materialise(plan.select(F.col("doc_id").alias("_id"), "copies").distinct(), "mix-plan")
+    plan = materialise(plan.select(F.col("doc_id").alias("_id"), "copies").distinct(), "mix-plan").hint("merge")
     taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
