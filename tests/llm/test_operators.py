@@ -163,6 +163,7 @@ def test_word_tokens_equal_the_tokenizers(texts):
     encode = test_word_tokens_equal_the_tokenizers.__dict__.setdefault("encode", WordTokens(public_tokenizers.path("word_bpe_49k.json")))
     want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in encode(pa.array(texts, pa.string()))] == want
+    assert [x.tolist() for x in encode(pa.array(["some text before", *texts, "and behind"], pa.string()).slice(1, len(texts)))] == want
 
 
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
