@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -19,30 +21,67 @@ KNOWN_WORDS = 400_000  # remembered by a task, then forgotten; bounds memory, no
 SLICE = 2_000_000  # characters tokenised at a time in a task
 
 
+def _byte_letters() -> dict[int, str]:
+    """Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens:
     """Ids of texts for a tokenizer that drops white space: each distinct stretch without ASCII white space is encoded once.
 
-    No pattern of such a tokenizer reaches across white space, so the ids of a text are those of its stretches.
+    No pattern of such a tokenizer reaches across white space, so the ids of a text are those of its stretches. If the
+    tokenizer ignores case and splits letters from marks (tried on probes when it is loaded), case is folded and marks behind
+    a word are split off before, and plain words go to its vocabulary model directly, which leaves far fewer and cheaper stretches.
     """
 
+    MARKS = r"(\pL|\pN)([.,;:!?]+)(\s|$)"
+    SPECIAL = "<|"  # texts with special tokens keep their case
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        probes = ["the", "straße", "éàñ", "日本語", "thing"]
+        self.uncased = all(self._word(w) == ids(w) == ids(w.upper() if w != "straße" else w) == ids(w + ",")[: len(ids(w))] for w in probes) and ids("the.") == ids("the .")
+
+    def _word(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _learn(self, words: list[str]) -> None:
+        rest, known, letters, model = [], self.known, self.letters, self.tokenizer.model.tokenize
+        for w in words:
+            if not (self.uncased and w.isalpha() and w == w.lower()):
+                rest.append(w)
+            elif w.isascii():
+                known[w] = [t.id for t in model(w)]
+            elif unicodedata.is_normalized("NFC", w):
+                known[w] = [t.id for t in model(w.encode().decode("latin-1").translate(letters))]
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            known[w] = e.ids
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # whole: string functions err on slices
+        if self.uncased:
+            texts = pc.if_else(pc.match_substring(texts, self.SPECIAL), texts, pc.ascii_lower(texts))
+            texts = pc.replace_substring_regex(texts, self.MARKS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(texts)
         stretch = lists.flatten().dictionary_encode()
         vocabulary, index = stretch.dictionary.to_pylist(), stretch.indices.to_numpy(zero_copy_only=False)
         new = [w for w in vocabulary if w not in self.known]
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known, new = {}, vocabulary
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
+        self._learn(new)
         parts = [self.known[w] for w in vocabulary]
-        lens = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *parts])
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(lens.sum()))
         starts = np.r_[0, np.cumsum(lens)[:-1]] if len(lens) else lens
         n = lens[index]
         upto = np.r_[0, np.cumsum(n)]
