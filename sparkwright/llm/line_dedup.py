@@ -1,17 +1,23 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions only."""
+"""Fuzzy line dedup by MinHash. Shingles are hashed in numpy; all else is DataFrame functions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise, small, text_of
+from .shared import components, materialise, text_of
 
-SHINGLE = 12
-STRIDE = 8
-#: Each shingle starts at the start of a word, or at every 8th character of a longer one, and runs over 12 characters.
-ANCHORED = rf"(?=(.{{1,{SHINGLE}}}))\S{{1,{STRIDE}}}"
+#: A shingle runs over this many characters, or to the end of the line. With a stride of 1 one starts at every character;
+#: the sparse default starts them at words and every 8th character of a longer one.
+SHINGLE, STRIDE = 12, 8
+END = "\0" * (SHINGLE - 1)
 BANDS, ROWS = 8, 3
+CELLS = 64
+#: Characters hashed at once, so that the arrays stay in the cache.
+CHUNK = 1 << 16
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
 
 def normal_line(line: Column) -> Column:
@@ -23,71 +29,172 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.when(rough, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
-def shingles(line: Column) -> Column:
-    """The distinct character shingles of a normalised line. They overlap and cover every character."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M[1]
+    h = (h ^ (h >> np.uint64(29))) * _M[2]
+    return h ^ (h >> np.uint64(32))
 
 
-def _signature(bands: int, rows: int) -> list[Column]:
-    """Minima of the shingle hash under bands x rows orders: the hash xor a fixed mask orders all hashes anew."""
-    return [F.min(F.col("h").bitwiseXOR(F.xxhash64(F.lit(i), F.lit("order")))).alias(f"m{i}") for i in range(bands * rows)]
+def shingle_hashes(texts: list[str], stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): 64-bit hashes of each text's shingles, repeats included, and where each text's begin.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
-    """The pairs (u, v) whose lines' exact Jaccard similarity over all shingles is high enough."""
+    Texts are normalised and not empty. A stride over 1 keeps the shingles at word starts and every so many characters of a word.
+    """
+    chars = np.array([len(x) for x in texts], np.int64)
+    codes = np.frombuffer("".join(x + END for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    tails = (np.cumsum(chars + len(END))[:, None] - np.arange(1, SHINGLE)).ravel()
+    codes[tails] = 0x110000  # no character; the last shingles of a text end here
+    c = _mixed((codes + np.uint64(1)) * _M[0])
+    h2 = c[:-1] * _M[3] + c[1:]
+    h4 = h2[:-2] * _M[4] + h2[2:]
+    h8 = h4[:-4] * _M[5] + h4[4:]
+    h = _mixed(h8[:-4] * _M[0] + h4[8:])
+    begins = np.ones(len(codes), bool)
+    begins[tails] = False
+    sizes = chars
+    if stride > 1:
+        at = np.arange(len(codes))
+        blank = ~begins | (codes == 32)
+        begins = ~blank & ((at - np.maximum.accumulate(np.where(blank, at, -1)) - 1) % stride == 0)
+        sizes = np.add.reduceat(begins.astype(np.int64), np.cumsum(chars + len(END)) - chars - len(END))
+    return h[begins[: len(h)]], np.cumsum(sizes) - sizes
+
+
+def shingle_sets(texts: list[str], stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows): the distinct shingles of each text, sorted by row and hash."""
+    h, offsets = shingle_hashes(texts, stride)
+    rows = np.repeat(np.arange(len(texts)), np.diff(np.r_[offsets, len(h)]))
+    at = np.lexsort((h, rows))
+    h, rows = h[at], rows[at]
+    new = np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]
+    return h[new], rows[new]
+
+
+def _chunks(*columns: list):
+    """Slices of rows whose texts hold about CHUNK characters, or one longer row."""
+    begin = total = 0
+    for i in range(len(columns[0])):
+        total += sum(len(c[i]) for c in columns)
+        if total >= CHUNK or i == len(columns[0]) - 1:
+            yield slice(begin, i + 1)
+            begin, total = i + 1, 0
+
+
+def _signed(bands: int, rows: int, stride: int):
+    """line, text -> line and its bands: minima of the shingle hashes under bands x rows orders a * h + b."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
+    a |= np.uint32(1)
+
+    def sign(batches):
+        for batch in batches:
+            line, first = np.unique(batch.column("line").to_numpy(), return_index=True)
+            texts = batch.column("text").take(pa.array(first)).to_pylist()
+            keys = np.empty((bands, len(line)), np.uint64)
+            for part in _chunks(texts):
+                h, offsets = shingle_hashes(texts[part], stride)
+                h = (h >> np.uint64(32)).astype(np.uint32)
+                for band in range(bands):
+                    key = np.uint64(band + 1)
+                    for i in range(band * rows, band * rows + rows):
+                        key = _mixed((key + np.minimum.reduceat(h * a[i] + b[i], offsets).astype(np.uint64)) * _M[0])
+                    keys[band, part] = key
+            yield pa.RecordBatch.from_arrays([pa.array(line), *[pa.array(k.view(np.int64)) for k in keys]], names=["line", *[f"b{i}" for i in range(bands)]])
+
+    return sign
+
+
+def _celled(stride: int):
+    """line, text -> also n, the number of distinct shingles, and how many of them fall into each of CELLS cells."""
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            cells = np.zeros((len(texts), CELLS), np.int32)
+            for part in _chunks(texts):
+                h, rows = shingle_sets(texts[part], stride)
+                n = part.stop - part.start
+                cells[part] = np.bincount(rows * CELLS + (h % np.uint64(CELLS)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, CELLS, dtype=np.int32)), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("line"), batch.column("text"), pa.array(cells.sum(axis=1).astype(np.int32)), counts], names=["line", "text", "n", "cells"])
+
+    return count
+
+
+def _verifier(similarity: float, stride: int):
+    """u, v, a, b -> the pairs (u, v) whose texts' exact Jaccard similarity over all shingles is high enough."""
+
+    def verify(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            good = np.zeros(len(a), bool)
+            for part in _chunks(a, b):
+                n = part.stop - part.start
+                h, rows = shingle_sets(a[part] + b[part], stride)
+                total = np.bincount(rows % n, minlength=n)
+                rows = rows % n
+                at = np.lexsort((h, rows))
+                h, rows = h[at], rows[at]
+                both = np.bincount(rows[1:][(h[1:] == h[:-1]) & (rows[1:] == rows[:-1])], minlength=n)
+                good[part] = both >= similarity * (total - both)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in "uv"], names=["u", "v"])
+
+    return verify
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, stride: int, name: str) -> DataFrame:
     pairs = materialise(pairs, name)
-    a, b = (sets.select(F.col("line").alias(k), F.col("hs").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").filter(_similar(F.col("a"), F.col("b"), similarity)).select("u", "v")
+    a, b = (texts.select(F.col("line").alias(k), F.col("text").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verifier(similarity, stride), "u bigint, v bigint")
 
 
-def _similar(a: Column, b: Column, similarity: float, slack: int = 0) -> Column:
-    shared = F.size(F.array_intersect(a, b)) + slack
-    return shared >= similarity * (F.size(a) + F.size(b) - shared)
+def _may_be_similar(similarity: float) -> Column:
+    """No pair at or above the similarity fails this: lines share no more shingles than the smaller count of each cell, summed."""
+    most = F.aggregate(F.zip_with("cu", "cv", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
+    return (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv")) & (most >= similarity * (F.col("nu") + F.col("nv") - most))
 
 
-def line_classes(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines, classes). lines: id, pos, line (64-bit key of the normalised line) for each non-blank line; classes: node, root for lines with a link.
 
-    Equal lines share a key and are one node from here on. A node's signature is taken over its whole shingle set by exploding
-    and aggregating, so no task holds more than one partial signature for each line it reads. Lines that agree in a band meet
-    in a bucket. There each is verified against the bucket's smallest and largest node; after union-find, what is still in
-    different components of one bucket is compared pair by pair inside the join, which gives out similar pairs only.
+    Equal lines share a key and are one node from here on. A node's signature is taken over all of its shingles.
+    Lines that agree in a band meet in a bucket. There each is verified against the bucket's smallest and largest node; after
+    union-find, what is still in different components of one bucket is compared pair by pair: the join gives out the pairs that
+    counts of shingles by cell don't rule out, and these are verified on whole texts.
     No pair that the banding proposes is left unverified unless a chain of links has already joined it.
     With 8 bands of 3, a pair of similarity 0.8 meets with probability 0.997. Shingles are compared by their 64-bit hashes.
     """
     rows_ = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "raw"))
     rows_ = rows_.select("id", "pos", normal_line(F.col("raw")).alias("text")).filter("text <> ''")
     lines = materialise(rows_.select("id", "pos", F.xxhash64("text").alias("line")), "line-rows")
-    hashed = rows_.select(F.xxhash64("text").alias("line"), F.explode(F.regexp_extract_all("text", F.lit(ANCHORED), F.lit(1))).alias("s")).select("line", F.xxhash64("s").alias("h"))
-    signed = hashed.groupBy("line").agg(*_signature(bands, rows))
-    buckets = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    members = materialise(signed.select("line", F.explode(buckets).alias("bucket")), "line-bands")
+    keyed = rows_.select(F.xxhash64("text").alias("line"), "text")
+    keys = [f"b{i}" for i in range(bands)]
+    signed = keyed.mapInArrow(_signed(bands, rows, stride), "line bigint, " + ", ".join(f"{k} bigint" for k in keys))
+    signed = signed.groupBy("line").agg(*[F.min(k).alias(k) for k in keys])
+    members = materialise(signed.select("line", F.explode(F.array(*keys)).alias("bucket")), "line-bands")
     shared = members.groupBy("bucket").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high")
     meeting = materialise(members.join(materialise(shared, "line-buckets"), "bucket"), "line-members")
-    # the shingles of the lines that have a partner, once each
+    # the texts of the lines that have a partner, once each
     partners = materialise(meeting.select("line").distinct(), "line-partners")
-    sets = rows_.select(F.xxhash64("text").alias("line"), "text").join(partners, "line", "left_semi").dropDuplicates(["line"])
-    sets = materialise(sets.select("line", F.transform(shingles(F.col("text")), lambda x: F.xxhash64(x)).alias("hs")), "line-sets")
+    texts = keyed.join(partners, "line", "left_semi").dropDuplicates(["line"])
+    texts = materialise(texts.mapInArrow(_celled(stride), "line bigint, text string, n int, cells array<int>"), "line-texts")
     stars = F.explode(F.array("low", "high"))
     stars = meeting.select(F.col("line").alias("u"), stars.alias("v")).filter("u <> v").distinct()
-    edges = materialise(_verified(stars, sets, similarity, "line-stars"), "line-links")
+    edges = materialise(_verified(stars, texts, similarity, stride, "line-stars"), "line-links")
     found = components(edges, "line-classes")
     known = meeting.select("bucket", "line").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     known = materialise(known, "line-known")
     mixed = materialise(known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket"), "line-mixed")
-    # short hashes keep the rows small; one shingle of slack allows for two of a line that share one, and what passes is
-    # verified on the long ones
-    short = sets.select("line", F.transform("hs", lambda x: F.hash(x)).alias("k"))
-    open_ = materialise(known.join(mixed, "bucket").join(short, "line"), "line-open")
-    left, right = (open_.select("bucket", F.col("line").alias(c), F.col("root").alias("r" + c), F.col("k").alias("k" + c)) for c in "uv")
-    pairs = left.join(right, "bucket").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _similar(F.col("ku"), F.col("kv"), similarity, slack=1)).select("u", "v").distinct()
-    bridges = materialise(_verified(pairs, sets, similarity, "line-pairs"), "line-bridges")
+    open_ = materialise(known.join(mixed, "bucket").join(texts.select("line", "n", "cells"), "line"), "line-open")
+    left, right = (open_.select("bucket", F.col("line").alias(c), F.col("root").alias("r" + c), F.col("n").alias("n" + c), F.col("cells").alias("c" + c)) for c in "uv")
+    pairs = left.join(right, "bucket").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _may_be_similar(similarity)).select("u", "v").distinct()
+    bridges = materialise(_verified(pairs, texts, similarity, stride, "line-pairs"), "line-bridges")
     if bridges.isEmpty():
         return lines, found
     return lines, components(edges.union(bridges), "line-classes")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every input column and row, and n_lines, n_dropped, and clean_text: the text without lines that another one stands for.
 
     Of each component of similar lines the first one stays, by document id (nulls last) and place; blank lines stay. Lines are
@@ -95,7 +202,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     told apart by nothing, so their lines count as lines of one document and a line dropped there goes from all of them; an
     exact repeat of a document thus keeps what its twin keeps. An empty table gives an empty result.
     """
-    lines, classes = line_classes(docs, similarity, id_col=id_col, text_col=text_col)
+    lines, classes = line_classes(docs, similarity, stride=stride, id_col=id_col, text_col=text_col)
     # what may lose a line: lines in a component, and lines that occur again
     rooted = lines.join(classes.withColumnRenamed("node", "line"), "line", "left").select("id", "pos", F.coalesce("root", "line").alias("root"))
     rooted = materialise(rooted, "line-rooted")

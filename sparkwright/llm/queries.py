@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents"), similarity=0.8).select("doc_id", "n_lines", "n_dropped", "clean_text")
+    return dedup_lines(_table(spark, sf_dir, "documents"), similarity=0.8, stride=1).select("doc_id", "n_lines", "n_dropped", "clean_text")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,3 +390,23 @@ def test_toxicity(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in score_toxicity(docs, none).collect()} == {0.0}
     assert score_toxicity(empty, labels).count() == 0
+
+
+def test_line_dedup_every_character(spark):
+    """Against brute force on shingles at every character: lines without blanks, short lines, and words with one letter changed."""
+    rng = np.random.default_rng(5)
+    text = lambda low, high, n: "".join(map(chr, rng.integers(low, high, n)))
+    texts = []
+    for k in range(20):
+        han, url = text(0x4E00, 0x9FA5, 200), "://" + text(97, 123, 190)
+        texts += [han, "字" + han, "https" + url, "http" + url, text(97, 123, 8 + k), text(97, 123, 30), (short := text(97, 123, 90)), "x" + short]
+    for n in (15, 20, 25, 40) * 15:
+        words = [text(97, 123, int(m)) for m in rng.integers(3, 9, n)]
+        at = int(rng.integers(n))
+        texts += [" ".join(words), " ".join([*words[:at], "é" + words[at][1:], *words[at + 1 :]])]
+    sets = [{x[i : i + 12] for i in range(len(x))} for x in texts]
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    assert {(8 * k + i, 8 * k + i + 1) for k in range(20) for i in (0, 2, 6)} <= similar
+    rows = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), stride=1).collect()
+    dropped, want = {r["doc_id"] for r in rows if r["n_dropped"]}, {j for _, j in similar}
+    assert dropped <= want and len(want - dropped) <= 0.02 * len(want)
