@@ -139,16 +139,11 @@ def replaced_tokens(ids: Column, key: Column, seed: int, vocabulary: int, share:
 
 def deleted_tokens(ids: Column, key: Column, seed: int, share: int = 15) -> Column:
     """struct(ids, labels): some content ids gone; the label of a kept one is the number deleted just before it."""
-    gone = F.transform(ids, lambda x, i: (x >= CONTENT) & (F.pmod(F.xxhash64(F.lit(seed), key, i, F.lit(9)), F.lit(100)) < share))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<int>").alias("labels"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = F.struct(F.lit(0).alias("n"), F.concat(acc["ids"], F.array(x["x"])).alias("ids"), F.concat(acc["labels"], F.array(acc["n"])).alias("labels"))
-        drop = F.struct((acc["n"] + 1).alias("n"), acc["ids"].alias("ids"), acc["labels"].alias("labels"))
-        return F.when(x["g"], drop).otherwise(keep)
-
-    done = F.aggregate(F.zip_with(ids, gone, lambda x, g: F.struct(x.alias("x"), g.alias("g"))), start, step)
-    return F.struct(done["ids"].alias("ids"), done["labels"].alias("labels"))
+    kept = F.filter(F.transform(ids, lambda x, i: F.struct(x.alias("x"), i.alias("i"), ((x < CONTENT) | (F.pmod(F.xxhash64(F.lit(seed), key, i, F.lit(9)), F.lit(100)) >= share)).alias("k"))), lambda z: z["k"])
+    # the places of the kept ids tell how many are gone between them; no growing array, so long texts take linear time
+    before = F.concat(F.array(F.lit(-1)), F.slice(kept["i"], F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    labels = F.when(F.size(kept) > 0, F.zip_with(kept["i"], before, lambda i, j: i - j - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(ids.isNotNull(), F.struct(kept["x"].alias("ids"), labels.alias("labels")))
 
 
 def token_accuracy(predicted: Column, target: Column, mask: Column) -> Column:

@@ -150,7 +150,7 @@ def sequence_copy_reverse_sort(spark, sf_dir):
 
 
 def _distorted(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.hash_ids(F.slice(tokens(F.col("text")), 1, 128), 30000).alias("ids"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.hash_ids(tokens(F.col("text")), 30000).alias("ids"))
 
 
 @query()

@@ -48,3 +48,12 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["cloze", "replaced_token", "token_deletion"])
+def test_whole_documents(spark, tmp_path, name):
+    spark.createDataFrame([(1, "word " * 3000), (2, ""), (3, None), (4, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert [got[i]["n"] for i in (1, 2, 4)] == [3000, 0, 2]
+    changed = {"cloze": "hidden", "replaced_token": "replaced", "token_deletion": "kept"}[name]
+    assert 300 < (got[1][changed] if name != "token_deletion" else 3000 - got[1]["kept"]) < 600
