@@ -1,4 +1,4 @@
-"""The label log as a stream: current state, and daily counts with a watermark."""
+"""The label log as a stream: current state, and daily counts."""
 
 from __future__ import annotations
 
@@ -58,9 +58,12 @@ def current_from_stream(spark: SparkSession, events: DataFrame, files_name: str
     return last.select("sample_id", "task_id", "e.*").filter("op <> 'retract'")
 
 
-def daily_counts(spark: SparkSession, events: DataFrame, time: str, kind: str, delay: str = "1 day") -> DataFrame:
-    """day, kind, n in event time; days are complete once the watermark has passed them, the last ones when the input ends."""
-    ts = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", delay)
+def daily_counts(spark: SparkSession, events: DataFrame, time: str, kind: str) -> DataFrame:
+    """day, kind, n over all available events, in whatever order their files come: no watermark, as one would drop late days.
+
+    The state is one row for a day and kind.
+    """
+    ts = events.withColumn("_t", F.col(time).cast("timestamp"))
     by = ts.groupBy(F.window("_t", "1 day").alias("w"), kind).agg(F.count("*").alias("n"))
     out = _drain(spark, by.select(F.to_date("w.start").alias("day"), kind, "n"), "daily", "update")
     return out.groupBy("day", kind).agg(F.max_by("n", "_batch").alias("n"))

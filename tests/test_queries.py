@@ -57,3 +57,12 @@ def test_whole_documents(spark, tmp_path, name):
     assert [got[i]["n"] for i in (1, 2, 4)] == [3000, 0, 2]
     changed = {"cloze": "hidden", "replaced_token": "replaced", "token_deletion": "kept"}[name]
     assert 300 < (got[1][changed] if name != "token_deletion" else 3000 - got[1]["kept"]) < 600
+
+
+def test_stream_daily_many_files(spark, tmp_path):
+    """Twenty files in no order of time, read eight a micro-batch: every day counts whole."""
+    for k in range(20):
+        day = k * 7 % 20 + 1
+        spark.sql(f"select id as event_id, timestamp'2024-01-{day:02d} 05:00:00' as ts, 'view' as event_type, 1.0d as value from range({day})").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["stream_daily"](spark, str(tmp_path)).collect()
+    assert sorted((r["day"].day, r["n"]) for r in got) == [(d, d) for d in range(1, 21)]
