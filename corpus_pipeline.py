@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm.content_dedup import exact_dedup
@@ -20,19 +20,32 @@ from sparkwright.llm.simhash import simhash_components
 from sparkwright.llm.toxicity import score_toxicity
 
 
-def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (which has each once): one row for an id, even where rows repeat it.
+def _key(text: Column) -> Column:
+    """Tells rows apart by id and content. Orders as doc_id does, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
-    Nearly every document has its id in kept, so the table grows with the input: a merge join at every size, never a broadcast.
+
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame, text: Column) -> DataFrame:
+    """The rows of docs whose key (over `text`) is in kept: one row for a key, even where rows repeat it.
+
+    Nearly every document has its key in kept, so the table grows with the input: a merge join at every size, never a broadcast.
     """
-    kept = materialise(kept, "kept").hint("merge")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    again = materialise(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
-        return out
-    twice = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return out.join(again, twice, "left_anti").unionByName(out.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+    kept = materialise(kept.select(F.col("_key.*")), "kept").hint("merge")
+    fields = ["none", "id", "a", "b"]
+    keyed = docs.withColumn("_key", _key(text)).select(*docs.columns, *[F.col(f"_key.{c}").alias(f"_{c}") for c in fields])
+    names = [f"_{c}" for c in fields]
+    out = keyed.join(kept.toDF(*names), names, "left_semi")
+    again = materialise(keyed.groupBy(*names).count().filter("count > 1").select(*names), "again")
+    if not again.isEmpty():
+        out = out.join(again, names, "left_anti").unionByName(out.join(again, names, "left_semi").dropDuplicates(names))
+    return out.select(docs.columns)
+
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Tables written before the first stage belong to others; each later stage removes those of the stages before it.
 _first = [0]
@@ -41,30 +54,33 @@ _first = [0]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go."""
     _first[0] = mark()
-    scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = materialise(scores.filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct(), "toxic")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry_text_hash=True)
+    bad = materialise(scores.filter("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("th").alias("_a"), F.col("th2").alias("_b")).distinct(), "toxic")
+    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(_text()) == F.col("_a")) & (F.xxhash64(F.lit(1), _text()) == F.col("_b"))
+    return docs.join(bad, same, "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     release(spark, _first[0])
-    return _rows_of(docs, exact_dedup(docs).filter("kept").select("doc_id").distinct())
+    sha = F.sha2(F.translate(_text(), UPPER, UPPER.lower()).cast("binary"), 256)
+    found = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    return _rows_of(docs, found.select(_key(F.col("text_sha256")).alias("_key")), sha)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id stays."""
     release(spark, _first[0])
-    found = simhash_components(docs, radius=4, size=4)
-    return _rows_of(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    found = simhash_components(docs.withColumn("_key", _key(_text())), radius=4, size=4, id_col="_key")
+    return _rows_of(docs, found.filter("_key = component_id").select("_key").distinct(), _text())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to twice, so that the sources' words come near their targets."""
     release(spark, _first[0])
     plan = mix_sources(docs, weights=(5.0, 2.0, 1.0), share=1.5, repeats=2).filter("copies > 0")
-    plan = materialise(plan.select(F.col("doc_id").alias("_id"), "copies").distinct(), "mix-plan").hint("merge")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    plan = materialise(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct(), "mix-plan").hint("merge")
+    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

@@ -31,7 +31,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: id, size, source_size, target, taken, copies. Every source's taken words come near its target.
+    """One row for each document: id, source, size, source_size, target, taken, copies. Every source's taken words come near its target.
 
     A source whose target is k times its size and a remainder takes each document k times, and once more the
     documents whose 48-bit hash lies below a threshold. The budgets are nested: a larger share keeps all that a
@@ -75,4 +75,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     out = rows.join(plan, "key").join(ends, "key", "left")
     extra = F.when(F.col("need") <= 0, 0).when(F.col("top").isNull() | (F.col("h") <= F.col("top")), 1).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.col("whole")).cast("int"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

@@ -155,8 +155,8 @@ def learn_lexicon(sample: DataFrame, most: int = 400, support: int = 3, least_od
     return [r["term"] for r in best.collect()]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, trees: int = 20, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row for each document: id, held_out, score (0 to 1), predicted.
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, trees: int = 20, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry_text_hash: bool = False) -> DataFrame:
+    """One row for each document: id, held_out, score (0 to 1), predicted; th and th2, two hashes of its text, if asked for.
 
     Labels are learned only from rows whose crc32(id as text) mod 5 is not 0, on at most `sample_rows` of them, chosen by a hash of
     the id: remainders 1 and 2 give the lexicon, 3 the trees, 4 the isotonic calibration, so that no step learns from texts the
@@ -170,6 +170,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != 0)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = materialise(known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows), "toxic-chosen")
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
+    ths = ["th", "th2"] if carry_text_hash else []
+    if ths:
+        rows = rows.withColumn("th", F.xxhash64("text")).withColumn("th2", F.xxhash64(F.lit(1), "text"))
     sample = materialise(rows.join(F.broadcast(chosen), id_col).withColumn("fold", fold).select("text", "label", "fold"), "toxic-sample")  # at most sample_rows rows
     held = F.when(fold == 0, True).otherwise(False).alias("held_out")
     seen = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
@@ -178,7 +181,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000
     if not both(grow):
         total, bad = sum(seen.values()), sum(n for (_, y), n in seen.items() if y == 1)
         share = bad / total if total else 0.0
-        return rows.select(id_col, held, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+        return rows.select(id_col, held, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), *ths)
 
     lexicon = learn_lexicon(sample.filter(F.col("fold").isin(*words)))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
@@ -187,7 +190,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, minInstancesPerNode=2).fit(train.filter(F.col("fold").isin(*grow)))
     raw = lambda df: model.transform(df).withColumn("raw", vector_to_array("probability")[1])
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(train.filter(F.col("fold").isin(*fit))).select("raw", F.col("label").cast("double")))
-    scored = text_features(rows, lexicon, [id_col])
-    scored = curve.transform(raw(assemble.transform(scored)).select(id_col, "raw"))
+    scored = text_features(rows, lexicon, [id_col, *ths])
+    scored = curve.transform(raw(assemble.transform(scored)).select(id_col, "raw", *ths))
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return scored.select(id_col, held, score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select(id_col, held, score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), *ths)

@@ -63,3 +63,19 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixing, corpus_pipeline.packing):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_are_told_apart(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clean = [" ".join(f"{w}{k * 17 % 101}" for w in "river stone maple cloud amber field ocean candle".split()) + f" number {k}" for k in range(6)]
+    toxic = ["you idiot moron scum " * 3 + str(i) for i in range(30)]
+    rows = [(None if i < 3 else 7, t, None, f"s{i % 2}", 0) for i, t in enumerate(clean)] + [(100 + i, t, None, "s", 0) for i, t in enumerate(toxic)] + [(None, toxic[0], None, "s", 0)] + [(200 + i, f"{t} more", None, "s", 0) for i, t in enumerate(clean * 6)]
+    marks = [(r[0], 1, int("idiot" in r[1])) for r in rows if r[0] and r[0] >= 100]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.toxicity(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert set(clean) <= {r["text"] for r in got} and not any("idiot" in r["text"] for r in got)
+    docs = spark.createDataFrame(rows[:6] + rows[:1], schema)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        assert sorted(r["text"] for r in stage(spark, docs, str(tmp_path)).collect()) == sorted(clean)
+    taken = Counter(r["text"] for r in corpus_pipeline.mixing(spark, docs.limit(6), str(tmp_path)).collect())
+    assert max(taken.values()) <= 2
