@@ -26,14 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
 
     The files outlive any executor; release() removes them once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +55,19 @@ def small(df: DataFrame, limit: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """rows joined with a materialised table of one row for each key, `count` being the key's number of rows.
+
+    A key with over 1/share of all those rows would fill one task. At most `share` keys can be that heavy, so these are
+    broadcast, and the rest is dealt by key. Neither side is read for rows it doesn't give out.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    heavy = F.col(count) * share > total
+    hot = F.broadcast(table.filter(heavy).limit(share))
+    cold = rows.join(F.broadcast(table.filter(heavy).select(*keys).limit(share)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(table.filter(~heavy), keys))
+
+
 def text_of(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -111,7 +124,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, seen = materialise(e, name), None
-    for _ in range(rounds):
+    for _ in range(rounds):  # each round at least halves the longest way to a root, so 60 are never used up
         mark = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(mark) == seen or not mark[0]:
             break
@@ -126,5 +139,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         least = materialise(big.groupBy("u").agg(F.min("v").alias("m")), name)
         hung = big.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
+    else:
+        raise RuntimeError(f"{name}: components did not settle in {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return materialise(nodes.union(e.select("v", "v")).distinct(), name)

@@ -280,11 +280,10 @@ def normal(line):
 def test_line_dedup(spark, docs, empty):
     texts = ODD + [f"{BASE}{w}\nunique {w} {i}" for i, w in enumerate(["tail", "tails", "tale", "other ending here", "tail"])]
     docs = table(spark, texts)
-    shingle = re.compile(r"(?=(.{1,12}))\S{1,8}")
     lines = {(i, p): normal(x) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n"))}
     lines = {k: v for k, v in lines.items() if v}
     nodes = sorted(set(lines.values()))
-    sets, parent = [set(shingle.findall(x)) for x in nodes], list(range(len(nodes)))
+    sets, parent = [{x[k : k + 12] for k in range(len(x))} for x in nodes], list(range(len(nodes)))
 
     def find(i):
         while parent[i] != i:
@@ -392,6 +391,45 @@ def test_toxicity(spark, empty):
     assert score_toxicity(empty, labels).count() == 0
 
 
+def test_line_dedup_rows_and_names(spark):
+    """Null and repeated ids of different texts, exact repeats, and columns named as the operator's own."""
+    schema = "doc_id string, text string, gone int, id int, row int, n_lines int, clean_text string, a int"
+    line = "a line that is long enough to be found again"
+    rows = [(None, f"{line}\nfirst", 1, 2, 3, 4, "x", 5), ("none", f"{line}\nsecond", 1, 2, 3, 4, "x", 5), (None, f"third\n{line}", 1, 2, 3, 4, "x", 5), ("z", "alone", 1, 2, 3, 4, "x", 5), ("z", "alone", 1, 2, 3, 4, "x", 5)]
+    got = dedup_lines(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "gone", "id", "row", "a", "n_lines", "n_dropped", "clean_text"]
+    texts = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["clean_text"]) for r in got.collect())
+    assert texts == [("None", 2, 1, "first"), ("None", 2, 1, "third"), ("none", 2, 0, f"{line}\nsecond"), ("z", 1, 0, "alone"), ("z", 1, 0, "alone")]
+
+
+def test_line_dedup_large_bucket(spark):
+    """Hundreds of near copies of one line in the same buckets, against brute force; a short line and a hot exact copy beside them."""
+    rng = np.random.default_rng(8)
+    base = ["".join(map(chr, rng.integers(97, 123, int(m)))) for m in rng.integers(3, 9, 60)]
+    texts = ["tiny"] * 40
+    for i in range(300):
+        w = list(base)
+        for k in rng.integers(0, 60, 1 + i % 9):
+            w[int(k)] = f"x{i}"
+        texts.append(" ".join(w))
+    sets = [{x[i : i + 12] for i in range(len(x))} for x in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    rows = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    dropped, want = {r["doc_id"] for r in rows if r["n_dropped"]}, {i for i in range(len(texts)) if find(i) != i}
+    assert dropped <= want and len(want - dropped) <= 0.02 * len(want)
+
+
 def test_line_dedup_every_character(spark):
     """Against brute force on shingles at every character: lines without blanks, short lines, and words with one letter changed."""
     rng = np.random.default_rng(5)
@@ -407,6 +445,6 @@ def test_line_dedup_every_character(spark):
     sets = [{x[i : i + 12] for i in range(len(x))} for x in texts]
     similar = {(i, j) for j in range(len(texts)) for i in range(j) if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
     assert {(8 * k + i, 8 * k + i + 1) for k in range(20) for i in (0, 2, 6)} <= similar
-    rows = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), stride=1).collect()
+    rows = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     dropped, want = {r["doc_id"] for r in rows if r["n_dropped"]}, {j for _, j in similar}
     assert dropped <= want and len(want - dropped) <= 0.02 * len(want)
