@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from sparkwright.llm import gif_media as G
 from sparkwright.llm import simhash as S
 from sparkwright.llm.content_dedup import exact_dedup
-from sparkwright.llm.html_text import extract_text, main_text
+from sparkwright.llm.html_text import extract_text, main_text, stretches
 from sparkwright.llm.line_dedup import dedup_lines, line_classes
 from sparkwright.llm.mixing import mix_sources
 from sparkwright.llm.packing import WordTokens, first_fit_decreasing, pack_documents, sequences, token_pieces
@@ -320,6 +320,46 @@ def test_html(spark):
     assert extract_text(pages.limit(0)).count() == 0
 
 
+LONG = "Long text of the story that goes on and on. " * 3
+
+
+@pytest.mark.parametrize("wrap", ['class="with-sidebar"', 'class="has-nav"', 'class="post no-comments"', 'class="search-result"', 'class="ad-free"', 'data-hidden="false"', 'data-grid="ad"', 'title="the hidden valley"', 'class="sidebar"'])
+def test_html_names_that_only_mention_furniture(wrap):
+    assert main_text(f"<div {wrap}><article><h1>Head</h1><p>{LONG}</p></article></div>") == f"Head {LONG.strip()}"
+    if wrap != 'class="sidebar"':
+        assert main_text(f"<div {wrap}><h1>Head</h1><p>{LONG}</p></div>") == f"Head {LONG.strip()}"
+
+
+def test_html_links_titles_and_plain_menus():
+    links = "".join(f"<li><a href=x>Reference number {i}</a>" for i in range(4))
+    shown = " ".join(f"Reference number {i}" for i in range(4))
+    title = '<div class="article-header"><h1>Head</h1></div>'
+    assert main_text(f"<article>{title}<p>{LONG}</p><ul>{links}</ul><p>End.</p></article>") == f"Head {LONG.strip()} {shown} End."
+    menu = "<div>Home</div><div>About us</div><div>Contact</div>"
+    page = f"{menu}<div><h1>Head</h1><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p></div><div>© 2020 Somebody</div>"
+    assert main_text(page) == f"Head {LONG.strip()} {shown} {LONG.strip()}"
+    assert main_text(f"{menu}<div><h1>Head</h1><p>{LONG}</p><ul>{links}</ul></div><div>Imprint</div>") == f"Head {LONG.strip()} {shown}"
+    two = f"<div><p>{LONG}</p></div><ul>{links}</ul><div class=ad>Buy</div><div><p>{LONG}</p></div>"
+    assert main_text(two) == f"{LONG.strip()} {LONG.strip()}"
+    comments = f'<article><p>{LONG}</p></article><div id="comments"><article class="comment"><p>First!</p></article></div>'
+    assert main_text(comments) == LONG.strip()
+
+
+@given(st.lists(st.integers(0, 60), max_size=40), st.integers(1, 4), st.integers(1, 80), st.integers(1, 20))
+def test_stretches_equal_plain_sums(lengths, window, surge, dive):
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    want, begin = [], None
+    floor = min(surge, max(sums, default=0))
+    for i, total in enumerate(sums):
+        if begin is not None and total < dive:
+            want.append((begin, i))
+            begin = None
+        if begin is None and lengths[i] and total >= floor:
+            begin = i
+    want += [(begin, len(lengths))] if begin is not None else []
+    assert stretches(np.array(lengths, np.int64), window, surge, dive) == (want if any(lengths) else [])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200))
 def test_html_of_any_text_keeps_it(text):
