@@ -19,8 +19,7 @@ _LOOSE = r"(?<![0-9])[ -]|[ -](?![0-9])"
 _CARD = r"[0-9][0-9 -]+"
 _HAS_CARD = r"[0-9](?:[ -]?[0-9]){13}"
 _BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
-_BEFORE = r"(?<=[^\p{L}])\p{L}{3,}"
-_AFTER = r"\p{L}{3,}(?=[^\p{L}])"
+_WORD = r"\p{L}{3,}"
 
 
 def located(text: Column, pattern: str, source: Column | None = None) -> Column:
@@ -77,18 +76,6 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, span: Column, reach: int) -> Column:
-    """Words of three letters or more that lie wholly within `reach` characters of a span: struct(start, end, value).
-
-    A letter put before or behind the cut stands for the text that goes on there, a blank for its end.
-    """
-    first = F.greatest(span["start"] - reach, F.lit(0))
-    before = F.concat(F.when(first == 0, " ").otherwise("a"), F.substring(text, first + 1, span["start"] - first))
-    behind = F.concat(F.substring(text, span["end"] + 1, F.lit(reach)), F.when(F.char_length(text) <= span["end"] + reach, " ").otherwise("a"))
-    move = lambda by: lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value"))
-    return F.concat(F.transform(located(before, _BEFORE), move(first - 1)), F.transform(located(behind, _AFTER), move(span["end"])))
-
-
 def _is(kind: str):
     return lambda x: x == kind
 
@@ -97,46 +84,81 @@ def _tagged(kind: str) -> Column:
     return F.transform(F.col(kind), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))
 
 
-def find_personal_data(docs: DataFrame, reach: int = 60, support: int = 3, disclosure: float = 0.8, certainty: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_email, n_ip, n_card, n_phone, base (array), terms (array), and `rk`, its row key.
+def _row_key(th, th2) -> Column:
+    """Rows of the same id and text share it; over columns id and the text's two hashes."""
+    return F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), _column(th).cast("string"), _column(th2).cast("string"))
+
+
+def _column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _entities(base: Column) -> Column:
+    """What the base matches of a text reveal: each value, and the group it belongs to (mail domain, network, number range, issuer)."""
+    value = lambda s: F.lower(F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(s["value"]))
 
-    Protected entities are the values of valid base matches. Terms are the words within `reach` characters of one.
-    Over the distinct texts of the corpus, a term t discloses an entity e if both occur together in at least `support` texts,
-    p(e|t) is at least `certainty`, and PMI(t; e) = log2(n_te N / (n_t n_e)) is at least `disclosure` times the entity's own
-    information log2(N / n_e). n_t counts all texts that hold the term anywhere. Such terms are generalised wherever
-    they stand near the entity they disclose; sanitised() removes them and replaces base matches by their kind.
+    def group(s: Column) -> Column:
+        v = value(s)
+        mail, net = F.substring_index(v, "@", -1), F.substring_index(v, ".", 3)
+        return F.when(s["kind"] == "email", mail).when(s["kind"] == "ip", net).otherwise(F.substring(v, F.lit(1), F.lit(6)))
 
-    Copies count once, so that the words of a document copied many times aren't taken for disclosing ones. Null text
-    counts as empty. Rows that repeat id and text get equal results, one each. An empty table gives an empty result.
+    named = F.transform(base, lambda s: F.concat_ws("=", s["kind"], value(s)))
+    return F.array_distinct(F.concat(named, F.transform(base, lambda s: F.concat_ws("~", s["kind"], group(s)))))
+
+
+def disclosing_terms(found: DataFrame, support: int, disclosure: float, certainty: float, evidence: float) -> DataFrame:
+    """term, entity, n_te, n_t, n_e, total: the pairs of find_personal_data's rule, counted over the distinct texts of found."""
+    total = found.agg(F.count_distinct("th", "th2")).first()[0]
+    reps = found.groupBy("th", "th2").agg(F.min("rid").alias("rid")).select("rid")
+    texts = found.select("rid", "entities", "terms").join(reps, "rid", "left_semi")
+    words = texts.select(F.explode("terms").alias("term"), (F.size("entities") > 0).cast("long").alias("private"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"), F.sum("private").alias("n_p"))
+    # a term of a pair that passes stands in at least `support` texts with entities, and these are at least `certainty` of its texts
+    rare = small(materialise(counts.filter((F.col("n_p") >= support) & (F.col("n_p") >= certainty * F.col("n_t"))).select("term", "n_t"), "pii-rare"))
+    private = found.filter(F.size("entities") > 0).select("rid", "entities", "terms").join(reps, "rid", "left_semi")
+    n_e = private.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    n_e = small(materialise(n_e, "pii-entities"))
+    terms = private.select("rid", F.explode("terms").alias("term")).join(rare, "term").select("rid", "term", "n_t")
+    entities = private.select("rid", F.explode("entities").alias("entity")).join(n_e, "entity").select("rid", "entity", "n_e")
+    pairs = terms.join(entities, "rid").groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
+    told = F.log2(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e")))
+    info = F.log2(F.lit(float(total)) / F.col("n_e"))
+    enough = (F.col("n_te") >= support) & (F.col("n_te") >= certainty * F.col("n_t")) & (info > 0) & (told >= disclosure * info) & (F.col("n_te") * told * 0.6931471805599453 >= evidence)
+    return pairs.filter(enough).withColumn("total", F.lit(total))
+
+
+def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.8, certainty: float = 0.5, evidence: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, n_email, n_ip, n_card, n_phone, base (array), terms (array), and `rk`, its row key.
+
+    Protected entities are the values of valid base matches and their groups: a mail domain, the first three parts of an
+    address, the first six digits of a number. Terms are words of three letters or more, case folded, wherever they stand in a
+    text. Over the distinct texts of the corpus, a term t discloses an entity e if both occur together in at least `support`
+    texts, p(e|t) is at least `certainty`, PMI(t; e) = log2(n_te N / (n_t n_e)) is at least `disclosure` times the
+    entity's own information log2(N / n_e), and n_te PMI is worth `evidence` nats, which chance pairs don't reach.
+    Such a term is marked everywhere, in texts without the entity too; sanitised() generalises it.
+
+    Copies count once, so that the words of a document copied many times aren't taken for disclosing ones. Null text counts
+    as empty; texts are read whole. Rows that repeat id and text get equal results, one each, and ties don't arise: every pair
+    that passes counts. Columns other than id and text are not read, so their names can't clash. An empty table gives an empty
+    result.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     found = rows.select("id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     found = found.select("id", "text", F.concat(*[_tagged(k) for k in KINDS]).alias("base"))
-    entity = lambda s: F.concat_ws("=", s["kind"], F.lower(F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(s["value"])))
-    near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), _context(F.col("text"), s, reach).alias("words")))
-    found = found.select("id", F.xxhash64("text").alias("th"), "base", F.when(F.size("base") > 0, near).alias("near"))
-    found = found.withColumn("rk", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("th").cast("string")))
-    found = materialise(found, "pii-base")
-
-    pairs = found.filter("near is not null").select("rk", "th", F.explode("near").alias("n")).select("rk", "th", "n.entity", F.explode("n.words").alias("w")).select("rk", "th", "entity", "w.*")
-    pairs = pairs.withColumnRenamed("value", "term")
-    n_te = pairs.select("term", "entity", "th").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    # all texts with a term are at least those where it stands near some entity, so a term that fails p(e|t) there fails it
-    # anywhere; common words end here, before the count over the corpus
-    around = pairs.select("term", "th").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    n_te = materialise(n_te.join(around, "term").filter(F.col("n_te") >= certainty * F.col("n_near")).drop("n_near"), "pii-pairs")
-    terms = small(n_te.select("term").distinct())
-    corpus = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"))
-    n_t = corpus.join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = found.filter("near is not null").select(F.explode("near.entity").alias("entity"), "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = found.select(F.count_distinct("th")).first()[0] if not n_te.isEmpty() else 1
-    info = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e")))
-    told = n_te.join(n_e, "entity").join(n_t, "term").filter((F.col("n_te") >= certainty * F.col("n_t")) & (info > 0) & (pmi >= disclosure * info)).select("term", "entity")
-    told = small(materialise(told, "pii-terms"))
-    extra = pairs.join(told, ["term", "entity"]).groupBy("rk").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(TERM).alias("kind"), F.col("term").alias("value"))).alias("terms"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    found = found.select("id", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"), "base", _entities(F.col("base")).alias("entities"), words.alias("terms"))
+    found = materialise(found.select(F.monotonically_increasing_id().alias("rid"), _row_key("th", "th2").alias("rk"), "*"), "pii-base", compression="zstd")
+
+    told = disclosing_terms(found, support, disclosure, certainty, evidence)
+    told = materialise(told.select("term").distinct(), "pii-terms")
+    hits = found.select("rk", F.explode("terms").alias("term")).join(small(told), "term").groupBy("rk").agg(F.collect_set("term").alias("told"))
+    hits = materialise(hits, "pii-hits")
+    keyed = rows.select("text", _row_key(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("rk"))
+    marked = F.filter(located(F.lower("text"), _WORD), lambda w: F.array_contains("told", w["value"]))
+    span = lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["end"].alias("end"), F.lit(TERM).alias("kind"), w["value"].alias("value"))
+    extra = keyed.join(small(hits), "rk").select("rk", F.transform(marked, span).alias("marked")).dropDuplicates(["rk"])
     extra = materialise(extra, "pii-extra")
-    out = found.join(extra, "rk", "left").withColumn("terms", F.coalesce("terms", F.array().cast(found.schema["base"].dataType)))
+    out = found.drop("terms").join(extra, "rk", "left").withColumn("terms", F.coalesce("marked", F.array().cast(found.schema["base"].dataType)))
     counts = [F.size(F.filter(F.col("base.kind"), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(F.col("id").alias(id_col), *counts, "base", "terms", "rk")
 
@@ -148,15 +170,16 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and clean_text: base matches become [kind], disclosing terms a generalisation ([term]). Overlapping spans become one."""
-    rk = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_of(text_col)).cast("string"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("rk", _row_key(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
     spans = found.select("rk", F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))).alias("spans")).dropDuplicates(["rk"])
-    text = text_of(text_col)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("text")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
+        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
 
-    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return docs.withColumn("rk", rk).join(spans, "rk").select(id_col, clean.alias("clean_text"))
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+    return rows.join(spans, "rk").select(F.col("id").alias(id_col), F.aggregate("spans", begin, step, end).alias("clean_text"))

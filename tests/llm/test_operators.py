@@ -407,6 +407,46 @@ def test_pii(spark, empty):
     assert digests(find_personal_data(empty)).count() == 0
 
 
+def test_pii_terms_equal_plain_counts(spark):
+    """Every term span against a plain count of texts, PMI and evidence; texts far longer than any window, copies, and a clean text."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts = []
+    for i in range(240):
+        w = list(rng.choice(vocabulary, 30))
+        if i % 12 == 0:
+            w[0], w[-1] = "Quomfrit", f"person{i}@secret-firm.org"
+            if i % 24 == 0:
+                w[5] = "zorblax"
+        if i % 30 == 7:
+            w[3] = "+49 30 1234" + f"{i:04d}"
+            w[20] = "blumquist"
+        texts.append(" ".join(w))
+    texts += ["a note about quomfrit and nothing else", texts[0], texts[0], None, ""]
+    support, disclosure, certainty, evidence = 3, 0.8, 0.5, 12.0
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+    held, words = {}, {}
+    for t in {t or "" for t in texts}:
+        found = {(k, m[0]) for k, p in kinds.items() for m in re.finditer(p, t)}
+        ids = {(k, v if k == "email" else re.sub("[^0-9]", "", v)) for k, v in found}
+        held[t] = ids | {(k + "~", v.split("@")[1] if k == "email" else v[:6]) for k, v in ids}
+        words[t] = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    told, n = set(), len(held)
+    for e in set().union(*held.values()):
+        n_e = sum(e in x for x in held.values())
+        for w in set().union(*words.values()):
+            n_t, n_te = sum(w in x for x in words.values()), sum(w in words[t] and e in held[t] for t in held)
+            if n_te >= support and n_te >= certainty * n_t and n_e < n:
+                pmi = np.log2(n_te * n / (n_t * n_e))
+                if pmi >= disclosure * np.log2(n / n_e) and n_te * pmi * np.log(2) >= evidence:
+                    told.add(w)
+    assert told >= {"quomfrit", "zorblax", "blumquist"}
+    got = {r["doc_id"]: r["spans"] for r in digests(find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m[0].lower() in told}
+        assert {x for x in got[i].split(",") if x.startswith("term")} == want
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(2)
     vocabulary = [f"wort{i}" for i in range(300)]
