@@ -152,21 +152,23 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_docs: int = 1024, seed: int = 7) -> DataFrame:
     """Add sequence_id, offset and sequence_length to pieces (id, start, length, ...).
 
-    Pieces go to groups of about group_docs by a hash of document and position, which mixes the lengths alike in
-    every group whatever the order or source of the documents. In a group, the longest piece comes first and goes to the
+    Pieces go to groups of about group_docs by a hash of document, position and a row number, which mixes the lengths alike in
+    every group whatever the order or source of the documents, and spreads repeated and null ids over all groups. In a group, the longest piece comes first and goes to the
     first sequence with room. A sequence is padded to the capacity unless its length is a power of two.
     """
+    schema = pieces.schema
+    pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")  # the number is stored with its row
     groups = max(1, -(-pieces.count() // group_docs))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["length", "_row"], ascending=[False, True], kind="stable", ignore_index=True).drop(columns="_row")
         bins, offsets = first_fit_decreasing(pdf.length.to_numpy(), capacity)
         used = np.bincount(bins, pdf.length.to_numpy()).astype(np.int64)
         padded = np.where(used & (used - 1), capacity, used)
         return pdf.assign(sequence_id=pdf.pop("grp") * 2**32 + bins, offset=offsets, sequence_length=padded[bins])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("start")), F.lit(groups)))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("start"), F.col("_row")), F.lit(groups)))
     return grouped.groupBy("grp").applyInPandas(pack, f"{fields}, sequence_id bigint, offset bigint, sequence_length bigint")
 
 
@@ -174,10 +176,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, g
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
 
     A document longer than a sequence is cut at multiples of the capacity; no other is cut. Null text counts as empty: the
-    end id alone. Rows that repeat an id are separate documents. An empty table gives an empty result. Only lengths,
+    end id alone. Rows that repeat an id, null included, are separate documents, and texts of any length are read whole. Other columns
+    are not read. An empty table gives an empty result. Only lengths,
     never ids, are shuffled; token_pieces() gives the ids for writing sequences (sequences()).
     """
-    pieces = materialise(token_pieces(docs, tokenizer_path, capacity, id_col, text_col).drop("ids"), "pieces")
+    pieces = token_pieces(docs, tokenizer_path, capacity, id_col, text_col).drop("ids")
     return pack_pieces(pieces, capacity, group_docs).withColumnRenamed("id", id_col)
 
 
