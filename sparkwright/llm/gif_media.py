@@ -160,8 +160,16 @@ class Frame:
 def read_gif(data: bytes, canvas: bool = True) -> Iterator[Frame]:
     """The frames in order: palettes (local before global), interlacing, transparency, and disposal (keep, background, previous).
 
-    canvas=False skips the drawing; pixels is then the frame's own rectangle with its palette applied.
+    canvas=False skips the drawing; pixels is then the frame's own rectangle with its palette applied. Damaged or truncated data
+    raises ValueError at the place of the damage, after the whole frames before it.
     """
+    try:
+        yield from _frames(data, canvas)
+    except (IndexError, struct.error, KeyError) as error:
+        raise ValueError("truncated GIF") from error
+
+
+def _frames(data: bytes, canvas: bool) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -197,8 +205,10 @@ def read_gif(data: bytes, canvas: bool = True) -> Iterator[Frame]:
                 pieces.append(data[at + 1 : at + 1 + data[at]])
                 at += data[at] + 1
             at += 1
-            raw = lzw_decode(b"".join(pieces), min_size, w * h)
-            indices = np.frombuffer(raw.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+            raw = lzw_decode(b"".join(pieces), min_size, w * h) if 2 <= min_size <= 8 else b""
+            if len(raw) < w * h or palette is None or not 2 <= min_size <= 8:
+                raise ValueError("truncated or damaged image")
+            indices = np.frombuffer(raw, np.uint8).reshape(h, w)
             if packed & 0x40:
                 order = np.r_[0:h:8, 4:h:8, 2:h:4, 1:h:2]
                 straight = np.empty_like(indices)
@@ -224,6 +234,8 @@ def read_gif(data: bytes, canvas: bool = True) -> Iterator[Frame]:
             delay, disposal, clear_index = 0, 0, None
         else:
             raise ValueError("unknown block")
+    if at >= len(data):
+        raise ValueError("no end of file mark")
 
 
 def colour_histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
@@ -234,23 +246,30 @@ def colour_histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
 
 
 def frame_table(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """Decode a binary column of GIF files: one row for each frame: id, frame, at_cs (start in hundredths), delay_cs, width, height, histogram, rgba (the drawn canvas)."""
+    """Decode a binary column of GIF files: one row for each frame: id, frame, at_cs (start in hundredths), delay_cs, width, height, histogram, rgba (the drawn canvas), error.
+
+    A null or empty file gives no row. A damaged one gives its whole frames and one more row that has only frame, at_cs and
+    error, so a bad file neither ends the job nor passes for a good one. Repeated rows give repeated frames.
+    """
     kind = media.schema[id_col].dataType.simpleString()
 
     def decode(batches):
         for batch in batches:
             for key, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 at, rows = 0, []
-                for k, f in enumerate(read_gif(data) if data else ()):
-                    rows.append((key, k, at, f.delay, f.pixels.shape[1], f.pixels.shape[0], colour_histogram(f).tolist(), f.pixels.tobytes()))
-                    at += f.delay
+                try:
+                    for k, f in enumerate(read_gif(data) if data else ()):
+                        rows.append((key, k, at, f.delay, f.pixels.shape[1], f.pixels.shape[0], colour_histogram(f).tolist(), f.pixels.tobytes(), None))
+                        at += f.delay
+                except ValueError as damage:
+                    rows.append((key, len(rows), at, None, None, None, None, None, str(damage)))
                 if rows:
-                    names = ["id", "frame", "at_cs", "delay_cs", "width", "height", "histogram", "rgba"]
+                    names = ["id", "frame", "at_cs", "delay_cs", "width", "height", "histogram", "rgba", "error"]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names).cast(target)
 
-    target = pa.schema([("id", pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), ("frame", pa.int32()), ("at_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64())), ("rgba", pa.binary())])
+    target = pa.schema([("id", pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), ("frame", pa.int32()), ("at_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64())), ("rgba", pa.binary()), ("error", pa.string())])
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(decode, f"id {kind}, frame int, at_cs int, delay_cs int, width int, height int, histogram array<bigint>, rgba binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(decode, f"id {kind}, frame int, at_cs int, delay_cs int, width int, height int, histogram array<bigint>, rgba binary, error string").withColumnRenamed("id", id_col)
 
 
 def _padded(text: bytes) -> bytes:
@@ -260,11 +279,13 @@ def _padded(text: bytes) -> bytes:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Store each whole text as a GIF and read it back: id, n_bytes, media columns, and the media itself if wanted.
 
-    payload_* are taken from the bytes that the decoder returns, media_* from the stored file; `feature` is frames, playing
-    time and the luminance histogram over all frames, which sums to the payload's length. Null text counts as empty (one row
-    of blanks). Each row depends on its own text alone, so repeated rows and equal texts give equal values.
+    payload_* are taken from the drawn canvas of each decoded frame, media_* from the stored file; `feature` is frames, playing
+    time and the luminance histogram over all frames, which sums to the payload's length; `frames` are the timed frames, each
+    with its own histogram. Null text counts as empty (one row of blanks). Each row depends on its own whole text alone, so
+    repeated rows and equal texts give equal values. Other columns are not read. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    timed_type = pa.list_(pa.struct([("at_cs", pa.int32()), ("delay_cs", pa.int32()), ("rows", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
 
     def store(batches):
         for batch in batches:
@@ -275,16 +296,20 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     text = text.as_py()
                     media = write_gif(_padded(text))
                     frames, hist, time, read = 0, np.zeros(BINS, np.int64), 0, []
-                    for f in read_gif(media, canvas=False):
-                        frames, time, hist = frames + 1, time + f.delay, hist + colour_histogram(f)
-                        read.append(f.pixels[..., 0].tobytes())
+                    timed = []
+                    for f in read_gif(media):
+                        x, y, w, h = f.box
+                        own = colour_histogram(f)
+                        timed.append({"at_cs": time, "delay_cs": f.delay, "rows": h, "histogram": own.tolist()})
+                        frames, time, hist = frames + 1, time + f.delay, hist + own
+                        read.append(f.pixels[y : y + h, x : x + w, 0].tobytes())
                     payload = b"".join(read)
                     feature = f"{frames}:{time}:" + ",".join(map(str, hist))
-                    rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if keep_media else None))
+                    rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, timed, media if keep_media else None))
                 cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"])
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), timed_type, pa.binary()]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "media"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, media binary"
+    schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, frames array<struct<at_cs:int,delay_cs:int,rows:int,histogram:array<bigint>>>, media binary"
     return rows.mapInArrow(store, schema).withColumnRenamed("id", id_col)
