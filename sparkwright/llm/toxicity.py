@@ -105,7 +105,7 @@ def features_of(text: bytes, flags: _Flags) -> list[float]:
         near = int((gap <= REACH).sum())
     kinds = len({_bare(tokens[i]).lower() for i in hit.tolist()})
     per, size = 100.0 / max(n, 1), 100.0 / max(len(text), 1)
-    return [math.log1p(n), count(HIT) * per, count(LEARNED) * per, count(STEM) * per, float(min(len(hit), 50)), float(min(kinds, 50)), near * per, len(you) * per, upper * size, count(CAPS) * per, exclaim * size, question * size, punct * size, symbol * size, digit * size, count(MASKED) * per, float(min(count(MASKED_HIT), 50)), count(DRAWN) * per]
+    return [math.log1p(n), count(HIT) * per, count(LEARNED) * per, count(STEM) * per, float(len(hit)), float(kinds), near * per, len(you) * per, upper * size, count(CAPS) * per, exclaim * size, question * size, punct * size, symbol * size, digit * size, count(MASKED) * per, float(count(MASKED_HIT)), count(DRAWN) * per]
 
 
 def text_features(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
@@ -164,7 +164,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000
 
     Null and empty texts get the score of their (zero) features. Null labels are ignored, of several labels of a
     document the larger counts. Without rows of both classes in every part, one split serves all steps; without rows of
-    both classes at all, the score is the share of toxic labels (0 without any). An empty table gives an empty result.
+    both classes at all, the score is the share of toxic labels (0 without any). Rows that repeat an id are scored on
+    their own; columns of docs other than id and text are not read. An empty table gives an empty result.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != 0)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
