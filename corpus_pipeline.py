@@ -33,16 +33,16 @@ def _rows_of(docs: DataFrame, kept: DataFrame, text: Column) -> DataFrame:
     """The rows of docs whose key (over `text`) is in kept: one row for a key, even where rows repeat it.
 
     Nearly every document has its key in kept, so the table grows with the input: a merge join at every size, never a broadcast.
+    The row travels as one struct, so that no column of docs can clash with the key.
     """
-    kept = materialise(kept.select(F.col("_key.*")), "kept").hint("merge")
-    fields = ["none", "id", "a", "b"]
-    keyed = docs.withColumn("_key", _key(text)).select(*docs.columns, *[F.col(f"_key.{c}").alias(f"_{c}") for c in fields])
-    names = [f"_{c}" for c in fields]
-    out = keyed.join(kept.toDF(*names), names, "left_semi")
+    names = ["none", "id", "a", "b"]
+    kept = materialise(kept.select(F.col("_key.*")).toDF(*names), "kept").hint("merge")
+    keyed = docs.select(F.struct("*").alias("row"), _key(text).alias("key")).select("row", "key.*")
+    out = keyed.join(kept, names, "left_semi")
     again = materialise(keyed.groupBy(*names).count().filter("count > 1").select(*names), "again")
     if not again.isEmpty():
         out = out.join(again, names, "left_anti").unionByName(out.join(again, names, "left_semi").dropDuplicates(names))
-    return out.select(docs.columns)
+    return out.select("row.*")
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,7 +52,10 @@ _first = [0]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for toxic go."""
+    """Documents that the classifier takes for toxic go; a toxic row takes only its own repeats (same id, same text) with it.
+
+    Null texts count as empty, as in every stage. No labels, or an empty table: nothing goes.
+    """
     _first[0] = mark()
     scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry_text_hash=True)
     bad = materialise(scores.filter("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("th").alias("_a"), F.col("th2").alias("_b")).distinct(), "toxic")
@@ -61,7 +64,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays (null ids last); of exact repeats of a row, one."""
     release(spark, _first[0])
     sha = F.sha2(F.translate(_text(), UPPER, UPPER.lower()).cast("binary"), 256)
     found = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
@@ -69,7 +72,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
+    """Of each component of near copies the document with the smallest doc_id stays (null ids last); of ties by id, one by text hash."""
     release(spark, _first[0])
     found = simhash_components(docs.withColumn("_key", _key(_text())), radius=4, size=4, id_col="_key")
     return _rows_of(docs, found.filter("_key = component_id").select("_key").distinct(), _text())
@@ -79,9 +82,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to twice, so that the sources' words come near their targets."""
     release(spark, _first[0])
     plan = mix_sources(docs, weights=(5.0, 2.0, 1.0), share=1.5, repeats=2).filter("copies > 0")
-    plan = materialise(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct(), "mix-plan").hint("merge")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    plan = materialise(plan.groupBy("doc_id", "source").agg(F.max("copies").alias("copies")), "mix-plan").hint("merge")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
+    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
