@@ -227,6 +227,27 @@ def test_gif_disposal_transparency_interlace_and_local_palette():
     assert list(G.read_gif(_gif([(full, [1] * 8, 1, None, 0x81, local)])))[0].pixels[0, 0].tolist() == [9, 9, 9, 255]
 
 
+def test_damaged_gifs_give_their_whole_frames_and_an_error(spark):
+    payload = bytes(range(256)) * 192 * 2
+    good = G.write_gif(payload)
+    files = [good, good[:-1], good[: len(good) * 3 // 4], b"no image", b"", None, good[:20]]
+    rows = G.frame_table(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()
+    whole, bad = {}, {}
+    for r in rows:
+        (bad if r["error"] else whole).setdefault(r["doc_id"], []).append(r["frame"])
+    assert whole == {0: [0, 1], 1: [0, 1], 2: [0]} and {k: v for k, v in bad.items()} == {1: [2], 2: [1], 3: [0], 6: [0]}
+
+
+def test_packing_spreads_a_repeated_id(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    docs = spark.range(600).selectExpr("cast(null as long) as doc_id", "'same text' as text")
+    rows = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64, group_docs=50).collect()
+    groups = {}
+    for r in rows:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(rows) == 600 and len(groups) == 12 and max(groups.values()) < 120
+
+
 def test_covering_masks_meet_every_pair():
     masks, rng = S.covering_masks(4), np.random.default_rng(3)
     assert len(masks) == 31 and {m.bit_count() for m in masks} <= set(range(28, 37))

@@ -79,3 +79,14 @@ def test_rows_of_null_and_repeated_ids_are_told_apart(spark, tmp_path):
         assert sorted(r["text"] for r in stage(spark, docs, str(tmp_path)).collect()) == sorted(clean)
     taken = Counter(r["text"] for r in corpus_pipeline.mixing(spark, docs.limit(6), str(tmp_path)).collect())
     assert max(taken.values()) <= 2
+
+
+def test_stages_with_clashing_columns_and_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, key int, id int, copies int, none int, a int, b int"
+    docs = spark.createDataFrame([(i, f"text number {i} of a few with words {i * 7}", None, "s", 1, *[i] * 7) for i in range(6)] + [(1, None, None, None, None, *[9] * 7)], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.toxicity, corpus_pipeline.exact, corpus_pipeline.near):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    assert corpus_pipeline.mixing(spark, docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.toxicity(spark, docs.limit(0), str(tmp_path)).count() == 0
