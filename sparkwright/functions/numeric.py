@@ -60,35 +60,35 @@ class Standard:
 def midpoint_quantiles(df: DataFrame, column: str, at: list[float], groups: int = 4096) -> list[float | None]:
     """Exact quantiles that lie midway between the two order statistics around the position q (n - 1).
 
-    No total order passes one task: values are counted by distinct value (partial sums before the shuffle), ranked by
-    running sums within a range partition of the values, and only the few order statistics reach the driver.
+    No order passes one task. Values are counted by distinct value (partial sums before the shuffle); a histogram of `groups`
+    cells then finds the cells that hold the wanted ranks, and only those are cut again, until each has at most `groups`
+    distinct values, which come to the driver. The first cut is even on a logarithmic scale, so that single extreme
+    values don't push all others into one cell, the later ones are even between the least and greatest value of a cell.
     """
-    values = df.select(finite(column).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    n, low, high = values.agg(F.sum("n"), F.min("v"), F.max("v")).first()
-    if not n:
+    values = df.select((finite(column) + F.lit(0.0)).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    whole = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"), F.count("*").alias("distinct")).first()
+    if not whole["n"]:
         return [None] * len(at)
-    ranks = sorted({int(f(q * (n - 1))) for q in at for f in (lambda x: x // 1, lambda x: -(-x // 1))})
-    width = (high - low) / groups or 1.0
-    cell = F.least(F.floor((F.col("v") - low) / width), F.lit(groups - 1)).cast("int")
-    counts = sorted((r["c"], r["n"]) for r in values.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect())  # at most `groups` rows
-    cells, before, at_rank = {}, 0, {}
-    for c, k in counts:
-        inside = [r for r in ranks if before <= r < before + k]
-        if inside:
-            cells[c] = (before, inside)
-        before += k
-    # only the cells that hold a wanted rank are ordered
-    from pyspark.sql import Window
-
-    wanted = values.withColumn("c", cell).filter(F.col("c").isin(list(cells)))
-    upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
-    for c, (start, inside) in cells.items():
-        for r in inside:
-            at_rank[r] = (c, r - start)
-    ranked = wanted.withColumn("upto", upto)
-    tests = [F.min(F.when((F.col("c") == c) & (F.col("upto") > k), F.col("v"))).alias(f"r{r}") for r, (c, k) in at_rank.items()]
-    row = ranked.agg(*tests).first()
-    return [(row[f"r{int(q * (n - 1) // 1)}"] + row[f"r{int(-(-q * (n - 1) // 1))}"]) / 2 for q in at]
+    places = [q * (whole["n"] - 1) for q in at]
+    found: dict[int, float] = {}
+    open_ = [(whole, 0, {int(x // 1) for x in places} | {int(-(-x // 1)) for x in places}, F.asinh("v"))]
+    while open_:
+        cell, before, ranks, scale = open_.pop()
+        inside = values.filter(F.col("v").between(cell["low"], cell["high"]))
+        if cell["distinct"] <= groups:
+            for r in sorted(inside.collect()):
+                found |= {k: r["v"] for k in ranks if before <= k < before + r["n"]}
+                before += r["n"]
+            continue
+        ends = inside.agg(F.min(scale), F.max(scale)).first()
+        width = (ends[1] - ends[0]) / groups or 1.0
+        # the floor may round, but it never falls as v rises, so the cells follow one another
+        parts = inside.groupBy(F.floor((scale - ends[0]) / width).alias("c")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+        for part in sorted(parts, key=lambda r: r["c"]):
+            if own := {k for k in ranks if before <= k < before + part["n"]}:
+                open_.append((part, before, own, F.col("v")))
+            before += part["n"]
+    return [(found[int(x // 1)] + found[int(-(-x // 1))]) / 2 for x in places]
 
 
 @dataclass(frozen=True)

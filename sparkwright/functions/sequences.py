@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,6 +148,63 @@ def deleted_tokens(ids: Column, key: Column, seed: int, share: int = 15) -> Colu
     return F.when(ids.isNotNull(), F.struct(kept["x"].alias("ids"), labels.alias("labels")))
 
 
+def _spans(key: Column, seed: int, upto: list[float], share: int) -> tuple[int, Column, Column]:
+    """(stretch, start, length) of one span in each stretch of tokens, as functions of a stretch number.
+
+    upto: cumulative probabilities of the lengths 0, 1, 2 ...; stretches are as long as gives `share` percent of all tokens.
+    A span keeps clear of its stretch's first and last token, so spans never touch and both their neighbours are seen.
+    """
+    mean = sum(1 - u for u in upto)
+    stretch = max(len(upto) + 3, round(mean * 100 / share))
+    u = lambda b, salt: F.pmod(F.xxhash64(F.lit(seed), key, b, F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    steps = F.array(*[F.lit(float(x)) for x in upto])
+    length = lambda b: F.size(F.filter(steps, lambda c: c <= u(b, 11)))
+    start = lambda b: (b * stretch + 1 + F.floor(u(b, 13) * (stretch - 1 - length(b)))).cast("int")
+    return stretch, start, length
+
+
+def span_boundaries(ids: Column, key: Column, seed: int, vocabulary: int, share: int = 15, geometric: float = 0.2, most: int = 10) -> Column:
+    """struct(ids, labels, left, right, offset): spans of geometric length hidden, with what is seen on both sides of each.
+
+    Of the spans 80 % are masked, 10 % replaced, 10 % left. left and right are the places of the tokens just outside a span,
+    offset the place in it from 1, all -1 elsewhere; labels are -100 elsewhere. A hash of (seed, key, stretch) decides.
+    """
+    upto = [0.0] + [1 - (1 - geometric) ** k for k in range(1, most)]
+    stretch, start, length = _spans(key, seed, upto, share)
+    block = lambda i: F.floor(i / stretch).cast("int")
+    first, stop = lambda i: start(block(i)), lambda i: start(block(i)) + length(block(i))
+    inside = lambda i: (i >= first(i)) & (i < stop(i)) & (stop(i) < F.size(ids))
+    kind = lambda i: F.pmod(F.xxhash64(F.lit(seed), key, block(i), F.lit(17)), F.lit(10))
+    other = lambda i: (F.pmod(F.xxhash64(F.lit(seed), key, i, F.lit(19)), F.lit(vocabulary)) + CONTENT).cast("int")
+    hide = lambda x, i: F.when(~inside(i) | (kind(i) == 9), x).when(kind(i) < 8, SPECIAL["mask"]).otherwise(other(i))
+    only = lambda value, none: F.transform(ids, lambda x, i: F.when(inside(i), value(x, i)).otherwise(none))
+    return F.struct(
+        F.transform(ids, hide).alias("ids"), only(lambda x, i: x, -100).alias("labels"), only(lambda x, i: first(i) - 1, -1).alias("left"),
+        only(lambda x, i: stop(i), -1).alias("right"), only(lambda x, i: i - first(i) + 1, -1).alias("offset"),
+    )
+
+
+def infilled_spans(ids: Column, key: Column, seed: int, share: int = 30, rate: float = 3.0, most: int = 10) -> Column:
+    """struct(ids, labels): spans of Poisson length, each become one mask; one of length 0 puts a mask where nothing was.
+
+    The label of such a mask is the length of its span, that of other tokens -100. A hash of (seed, key, stretch) decides.
+    """
+    chance, upto, total = math.exp(-rate), [], 0.0
+    for k in range(most):
+        total += chance
+        upto.append(total)
+        chance *= rate / (k + 1)
+    stretch, start, length = _spans(key, seed, upto, share)
+    block = lambda i: F.floor(i / stretch).cast("int")
+    whole = lambda i: start(block(i)) + length(block(i)) < F.size(ids)
+    begins = lambda i: whole(i) & (i == start(block(i)))
+    inside = lambda i: whole(i) & (i >= start(block(i))) & (i < start(block(i)) + length(block(i)))
+    mask, none = F.array(F.lit(SPECIAL["mask"])), F.array().cast("array<int>")
+    pieces = F.transform(ids, lambda x, i: F.concat(F.when(begins(i), mask).otherwise(none), F.when(inside(i), none).otherwise(F.array(x))))
+    labels = F.transform(ids, lambda x, i: F.concat(F.when(begins(i), F.array(length(block(i)))).otherwise(none), F.when(inside(i), none).otherwise(F.array(F.lit(-100)))))
+    return F.struct(F.flatten(pieces).alias("ids"), F.flatten(labels).alias("labels"))
+
+
 def token_accuracy(predicted: Column, target: Column, mask: Column) -> Column:
     """Share of equal tokens among those the mask (0/1) counts."""
     hits = F.zip_with(F.zip_with(predicted, target, lambda a, b: (a == b).cast("double")), mask, lambda e, m: e * m)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +67,33 @@ def pool_violators(y: np.ndarray, w: np.ndarray) -> list[tuple[int, int, float]]
     return [(int(a), int(b), m) for a, b, m, _ in blocks]
 
 
-def fit_isotonic(df: DataFrame, score: str, label: str, cells: int = 10_000) -> list[tuple[float, float]]:
-    """Knots (score, probability): one for each block, at its mean score.
+def _blocks(table: pd.DataFrame) -> pd.DataFrame:
+    """Rows (s, sy, y, n) in the order of s -> one row for each block: least s, and the sums of s over rows, of y and of n."""
+    cuts = [a for a, _, _ in pool_violators((table["y"] / table["n"]).to_numpy(), table["n"].to_numpy(float))]
+    sums = {c: np.add.reduceat(table[c].to_numpy(float), cuts) if cuts else [] for c in ("sy", "y", "n")}
+    return pd.DataFrame({"s": table["s"].to_numpy(float)[cuts], **sums})
 
-    Rows meet the driver as sums of at most `cells` cells of equal width in the rank of Spark's own isotonic model's input:
-    equal scores are pooled first; where there are more distinct scores than cells, neighbours in the same cell too.
+
+def fit_isotonic(df: DataFrame, score: str, label: str) -> list[tuple[float, float]]:
+    """Knots (score, probability): one for each block of the best rising fit, at its mean score.
+
+    Exact at every size: equal scores are pooled first, each task then pools the violators of its own range of scores to
+    blocks, and the driver pools the blocks, which comes to the same fit in whatever order violators are pooled.
     """
-    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("double")).alias("y"), F.count("*").alias("n"))
-    low, high, distinct = rows.agg(F.min("s"), F.max("s"), F.count("*")).first()
-    cell = F.col("s") if distinct <= cells else F.floor((F.col("s") - low) / ((high - low) / cells))
-    table = rows.groupBy(cell.alias("c")).agg(F.sum(F.col("s") * F.col("n")).alias("s"), F.sum("y").alias("y"), F.sum("n").alias("n")).orderBy("c").collect()
-    s, y, n = (np.array([float(r[k]) for r in table]) for k in ("s", "y", "n"))
-    return [(float(s[a:b].sum() / n[a:b].sum()), m) for a, b, m in pool_violators(y / n, n)]
+    s = F.col(score).cast("double")
+    rows = df.filter(s.isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("s")).agg(F.sum(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("n"))
+    ranges = rows.select("s", (F.col("s") * F.col("n")).alias("sy"), "y", "n").repartitionByRange("s").sortWithinPartitions("s")
+
+    def pool(batches):
+        held = None
+        for pdf in batches:
+            held = _blocks(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+        if held is not None:
+            yield held
+
+    found = ranges.mapInPandas(pool, "s double, sy double, y double, n double").toPandas()
+    found = _blocks(found.sort_values("s", ignore_index=True)) if len(found) else found
+    return [(float(r.sy / r.n), float(r.y / r.n)) for r in found.itertuples()]
 
 
 def interpolate(score: Column, knots: list[tuple[float, float]]) -> Column:

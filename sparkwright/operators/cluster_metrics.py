@@ -144,27 +144,56 @@ def xie_beni(df: DataFrame, vector: str, members: str, centres: list[list[float]
 def rank_scores(df: DataFrame, key: str, data: str, embedding: str, k: int) -> DataFrame:
     """trustworthiness and continuity: how far the k nearest neighbours of one space are behind rank k in the other.
 
-    Ranks need each row's distances to all rows, which is quadratic work: a task ranks one block of rows against all.
+    Ranks need each row's distances to all rows, which is quadratic work: a task compares one block of rows with another. It
+    gives out the k nearest of the block for each row, and in a second pass how many rows of the block are nearer than each of
+    the neighbours found; no pair of rows is ever a row.
     """
     n = df.count()
     if not 0 < 2 * k < n:
         raise ValueError("k must be positive and below half the rows")
     both = df.select(F.col(key).alias("key"), F.concat(F.col(data).cast("array<double>"), F.col(embedding).cast("array<double>")).alias("xy"), F.size(data).alias("cut"))
-    left, right = block_pairs(both, "key", "xy", extra=("cut",), rows=n)
+    kind = dict(df.dtypes)[key]
 
-    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"key": [], "other": [], "dx": [], "dy": []})
+    def spaces(a: pd.DataFrame, b: pd.DataFrame) -> list[np.ndarray]:
         cut = int(a["cut"].iloc[0])
         xa, xb = np.stack(a["vector"]), np.stack(b["vector"])
-        dx, dy = distances(xa[:, :cut], xb[:, :cut]), distances(xa[:, cut:], xb[:, cut:])
-        i, j = np.nonzero(a["key"].to_numpy()[:, None] != b["key"].to_numpy())
-        return pd.DataFrame({"key": a["key"].to_numpy()[i], "other": b["key"].to_numpy()[j], "dx": dx[i, j].round(9), "dy": dy[i, j].round(9)})
+        own = a["key"].to_numpy()[:, None] == b["key"].to_numpy()
+        return [np.where(own, np.inf, distances(xa[:, s], xb[:, s]).round(9)) for s in (slice(None, cut), slice(cut, None))]
+
+    def nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(a) and len(b):
+            b = b.sort_values("key", ignore_index=True)  # so that a stable sort breaks ties by key
+            both_spaces = spaces(a, b)
+            for space, d in enumerate(both_spaces):
+                j = np.argsort(d, axis=1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(len(a)), j.shape[1])
+                parts.append(pd.DataFrame({"key": a["key"].to_numpy()[i], "space": space, "other": b["key"].to_numpy()[j.ravel()], "near": d[i, j.ravel()], "far": both_spaces[1 - space][i, j.ravel()]}))
+            parts = [p[np.isfinite(p["near"])] for p in parts]
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("key", "space", "other", "near", "far")})
 
-    kind = dict(df.dtypes)[key]
-    d = left.cogroup(right).applyInPandas(pairs, f"key {kind}, other {kind}, dx double, dy double")
-    rank = lambda c: F.row_number().over(Window.partitionBy("key").orderBy(c, "other"))
-    r = d.select("key", rank("dx").alias("rx"), rank("dy").alias("ry"))
-    excess = lambda here, there: F.sum(F.when(F.col(here) <= k, F.greatest(F.col(there) - k, F.lit(0))).otherwise(0))
+    left, right = block_pairs(both, "key", "xy", extra=("cut",), rows=n)
+    found = left.cogroup(right).applyInPandas(nearest_in_block, f"key {kind}, space int, other {kind}, near double, far double")
+    best = Window.partitionBy("key", "space").orderBy("near", "other")  # k rows of each block
+    found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+    limits = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("space", "other", "far"))).alias("l"))
+    asked = both.join(limits, "key").select("key", "xy", "cut", F.col("l.space").alias("space"), F.col("l.other").alias("other"), F.col("l.far").alias("far"))
+
+    def nearer_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"key": [], "space": [], "other": [], "n": []}
+        if len(a) and len(b):
+            both_spaces, names = spaces(a, b), b["key"].to_numpy()
+            for i, (name, space, other, far) in enumerate(zip(a["key"], a["space"], a["other_"], a["far"], strict=True)):
+                for s, o, f in zip(space, other, far, strict=True):
+                    d = both_spaces[1 - s][i]
+                    for c, v in zip(out, (name, s, o, int(((d < f) | (d == f) & (names < o)).sum())), strict=True):
+                        out[c].append(v)
+        return pd.DataFrame(out)
+
+    asked = asked.withColumnRenamed("other", "other_")
+    left, right = block_pairs(asked, "key", "xy", extra=("cut", "space", "other_", "far"), rows=n)
+    counts = left.cogroup(right).applyInPandas(nearer_in_block, f"key {kind}, space int, other {kind}, n bigint")
+    ranks = counts.groupBy("key", "space", "other").agg((F.sum("n") + 1).alias("rank"))
     scale = 2.0 / (n * k * (2 * n - 3 * k - 1))
-    return r.agg((1 - scale * excess("ry", "rx")).alias("trustworthiness"), (1 - scale * excess("rx", "ry")).alias("continuity"))
+    behind = lambda space: F.sum(F.when(F.col("space") == space, F.greatest(F.col("rank") - k, F.lit(0))).otherwise(0))
+    return ranks.agg((1 - scale * behind(1)).alias("trustworthiness"), (1 - scale * behind(0)).alias("continuity"))

@@ -87,6 +87,16 @@ def decision_loss(logits: Column, valid: Column, target: Column, ordinal: Column
     return nll + F.when(ordinal, weight * (expected - target) * (expected - target)).otherwise(0.0)
 
 
+def absolute_error(p: Column, t: Column) -> Column:
+    return F.abs(t - p)
+
+
+def cosine_loss(p: Column, t: Column) -> Column:
+    """1 less the cosine of two vectors; a tiny constant keeps zero vectors at 1."""
+    dot = lambda a, b: V.total(F.zip_with(a, b, lambda x, y: x * y))
+    return 1 - dot(p, t) / (F.sqrt(dot(p, p)) * F.sqrt(dot(t, t)) + 1e-8)
+
+
 def matryoshka(p: Column, t: Column, sizes: list[int], weights: list[float]) -> Column:
     """Weighted mean squared errors of nested prefixes of two vectors."""
     parts = [w * V.squared_euclid(F.slice(p, 1, n), F.slice(t, 1, n)) / n for n, w in zip(sizes, weights, strict=True)]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import positions
+
 KEYS = ["sample_id", "task_id"]
 REQUIRED = ["sample_id", "task_id", "op", "seq"]
 
@@ -20,8 +22,7 @@ def payload_crc(df: DataFrame, columns: list[str]) -> Column:
 def append_events(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """The new events numbered after the log's last seq. Numbers rise in the given order; they run over the new batch only."""
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    by = Window.orderBy(*order)  # an annotation batch, not the log
-    return new.crossJoin(last).withColumn("seq", F.col("last") + F.row_number().over(by)).drop("last")
+    return positions(new, order, "_at").crossJoin(last).withColumn("seq", F.col("last") + F.col("_at") + 1).drop("last", "_at")
 
 
 def split_valid(lines: DataFrame, schema: str, crc_of: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -132,19 +133,44 @@ def prediction_report(df: DataFrame, column: str, labels: int) -> DataFrame:
     return df.agg(F.count_if(F.col(column).isNotNull() & good).alias("ok"), F.count_if(F.col(column).isNotNull() & ~F.coalesce(good, F.lit(False))).alias("bad"), F.count_if(F.col(column).isNull()).alias("missing"))
 
 
-def candidates(df: DataFrame, key: str, seed: str, count: int, shards: int = 1) -> DataFrame:
+def candidates(df: DataFrame, key: str, seed: str, count: int) -> DataFrame:
     """For each sample `count` other samples (key, place, candidate): its successors on a ring ordered by a seeded hash.
 
-    Successors come from an equality join on the place in the ring, so there is no join of all samples with all. Large
-    tables use several rings (shards), each ordered by itself.
+    Successors come from an equality join on the place in the ring, so there is no join of all samples with all, and places
+    from counts of range partitions, so no task orders all ids.
     """
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"), 256)
-    ring = df.select(key, h.alias("h")).withColumn("shard", F.pmod(F.crc32(F.col("h").cast("binary")), F.lit(shards)))
-    ring = ring.withColumn("at", F.row_number().over(Window.partitionBy("shard").orderBy("h", key)) - 1).withColumn("size", F.count("*").over(Window.partitionBy("shard")))
-    steps = F.explode(F.filter(F.sequence(F.lit(1), F.lit(count)), lambda i: i < F.col("size")))
-    asked = ring.withColumn("place", steps).withColumn("at", (F.col("at") + F.col("place")) % F.col("size"))
-    found = ring.select("shard", "at", F.col(key).alias("candidate"))
-    return asked.join(found, ["shard", "at"]).select(key, "place", "candidate")
+    size = df.count()
+    ring = positions(df.select(key, h.alias("h")), ["h", key], "at")
+    asked = ring.select(key, "at", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("place")).filter(F.col("place") < size)
+    asked = asked.withColumn("at", (F.col("at") + F.col("place")) % size)
+    return asked.join(ring.select("at", F.col(key).alias("candidate")), "at").select(key, "place", "candidate")
+
+
+def fixed_candidates(fresh: DataFrame, saved: DataFrame, drafts: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """key, candidates: those of a draft, else of a saved label, else the fresh ones, so that pairs never drift.
+
+    saved and drafts: key, candidates (array); of these, ids that are not among the samples are left out. fresh: key, place, candidate.
+    """
+    drawn = fresh.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate"))), lambda c: c["candidate"]).alias("fresh"))
+    held = drafts.select(key, "candidates", F.lit(0).alias("rank")).unionByName(saved.select(key, "candidates", F.lit(1).alias("rank")))
+    held = held.groupBy(key).agg(F.min_by("candidates", "rank").alias("candidates"))
+    single = held.select(key, F.posexplode("candidates").alias("place", "candidate")).join(samples.select(F.col(key).alias("candidate")).distinct(), "candidate")
+    kept = single.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate"))), lambda c: c["candidate"]).alias("kept"))
+    out = samples.select(key).join(drawn, key, "left").join(held.select(key, F.lit(True).alias("held")), key, "left").join(kept, key, "left")
+    none = F.array().cast(drawn.schema["fresh"].dataType)
+    return out.select(key, F.when(F.col("held"), F.coalesce("kept", none)).otherwise(F.coalesce("fresh", none)).alias("candidates"))
+
+
+def lookup_predictions(samples: DataFrame, cells: DataFrame, cell: str, labels: int, key: str = "sample_id") -> DataFrame:
+    """key, probs, problem: the JSON array of probabilities of each sample's cell, or a uniform one and what was wrong."""
+    p = F.from_json(F.col(cell), "array<double>")
+    good = F.coalesce(p.isNotNull() & (F.size(p) == labels) & F.forall(p, lambda x: x.between(0, 1)), F.lit(False))
+    total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    rows = samples.select(key).join(cells.select(key, cell), key, "left")
+    probs = F.when(good & (total > 0), F.transform(p, lambda x: x / total)).otherwise(F.array_repeat(F.lit(1.0 / labels), labels))
+    problem = F.when(F.col(cell).isNull(), "no value").when(~good | (total <= 0), "unreadable")
+    return rows.select(key, probs.alias("probs"), problem.alias("problem"))
 
 
 def is_confidence(c: Column) -> Column:

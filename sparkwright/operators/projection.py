@@ -13,8 +13,9 @@ from .cluster_metrics import scatter
 
 
 def fix_signs(axes: np.ndarray) -> np.ndarray:
-    """Columns turned so that their largest entry is positive."""
-    s = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    """Columns turned so that their largest entry is positive; of entries equal but for rounding, the first."""
+    size = np.abs(axes)
+    s = np.sign(axes[(size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0), np.arange(axes.shape[1])])
     return axes * np.where(s == 0, 1, s)
 
 
@@ -80,6 +81,17 @@ class RunningSVD:
         keep = s > 1e-10 * s[0]
         self.basis, self.sigma = fix_signs(vt[keep][: self.rank].T), s[keep][: self.rank]
 
+    def project(self, vector: Column) -> Column:
+        """The vector's coordinates on the components."""
+        x = F.transform(vector, lambda v: v.cast("double"))
+        dot = lambda row: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in row]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        return F.array(*[dot(self.basis[:, k]) for k in range(self.basis.shape[1])])
+
+    def restore(self, coordinates: Column) -> Column:
+        """The vector behind coordinates; exact for rows seen if no component was cut off."""
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.basis])
+        return F.transform(rows, lambda row: F.aggregate(F.zip_with(row, coordinates, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
+
     @property
     def explained(self) -> np.ndarray:
         return self.sigma**2 / self.energy

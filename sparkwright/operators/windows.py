@@ -64,17 +64,21 @@ def schedule(steps: int, start: float, stop: float, shape: str = "linear") -> Co
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.lit(start) + (stop - start) * curve(i))
 
 
-def ordered_split(df: DataFrame, order: list[str], shares: list[float]) -> DataFrame:
-    """Add `part`: 0, 1, ... by position in the order. Positions come from counts of range partitions, not from one sorted task."""
-    n = df.count()
+def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add each row's place in the order, from 0. Places come from counts of range partitions, not from one sorted task."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
     inside = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     sizes = inside.groupBy("_pid").agg(F.count("*").alias("_n"))
     start = sizes.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    placed = inside.join(start, "_pid").withColumn("_at", F.col("_start") + F.col("_rn") - 1)
+    return inside.join(start, "_pid").withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_pid", "_rn", "_start")
+
+
+def ordered_split(df: DataFrame, order: list[str], shares: list[float]) -> DataFrame:
+    """Add `part`: 0, 1, ... by position in the order."""
+    n = df.count()
     ends, at = [], 0.0
     for s in shares[:-1]:
         at += s
         ends.append(int(round(at * n)))
     part = sum([(F.col("_at") >= e).cast("int") for e in ends], F.lit(0))
-    return placed.withColumn("part", part).drop("_pid", "_rn", "_start", "_at")
+    return positions(df, order, "_at").withColumn("part", part).drop("_at")

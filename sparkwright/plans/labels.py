@@ -117,6 +117,31 @@ def candidates_hash(spark, sf_dir):
     return L.candidates(table(spark, sf_dir, "documents"), "doc_id", "7", 3)
 
 
+@query("""with r as (select doc_id, row_number() over (order by sha256('7:' || doc_id), doc_id) - 1 as at, count(*) over () as n from documents), k as (select unnest(range(1, 4)) as place),
+f as (select r.doc_id, list(c.doc_id order by place) as fresh from r, k join r c on c.at = (r.at + place) % r.n where place < r.n group by 1),
+d as (select doc_id, max(toxic) as toxic, max(quality) as quality from labels group by 1),
+h as (select doc_id, case when toxic = 1 then [doc_id + 1, -1, doc_id + 2] when quality = 1 then [doc_id + 3] end as held from d),
+x as (select doc_id, unnest(held) as x, generate_subscripts(held, 1) as i from h where held is not null),
+l as (select x.doc_id, list(x.x order by x.i) as kept from x join documents d on d.doc_id = x.x group by 1)
+select f.doc_id, array_to_string(case when h.held is not null then coalesce(l.kept, []::bigint[]) else fresh end, ' ') as candidates from f left join h using (doc_id) left join l using (doc_id)""")
+def candidates_fixed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    d = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    drafts = d.filter("toxic = 1").selectExpr("doc_id", "array(doc_id + 1, cast(-1 as bigint), doc_id + 2) as candidates")
+    saved = d.filter("quality = 1").selectExpr("doc_id", "array(doc_id + 3) as candidates")
+    out = L.fixed_candidates(L.candidates(docs, "doc_id", "7", 3), saved, drafts, docs, "doc_id")
+    return out.select("doc_id", F.array_join(F.col("candidates").cast("array<string>"), " ").alias("candidates"))
+
+
+@query("""with d as (select doc_id, max(toxic) as toxic, max(quality) as quality from labels group by 1)
+select doc_id, round(case when toxic = 1 then 0.75::double when quality = 1 then 0.4::double else 0.5::double end, 6) + 0.0 as p, case when toxic = 1 or quality = 1 then null when toxic = 0 then 'unreadable' else 'no value' end as problem from documents left join d using (doc_id)""")
+def precomputed_predictions(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    cell = F.when(F.col("toxic") == 1, "[0.75,0.25]").when(F.col("quality") == 1, "[0.4,0.6]").when(F.col("toxic") == 0, "[2,x")
+    out = L.lookup_predictions(table(spark, sf_dir, "documents"), d.withColumn("cell", cell), "cell", 2, "doc_id")
+    return out.select("doc_id", rounded(F.get("probs", F.lit(0))).alias("p"), "problem")
+
+
 @query("""select doc_id, case when toxic = 1 then 'toxic|clean' else '{"value":"clean","confidence":0.5}' end as cell, case when toxic = 1 then 2 else 1 end as n, case when toxic = 1 then null else 0.5::double end as confidence from labels""")
 def label_cells(spark, sf_dir):
     l = table(spark, sf_dir, "labels")

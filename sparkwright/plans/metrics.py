@@ -177,3 +177,12 @@ def mixture_nll(spark, sf_dir):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     df = table(spark, sf_dir, "events").filter("value is not null")
     return df.select("event_id", rounded(L.mixture_nll(arr(0.3, 0.7), arr(20.0, 60.0), arr(10.0, 25.0), F.col("value"))).alias("nll"))
+
+
+@query("""with v as (select vec_id, cast(embedding as double[]) as p, list_reverse(cast(embedding as double[])) as t from embeddings)
+select vec_id, round(1 - list_dot_product(p, t) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(t, t)) + 1e-8::double), 6) + 0.0 as cosine, round(list_sum(list_transform(list_zip(p, t), lambda z: abs(z[1] - z[2]))) / len(p), 6) + 0.0 as difference from v""")
+def vector_losses(spark, sf_dir):
+    """Each vector against itself backwards."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("p")).withColumn("t", F.reverse("p"))
+    apart = F.zip_with("p", "t", L.absolute_error)
+    return v.select("vec_id", rounded(L.cosine_loss(F.col("p"), F.col("t"))).alias("cosine"), rounded(V.total(apart) / F.size("p")).alias("difference"))

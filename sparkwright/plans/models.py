@@ -113,10 +113,10 @@ def relative_weights(spark, sf_dir):
     return spark.createDataFrame(list(w.items()), "feature string, weight double").select("feature", rounded(F.col("weight")).alias("weight"))
 
 
-@query("""with m as (select avg(l_quantity) as ma, stddev_pop(l_quantity) as sa, avg(l_extendedprice) as mb, stddev_pop(l_extendedprice) as sb from lineitem)
-select l_orderkey, l_linenumber, round(((l_quantity - ma) / sa + (l_extendedprice - mb) / sb) / sqrt(2), 4) + 0.0 as pc1 from lineitem, m""")
+@query("""with m as (select avg(l_quantity) as ma, stddev_pop(l_quantity) as sa, avg(l_extendedprice) as mb, stddev_pop(l_extendedprice) as sb, sign(corr(l_quantity, l_extendedprice)) as r from lineitem)
+select l_orderkey, l_linenumber, round(((l_quantity - ma) / sa + r * (l_extendedprice - mb) / sb) / sqrt(2), 4) + 0.0 as pc1 from lineitem, m""")
 def pca2(spark, sf_dir):
-    """Of two positively correlated columns, whose first axis is known: equal weights."""
+    """Of two columns, whose first axis is known: equal weights, of the sign of their correlation."""
     df = table(spark, sf_dir, "lineitem").withColumn("x", F.array("l_quantity", "l_extendedprice"))
     p = projection.fit_pca(df, "x", 1)
     return df.select("l_orderkey", "l_linenumber", rounded(F.get(p.project(F.col("x")), F.lit(0)), 4).alias("pc1"))
@@ -137,6 +137,15 @@ def incremental_svd(spark, sf_dir):
     return spark.createDataFrame([(i, float(s), float(x)) for i, (s, x) in enumerate(zip(m.sigma, m.explained, strict=True))], "component int, sigma double, explained double")
 
 
+@query("""select vec_id, round(list_sum(embedding::double[]), 3) + 0.0 as total, round(list_sum(list_transform(embedding::double[], lambda x: x * x)), 3) + 0.0 as squares from embeddings""")
+def svd_inverse(spark, sf_dir):
+    """Projected on all components and back: the vectors themselves."""
+    e = table(spark, sf_dir, "embeddings")
+    m = projection.update_svd(projection.RunningSVD(rank=64), e, "embedding")
+    back = e.select("vec_id", m.project(F.col("embedding")).alias("c")).select("vec_id", m.restore(F.col("c")).alias("x"))
+    return back.select("vec_id", rounded(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), rounded(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 3).alias("squares"))
+
+
 @query()
 def local_density(spark, sf_dir):
     """Relative density at each label's mean: rows within 1.67 times the mean of its 20 nearest distances, over the ball's volume."""

@@ -98,7 +98,8 @@ select item_id, array_to_string(list_concat([1], a, [2], b, [2]), ' ') as ids, c
 def paired_sequence(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", _ids().alias("a"))
     nxt = b.select((F.col("item_id")).alias("next"), F.col("a").alias("b"))
-    order = b.select("item_id", F.lead("item_id").over(Window.orderBy("item_id")).alias("next"))  # a benchmark list, ids only
+    at = W.positions(b.select("item_id"), ["item_id"], "at")
+    order = at.join(at.select(F.col("item_id").alias("next"), (F.col("at") - 1).alias("at")), "at").select("item_id", "next")
     p = b.join(order, "item_id").join(nxt, "next")
     return p.select("item_id", F.array_join(S.paired_sequence(F.col("a"), F.col("b")), " ").alias("ids"), F.size(S.segment_ids(F.col("a"), F.col("b"))).alias("n"))
 
@@ -171,6 +172,18 @@ def token_deletion(spark, sf_dir):
     return d.select("doc_id", F.size("ids").alias("n"), F.size("c.ids").alias("kept"), F.aggregate("c.labels", F.lit(0), lambda a, x: a + x).alias("deleted_inside"))
 
 
+@query()
+def span_boundary(spark, sf_dir):
+    d = _distorted(spark, sf_dir).withColumn("c", S.span_boundaries(F.col("ids"), F.col("doc_id"), 7, 30000))
+    return d.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("c.offset", lambda x: x > 0)).alias("hidden"), F.size(F.filter("c.offset", lambda x: x == 1)).alias("spans"))
+
+
+@query()
+def text_infilling(spark, sf_dir):
+    d = _distorted(spark, sf_dir).withColumn("c", S.infilled_spans(F.col("ids"), F.col("doc_id"), 7))
+    return d.select("doc_id", F.size("ids").alias("n"), F.size("c.ids").alias("kept"), F.size(F.filter("c.labels", lambda x: x >= 0)).alias("spans"))
+
+
 @query(SERIES + """, t as (select user_id, a[1:6] as p, list_concat(a[2:6], [a[1]]) as q from v where len(a) >= 6)
 select user_id, round(list_sum(list_transform(list_zip(p, q), lambda z: cast(z[1] = z[2] as int))) / 6.0::double, 6) + 0.0 as accuracy, list_bool_and(list_transform(list_zip(p, q), lambda z: z[1] = z[2])) as exact from t""")
 def token_accuracy(spark, sf_dir):

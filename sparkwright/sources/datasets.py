@@ -41,7 +41,7 @@ def as_samples(df: DataFrame) -> DataFrame:
     others = [c for c in df.columns if c not in RESERVED]
     extra = F.map_from_arrays(F.array(*[F.lit(c) for c in others]), F.array(*[F.col(c).cast("string") for c in others])) if others else F.create_map().cast("map<string,string>")
     rows = df.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    name = F.coalesce(*ids, F.concat(F.lit("row"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 12)))
+    name = F.coalesce(*ids, F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string")))
     return rows.select(name.alias("id"), "text", F.map_filter(extra, lambda k, v: v.isNotNull() & (v != "")).alias("extra"))
 
 

@@ -189,7 +189,7 @@ def test_audio(spark, tmp_path):
     s = audio.spectra(df, "path", "signal", 256, 128).collect()
     assert len(s) == 5 and int(np.argmax(s[0]["spectrum"])) == 32
     edges = audio.band_edges(129, 8)
-    assert edges[0] == 0 and edges[-1] == 129 and len(audio.pool_bands(audio.spectra(df, "path", "signal", 256, 128), "spectrum", edges).first()["bands"]) == 8
+    assert edges[0] == 1 and edges[-1] == 129 and len(audio.pool_bands(audio.spectra(df, "path", "signal", 256, 128), "spectrum", edges).first()["bands"]) == 8
     assert len(audio.downsample(np.ones(100), 4)) == 25 and np.allclose(audio.hartley(audio.hartley(np.arange(8.0))) / 8, np.arange(8.0))
 
 
@@ -202,3 +202,73 @@ def test_pipeline(spark):
     assert [tuple(r) for r in p.encode(df).collect()] == [(0.0, 1), (1.0, 2)]
     assert p.layout() == [("n_min_max", 0, 1), ("c_categories", 1, 1)] and p.category_outputs() == {1: 2} and p.numeric_outputs() == [0]
     assert expand_arrays(df.withColumn("v", F.array("n", "n")), {"v": 2}).columns == ["n", "c", "v_0", "v_1"]
+
+
+def test_midpoint_quantiles_with_extreme_values(spark):
+    """A few values of huge size don't push the rest into one cell; every cut stays exact."""
+    rng = np.random.default_rng(6)
+    values = [*rng.normal(0, 1, 3000).tolist(), *(1e3 + rng.random(500) * 1e-9).tolist(), 1e300, -1e300, 1e-300, 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
+    assert midpoint_quantiles(df, "v", at, groups=16) == [np.quantile(values, q, method="midpoint") for q in at]
+
+
+def test_isotonic_is_exact_on_many_skewed_scores(spark):
+    rng = np.random.default_rng(7)
+    s = np.r_[rng.random(20_000), 1e9]
+    y = np.r_[rng.random(20_000) < s[:-1], True].astype(int)
+    df = spark.createDataFrame(list(zip(s.tolist(), y.tolist(), strict=True)), "s double, y int").repartition(6)
+    knots = calibration.fit_isotonic(df, "s", "y")
+    order = np.argsort(s)
+    want = [(s[order][a:b].mean(), m) for a, b, m in calibration.pool_violators(y[order].astype(float), np.ones(len(s)))]
+    assert len(knots) == len(want) > 20 and np.allclose(knots, want)
+
+
+def test_band_edges_rise_and_leave_out_zero_frequency():
+    for bins, bands, least in ((129, 8, 1), (65, 8, 2), (20, 9, 2), (1025, 40, 1)):
+        edges = audio.band_edges(bins, bands, least)
+        assert edges[0] == 1 and edges[-1] == bins and min(np.diff(edges)) >= least
+    with pytest.raises(ValueError):
+        audio.band_edges(8, 8)
+
+
+def test_samples_of_equal_text_get_ids_of_their_own(spark):
+    from sparkwright.sources.datasets import as_samples, repeated_ids
+
+    rows = as_samples(spark.createDataFrame([("a",), ("a",), ("b",)], "text string"))
+    assert rows.count() == 3 and repeated_ids(rows).count() == 0
+
+
+def test_candidates_over_many_partitions(spark):
+    from sparkwright.operators.labels import candidates
+
+    got = candidates(spark.range(500).withColumnRenamed("id", "k").repartition(9), "k", "s", 3).collect()
+    pairs = {}
+    for r in got:
+        pairs.setdefault(r["k"], []).append(r["candidate"])
+    assert len(pairs) == 500 and all(len(set(v)) == 3 and k not in v for k, v in pairs.items())
+
+
+def test_hidden_and_infilled_spans(spark):
+    from sparkwright.functions import sequences as S
+
+    rows = [(i, list(range(100, 100 + n))) for i, n in enumerate([0, 1, 5, 4000, 900])] + [(9, None)]
+    df = spark.createDataFrame(rows, "k long, ids array<int>")
+    for r in df.select("k", "ids", S.span_boundaries(F.col("ids"), F.col("k"), 3, 1000).alias("c")).filter("ids is not null").collect():
+        n, c = len(r["ids"]), r["c"]
+        hidden = [i for i in range(n) if c["offset"][i] > 0]
+        assert n < 900 or 0.1 < len(hidden) / n < 0.2
+        for i in range(n):
+            if i not in hidden:
+                assert (c["ids"][i], c["labels"][i], c["left"][i], c["right"][i]) == (r["ids"][i], -100, -1, -1)
+            else:
+                assert c["labels"][i] == r["ids"][i] and c["left"][i] == i - c["offset"][i] and c["offset"][c["left"][i]] < 0 and c["offset"][c["right"][i]] < 0
+    for r in df.select("k", "ids", S.infilled_spans(F.col("ids"), F.col("k"), 3).alias("c")).filter("ids is not null").collect():
+        ids, labels, at = r["c"]["ids"], r["c"]["labels"], 0
+        for x, y in zip(ids, labels, strict=True):
+            if y < 0:
+                assert x == r["ids"][at]
+                at += 1
+            else:
+                at += y
+        assert at == len(r["ids"]) and (at < 900 or 0.2 < (at - sum(y < 0 for y in labels)) / at < 0.4)
