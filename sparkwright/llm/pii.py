@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ _BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 _WORD = r"\p{L}{3,}"
 
 
-def located(text: Column, pattern: str, source: Column | None = None) -> Column:
-    """Array of struct(start, end, value) of all matches, in code points, the end exclusive.
+def located(text: Column, pattern: str, source: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Array of struct(start, end, value) of all matches, or of those whose value passes `keep`, in code points, the end exclusive.
 
     The lengths of the pieces between matches give the places; `source` is the text that values are taken from if it
     differs from the searched one, which must then agree with it position by position.
@@ -38,7 +40,9 @@ def located(text: Column, pattern: str, source: Column | None = None) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + x["len"]
         value = x["value"] if source is None else F.substring(source, begin + 1, x["len"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+        put = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value"))))
+        # what isn't kept adds nothing to the array, so that finding a few words among many takes linear time
+        return F.struct(end.alias("at"), (put if keep is None else F.when(keep(x["value"]), put).otherwise(acc["out"])).alias("out"))
 
     return F.when(F.size(values) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
@@ -154,7 +158,7 @@ def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.
     hits = found.select("rk", F.explode("terms").alias("term")).join(small(told), "term").groupBy("rk").agg(F.collect_set("term").alias("told"))
     hits = materialise(hits, "pii-hits")
     keyed = rows.select("text", _row_key(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("rk"))
-    marked = F.filter(located(F.lower("text"), _WORD), lambda w: F.array_contains("told", w["value"]))
+    marked = located(F.col("text"), _WORD, keep=lambda w: F.array_contains("told", F.lower(w)))
     span = lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["end"].alias("end"), F.lit(TERM).alias("kind"), w["value"].alias("value"))
     extra = keyed.join(small(hits), "rk").select("rk", F.transform(marked, span).alias("marked")).dropDuplicates(["rk"])
     extra = materialise(extra, "pii-extra")
