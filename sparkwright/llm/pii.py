@@ -114,8 +114,9 @@ def disclosing_terms(found: DataFrame, support: int, disclosure: float, certaint
     """term, entity, n_te, n_t, n_e, total: the pairs of find_personal_data's rule, counted over the distinct texts of found."""
     total = found.agg(F.count_distinct("th", "th2")).first()[0]
     reps = found.groupBy("th", "th2").agg(F.min("rid").alias("rid")).select("rid")
-    texts = found.select("rid", "entities", "terms").join(reps, "rid", "left_semi")
-    words = texts.select(F.explode("terms").alias("term"), (F.size("entities") > 0).cast("long").alias("private"))
+    # shuffled as one string: an array of short strings takes several times the room
+    texts = found.select("rid", (F.size("entities") > 0).cast("long").alias("private"), F.array_join("terms", " ").alias("terms")).join(reps, "rid", "left_semi")
+    words = texts.filter("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term"), "private")
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"), F.sum("private").alias("n_p"))
     # a term of a pair that passes stands in at least `support` texts with entities, and these are at least `certainty` of its texts
     rare = small(materialise(counts.filter((F.col("n_p") >= support) & (F.col("n_p") >= certainty * F.col("n_t"))).select("term", "n_t"), "pii-rare"))
