@@ -132,11 +132,11 @@ def softmax(v: Column) -> Column:
 
 
 def masked_softmax(v: Column, valid: Column, temperature: Column | float = 1.0) -> Column:
-    """Over the valid slots; the others get exactly 0."""
+    """Over the valid slots; the others get exactly 0, and so do all where none is valid."""
     seen = F.zip_with(v, valid, lambda x, m: F.when(m, x / temperature))
     top = F.array_max(seen)
     e = F.transform(seen, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    return F.transform(e, lambda x: x / total(e))
+    return F.transform(e, lambda x: F.coalesce(x / F.nullif(total(e), F.lit(0.0)), F.lit(0.0)))
 
 
 def free_energy(scores: Column, temperature: float) -> Column:

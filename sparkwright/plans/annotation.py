@@ -12,14 +12,14 @@ from ..operators import labels as L
 from ..sources import datasets
 from .registry import query, rounded, table
 from .sequences import SENT
-from .vectors import MEANS, SOFT, _pairs, _slice
+from .vectors import MEANS, SOFT, _pairs, _whole
 
 
-@query(SOFT + """, h as (select q.vec_id, p, e.label % 8 as human from q join embeddings e using (vec_id))
+@query(SOFT + """, h as (select q.vec_id, p, e.label as human from q join embeddings e using (vec_id))
 select vec_id, round(1 - p[cast(human + 1 as int)], 6) + 0.0 as disagreement, human <> list_position(p, list_max(p)) - 1 as differs from h""")
 def disagreement(spark, sf_dir):
     """One less the probability that a model gives to the human label."""
-    s = _slice(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("human", (F.col("label") % 8).cast("int"))
+    s = _whole(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("human", F.col("label").cast("int"))
     best = F.array_position("p", F.array_max("p")) - 1
     return s.select("vec_id", rounded(1 - F.get("p", F.col("human"))).alias("disagreement"), (F.col("human") != best).alias("differs"))
 
@@ -60,17 +60,13 @@ def text_lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"), F.max("n_chars").alias("max_chars"))
 
 
-@query("select vec_id, array_to_string(list_transform(list_sort(list_transform(range(1, 9), lambda i: (-cast(embedding[i] as double), i)))[1:2], lambda z: z[2] - 1), ' ') as experts from embeddings")
+@query("select vec_id, array_to_string(list_transform(list_sort(list_transform(range(1, 65), lambda i: (-cast(embedding[i] as double), i)))[1:2], lambda z: z[2] - 1), ' ') as experts from embeddings")
 def select_experts(spark, sf_dir):
-    """The two largest of eight gates for each row; the first of equal ones."""
-    gates = F.array_sort(F.transform(_slice_column(), lambda x, i: F.struct((-x).alias("g"), i.alias("i"))))
+    """The two largest gates of each row; the first of equal ones."""
+    gates = F.array_sort(F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.struct((-x).alias("g"), i.alias("i"))))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(F.slice(gates, 1, 2), lambda s: s["i"].cast("string")), " ").alias("experts"))
 
 
-def _slice_column():
-    return F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-
-
 @query("select c_custkey, cast('0x' || substr(sha256(c_name), 1, 12) as bigint) as seed from customer")
 def stable_seeds(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.conv(F.substring(F.sha2(F.col("c_name").cast("binary"), 256), 1, 12), 16, 10).cast("long").alias("seed"))
@@ -124,14 +120,14 @@ def weighted_mean(spark, sf_dir):
     return u.agg(F.count("*").alias("users"), rounded(F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
 
 
-@query("""with s as (select vec_id, cast(embedding[1:32] as double[]) as v from embeddings),
-m as (select vec_id, [v[1], v[2], (v[3] + v[4]) / 2, (v[5] + v[6] + v[7] + v[8]) / 4, list_sum(v[9:16]) / 8, list_sum(v[17:32]) / 16] as b from s)
-select vec_id, i - 1 as band, round(b[i], 6) + 0.0 as level from m, (select unnest(range(1, 7)) as i)""")
+@query("""with s as (select vec_id, cast(embedding as double[]) as v from embeddings),
+m as (select vec_id, [v[1], v[2], (v[3] + v[4]) / 2, (v[5] + v[6] + v[7] + v[8]) / 4, list_sum(v[9:16]) / 8, list_sum(v[17:32]) / 16, list_sum(v[33:64]) / 32] as b from s)
+select vec_id, i - 1 as band, round(b[i], 6) + 0.0 as level from m, (select unnest(range(1, 8)) as i)""")
 def band_pooling(spark, sf_dir):
     from ..sources.audio import pool_bands
 
-    s = table(spark, sf_dir, "embeddings").withColumn("v", F.slice(F.col("embedding").cast("array<double>"), 1, 32))
-    b = pool_bands(s, "v", [0, 1, 2, 4, 8, 16, 32]).select("vec_id", F.posexplode("bands").alias("band", "level"))
+    s = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    b = pool_bands(s, "v", [0, 1, 2, 4, 8, 16, 32, 64]).select("vec_id", F.posexplode("bands").alias("band", "level"))
     return b.select("vec_id", F.col("band").cast("long").alias("band"), rounded(F.col("level")).alias("level"))
 
 

@@ -45,12 +45,12 @@ def coverage(spark, sf_dir):
     return out.select("task_id", "labelled", "samples", rounded(F.col("coverage")).alias("coverage"), rounded(F.col("mean_confidence")).alias("mean_confidence"))
 
 
-SCORES = SOFT + """, sc as (select cast(vec_id // 4 as varchar) as sample_id, 't' || (vec_id % 4) as task_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))) / ln(8), 9) as score from q)"""
+SCORES = SOFT + """, sc as (select cast(vec_id // 4 as varchar) as sample_id, 't' || (vec_id % 4) as task_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))) / ln(64), 9) as score from q)"""
 
 
 def _scores(spark, sf_dir):
-    """Four tasks for each sample: entropies of softmaxed vector slices."""
-    e = table(spark, sf_dir, "embeddings").withColumn("p", V.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 8)))
+    """Four tasks for each sample: entropies of softmaxed vectors."""
+    e = table(spark, sf_dir, "embeddings").withColumn("p", V.softmax(F.col("embedding").cast("array<double>")))
     return e.select(F.floor(F.col("vec_id") / 4).cast("string").alias("sample_id"), F.concat(F.lit("t"), F.col("vec_id") % 4).alias("task_id"), F.round(V.normal_entropy(F.col("p")), 9).alias("score"))
 
 
@@ -87,12 +87,12 @@ def prelabel_import(spark, sf_dir):
     return L.insert_if_absent(done, table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
 
 
-@query("""select 'unknown sample' as issue, cast(o_custkey as varchar) as id from orders where o_custkey % 3 = 0 and o_custkey not in (select c_custkey from customer where c_acctbal > 0)
+@query("""select 'unknown sample' as issue, cast(o_custkey as varchar) as id from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)
 union all select 'blank text', cast(c_custkey as varchar) from customer where c_acctbal > 0 and trim(coalesce(c_mktsegment, '')) = ''
 union all select 'repeated id', cast(c_custkey as varchar) from customer where c_acctbal > 0 group by c_custkey having count(*) > 1""")
 def integrity_issues(spark, sf_dir):
     samples = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("text"))
-    labelled = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("id"))
+    labelled = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
     return L.integrity_issues(samples, labelled, "id")
 
 

@@ -156,12 +156,12 @@ def cross_entropy_binary(spark, sf_dir):
     return both.select(*[rounded(F.col(c)).alias(c) for c in both.columns])
 
 
-VECTOR = "with s as (select vec_id, cast(embedding[1:10] as double[]) as v, label from embeddings)"
+VECTOR = "with s as (select vec_id, cast(embedding as double[]) as v, label from embeddings)"
 
 
 @query(VECTOR + " select round(avg(ln(list_sum(list_transform(v, lambda x: exp(x)))) - v[cast(label + 1 as int)]), 6) + 0.0 as cross_entropy from s")
 def cross_entropy_classes(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").withColumn("v", F.slice(F.col("embedding").cast("array<double>"), 1, 10))
+    df = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     return df.agg(rounded(F.avg(L.cross_entropy(F.col("v"), F.col("label").cast("int")))).alias("cross_entropy"))
 
 

@@ -99,7 +99,7 @@ def scg_regression(spark, sf_dir):
 
 @query()
 def scg_logistic(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int")).withColumn("x", F.slice("embedding", 1, 8))
+    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int")).withColumn("x", F.col("embedding"))
     m = regression.fit_linear(e, "x", "y", task="binary", penalty=0.01, steps=12)
     return e.select("vec_id", m.predict(F.col("x").cast("array<double>")).alias("p"))
 

@@ -142,12 +142,11 @@ def next_sentence_pairs(spark, sf_dir):
     return p.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2(F.col("pair").cast("binary"), 256).alias("pair"))
 
 
-@query(SERIES + """select user_id, array_to_string(list_transform(list_reverse(a[1:8]), lambda x: round(x, 2)), ' ') as reversed_, array_to_string(list_transform(list_sort(a[1:8]), lambda x: round(x, 2)), ' ') as sorted_ from v""")
+@query(SERIES + """select user_id, array_to_string(list_transform(list_reverse(a), lambda x: round(x, 2)), ' ') as reversed_, array_to_string(list_transform(list_sort(a), lambda x: round(x, 2)), ' ') as sorted_ from v""")
 def sequence_copy_reverse_sort(spark, sf_dir):
     e = W.series(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
-    head = F.slice("values", 1, 8)
     text = lambda a: F.array_join(F.transform(a, lambda x: F.round(x, 2).cast("string")), " ")
-    return e.select("user_id", text(F.reverse(head)).alias("reversed_"), text(F.array_sort(head)).alias("sorted_"))
+    return e.select("user_id", text(F.reverse("values")).alias("reversed_"), text(F.array_sort("values")).alias("sorted_"))
 
 
 def _distorted(spark, sf_dir):
@@ -184,12 +183,12 @@ def text_infilling(spark, sf_dir):
     return d.select("doc_id", F.size("ids").alias("n"), F.size("c.ids").alias("kept"), F.size(F.filter("c.labels", lambda x: x >= 0)).alias("spans"))
 
 
-@query(SERIES + """, t as (select user_id, a[1:6] as p, list_concat(a[2:6], [a[1]]) as q from v where len(a) >= 6)
-select user_id, round(list_sum(list_transform(list_zip(p, q), lambda z: cast(z[1] = z[2] as int))) / 6.0::double, 6) + 0.0 as accuracy, list_bool_and(list_transform(list_zip(p, q), lambda z: z[1] = z[2])) as exact from t""")
+@query(SERIES + """, t as (select user_id, a as p, list_concat(a[2:], a[1:1]) as q from v)
+select user_id, round(list_sum(list_transform(list_zip(p, q), lambda z: cast(z[1] = z[2] as int))) / len(p)::double, 6) + 0.0 as accuracy, list_bool_and(list_transform(list_zip(p, q), lambda z: z[1] = z[2])) as exact from t""")
 def token_accuracy(spark, sf_dir):
-    e = W.series(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").filter("size(values) >= 6")
-    p, q = F.slice("values", 1, 6), F.concat(F.slice("values", 2, 5), F.slice("values", 1, 1))
-    mask = F.array_repeat(F.lit(1), 6)
+    e = W.series(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    p, q = F.col("values"), F.concat(F.slice("values", F.lit(2), F.size("values")), F.slice("values", 1, 1))
+    mask = F.array_repeat(F.lit(1), F.size("values"))
     return e.select("user_id", rounded(S.token_accuracy(p, q, mask)).alias("accuracy"), S.exact_match(p, q, mask).alias("exact"))
 
 

@@ -94,27 +94,27 @@ def nearest_centroid(spark, sf_dir):
     return nearest(df.select("vec_id", "embedding"), "embedding", centres).select("vec_id", "nearest", rounded(F.col("distance"), 5).alias("distance"))
 
 
-SLICE = "select vec_id, cast(embedding[1:8] as double[]) as v from embeddings"
+WHOLE = "select vec_id, cast(embedding as double[]) as v from embeddings"
 
 
-def _slice(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"), "label")
+def _whole(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-SOFT = f"""with s as ({SLICE}), t as (select vec_id, v, list_transform(v, lambda x: exp(x - list_max(v))) as e from s),
+SOFT = f"""with s as ({WHOLE}), t as (select vec_id, v, list_transform(v, lambda x: exp(x - list_max(v))) as e from s),
 q as (select vec_id, v, list_transform(e, lambda x: x / list_sum(e)) as p from t) """
 
 
-@query(SOFT + "select vec_id, i - 1 as pos, round(p[i], 6) + 0.0 as p from q, (select unnest(range(1, 9)) as i)")
+@query(SOFT + "select vec_id, i - 1 as pos, round(p[i], 6) + 0.0 as p from q, (select unnest(range(1, 65)) as i)")
 def softmax_rows(spark, sf_dir):
-    p = _slice(spark, sf_dir).select("vec_id", F.posexplode(V.softmax(F.col("v"))).alias("pos", "p"))
+    p = _whole(spark, sf_dir).select("vec_id", F.posexplode(V.softmax(F.col("v"))).alias("pos", "p"))
     return p.select("vec_id", F.col("pos").cast("long").alias("pos"), rounded(F.col("p")).alias("p"))
 
 
-@query(f"""with s as ({SLICE}), t as (select vec_id, list_transform(v, lambda x: case when x > -0.05 then exp(x / 0.5) else 0 end) as e from s)
-select vec_id, i - 1 as pos, round(coalesce(e[i] / nullif(list_sum(e), 0), 0), 6) + 0.0 as p from t, (select unnest(range(1, 9)) as i) where list_sum(e) > 0""")
+@query(f"""with s as ({WHOLE}), t as (select vec_id, list_transform(v, lambda x: case when x > -0.05 then exp(x / 0.5) else 0 end) as e from s)
+select vec_id, i - 1 as pos, round(coalesce(e[i] / nullif(list_sum(e), 0), 0), 6) + 0.0 as p from t, (select unnest(range(1, 65)) as i)""")
 def masked_softmax_rows(spark, sf_dir):
-    s = _slice(spark, sf_dir).withColumn("m", F.transform("v", lambda x: x > -0.05)).filter(F.exists("m", lambda x: x))
+    s = _whole(spark, sf_dir).withColumn("m", F.transform("v", lambda x: x > -0.05))
     p = s.select("vec_id", F.posexplode(V.masked_softmax(F.col("v"), F.col("m"), 0.5)).alias("pos", "p"))
     return p.select("vec_id", F.col("pos").cast("long").alias("pos"), rounded(F.col("p")).alias("p"))
 
@@ -155,26 +155,26 @@ def argmax_labels(spark, sf_dir):
     return df.select("vec_id", arg_max(F.col("v")).alias("best"), F.get(round_labels(F.col("v")), F.lit(0)).alias("rounded_first"))
 
 
-@query(SOFT + """select vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))) / ln(8), 6) + 0.0 as entropy, round((1 - list_max(p)) / (1 - 1 / 8.0::double), 6) + 0.0 as least_confidence,
+@query(SOFT + """select vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))) / ln(64), 6) + 0.0 as entropy, round((1 - list_max(p)) / (1 - 1 / 64.0::double), 6) + 0.0 as least_confidence,
 round(1 - (list_reverse_sort(p)[1] - list_reverse_sort(p)[2]), 6) + 0.0 as margin from q""")
 def uncertainty_scores(spark, sf_dir):
-    s = _slice(spark, sf_dir).withColumn("p", V.softmax(F.col("v")))
+    s = _whole(spark, sf_dir).withColumn("p", V.softmax(F.col("v")))
     return s.select("vec_id", *[rounded(f(F.col("p"))).alias(n) for n, f in V.STRATEGIES.items()])
 
 
 @query(SOFT + """, d as (select vec_id, case vec_id % 3 when 0 then 'BINARY' when 1 then 'CHOICE' else 'SCORE' end as kind, p from q)
-select vec_id, kind, round(case kind when 'BINARY' then p[2] when 'CHOICE' then list_position(p, list_max(p)) - 1 else list_sum(list_transform(list_zip(p, range(0, 8)), lambda z: z[1] * z[2])) end, 6) + 0.0 as decoded,
-round(1 + list_sum(list_transform(p, lambda x: x * ln(x))) / ln(8), 6) + 0.0 as confidence, kind || ':6-10' as bucket from d""")
+select vec_id, kind, round(case kind when 'BINARY' then p[2] when 'CHOICE' then list_position(p, list_max(p)) - 1 else list_sum(list_transform(list_zip(p, range(0, 64)), lambda z: z[1] * z[2])) end, 6) + 0.0 as decoded,
+round(1 + list_sum(list_transform(p, lambda x: x * ln(x))) / ln(64), 6) + 0.0 as confidence, kind || ':11+' as bucket from d""")
 def decode_decisions(spark, sf_dir):
     kind = F.when(F.col("vec_id") % 3 == 0, "BINARY").when(F.col("vec_id") % 3 == 1, "CHOICE").otherwise("SCORE")
-    s = _slice(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("kind", kind)
+    s = _whole(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("kind", kind)
     return s.select("vec_id", "kind", rounded(V.decode_decision(F.col("kind"), F.col("p"))).alias("decoded"), rounded(V.decision_confidence(F.col("p"))).alias("confidence"), V.option_bucket(F.col("kind"), F.size("p")).alias("bucket"))
 
 
 GRID = [0.5, 0.75, 1.0, 1.5, 2.0, 4.0]
 TEMPERATURES = f"""
-with s as ({SLICE}), g as (select unnest({GRID}::double[]) as t, unnest(range(0, {len(GRID)})) as k),
-l as (select s.vec_id, v, e.label % 8 as y, e.label % 2 as bucket from s join embeddings e using (vec_id)),
+with s as ({WHOLE}), g as (select unnest({GRID}::double[]) as t, unnest(range(0, {len(GRID)})) as k),
+l as (select s.vec_id, v, e.label as y, e.label % 2 as bucket from s join embeddings e using (vec_id)),
 n as (select bucket, t, k, avg(ln(list_sum(list_transform(v, lambda x: exp((x - list_max(v)) / t)))) - (v[cast(y + 1 as int)] - list_max(v)) / t) as nll from l, g group by 1, 2, 3),
 b as (select bucket, arg_min(t, (round(nll, 9), k)) as temperature, min(nll) as nll from n group by 1)
 """
@@ -182,8 +182,8 @@ b as (select bucket, arg_min(t, (round(nll, 9), k)) as temperature, min(nll) as
 
 def _temperatures(spark, sf_dir):
     """Mean negative log likelihood of each grid value in one scan: a column for each, no copy of the rows for each."""
-    l = _slice(spark, sf_dir).withColumn("bucket", F.col("label") % 2)
-    y = F.get("v", (F.col("label") % 8).cast("int"))
+    l = _whole(spark, sf_dir).withColumn("bucket", F.col("label") % 2)
+    y = F.get("v", F.col("label").cast("int"))
     top = F.array_max("v")
 
     def nll(t):
@@ -199,18 +199,18 @@ def temperature_fit(spark, sf_dir):
     return _temperatures(spark, sf_dir)[1].select(F.col("bucket").cast("long").alias("bucket"), "temperature", rounded(F.col("nll")).alias("nll"))
 
 
-@query(TEMPERATURES + ", c as (select vec_id, list_transform(v, lambda x: exp((x - list_max(v)) / temperature)) as e from l join b using (bucket)) select vec_id, i - 1 as pos, round(e[i] / list_sum(e), 6) + 0.0 as p from c, (select unnest(range(1, 9)) as i)")
+@query(TEMPERATURES + ", c as (select vec_id, list_transform(v, lambda x: exp((x - list_max(v)) / temperature)) as e from l join b using (bucket)) select vec_id, i - 1 as pos, round(e[i] / list_sum(e), 6) + 0.0 as p from c, (select unnest(range(1, 65)) as i)")
 def calibrated_probs(spark, sf_dir):
     l, t = _temperatures(spark, sf_dir)
     p = l.join(t, "bucket", "left").select("vec_id", F.posexplode(V.softmax(F.transform("v", lambda x: x / F.coalesce("temperature", F.lit(1.0))))).alias("pos", "p"))
     return p.select("vec_id", F.col("pos").cast("long").alias("pos"), rounded(F.col("p")).alias("p"))
 
 
-@query(f"""with s as ({SLICE}), f as (select vec_id, list_min(v) as lo, v from s)
+@query(f"""with s as ({WHOLE}), f as (select vec_id, list_min(v) as lo, v from s)
 select vec_id, round(lo - 0.7::double * ln(list_sum(list_transform(v, lambda x: exp((lo - x) / 0.7::double)))), 6) + 0.0 as energy,
 round(10 * log10(v[1] * v[1] + 1e-12::double), 6) + 0.0 as level from f""")
 def free_energy(spark, sf_dir):
-    s = _slice(spark, sf_dir)
+    s = _whole(spark, sf_dir)
     first = F.get("v", F.lit(0))
     return s.select("vec_id", rounded(V.free_energy(F.col("v"), 0.7)).alias("energy"), rounded(V.decibels(first * first)).alias("level"))
 
@@ -219,7 +219,7 @@ def free_energy(spark, sf_dir):
 select vec_id, round(ln(list_sum(list_transform(v, lambda x: exp(x)))), 6) + 0.0 as lse, round(p[1] * (v[1] - inner_), 6) + 0.0 as slope, round(2 * tanh(v[1] / 2), 6) + 0.0 as bounded, cast(len(list_filter(v, lambda x: x > 0)) as int) as kept,
 case when len(list_filter(v, lambda x: x > 0)) > 0 then 1.0::double else 0.0::double end as attention from g""")
 def attention_parts(spark, sf_dir):
-    s = _slice(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("m", F.transform("v", lambda x: x > 0))
+    s = _whole(spark, sf_dir).withColumn("p", V.softmax(F.col("v"))).withColumn("m", F.transform("v", lambda x: x > 0))
     v, first = F.col("v"), F.get("v", F.lit(0))
     attention = F.round(V.total(V.attention_softmax(v, F.col("m"))), 6)
     return s.select("vec_id", rounded(V.log_sum_exp(v)).alias("lse"), rounded(F.get(V.softmax_slope(F.col("p"), v), F.lit(0))).alias("slope"), rounded(V.soft_bound(first, 2.0)).alias("bounded"), F.size(V.gather(v, F.col("m"))).alias("kept"), attention.alias("attention"))
