@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once for a row, also where use() reads it inside a lambda for every item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -23,8 +29,7 @@ def mean(v: Column) -> Column:
 
 
 def variance(v: Column) -> Column:
-    m = mean(v)
-    return total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v)
+    return bound(mean(v), lambda m: total(F.transform(v, lambda x: (x - m) * (x - m)))) / F.size(v)
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -127,22 +132,20 @@ def slope_of(name: str, x: Column, alpha: float = 1.0) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    e = bound(v, lambda a: bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))))
+    return bound(e, lambda a: bound(total(a), lambda t: F.transform(a, lambda x: x / t)))
 
 
 def masked_softmax(v: Column, valid: Column, temperature: Column | float = 1.0) -> Column:
     """Over the valid slots; the others get exactly 0, and so do all where none is valid."""
     seen = F.zip_with(v, valid, lambda x, m: F.when(m, x / temperature))
-    top = F.array_max(seen)
-    e = F.transform(seen, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    return F.transform(e, lambda x: F.coalesce(x / F.nullif(total(e), F.lit(0.0)), F.lit(0.0)))
+    e = bound(seen, lambda a: bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))))
+    return bound(e, lambda a: bound(F.nullif(total(a), F.lit(0.0)), lambda t: F.transform(a, lambda x: F.coalesce(x / t, F.lit(0.0)))))
 
 
 def free_energy(scores: Column, temperature: float) -> Column:
     """-T log sum exp(-s / T)."""
-    low = F.array_min(scores)
-    return low - temperature * F.log(total(F.transform(scores, lambda s: F.exp((low - s) / temperature))))
+    return bound(F.array_min(scores), lambda low: low - temperature * F.log(total(F.transform(scores, lambda s: F.exp((low - s) / temperature)))))
 
 
 def soft_assign(scores: Column, temperature: float) -> Column:
@@ -235,8 +238,7 @@ def ball_log_volume(dimensions: int, log_radius: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
+    return bound(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def attention_softmax(v: Column, allowed: Column) -> Column:
@@ -246,8 +248,7 @@ def attention_softmax(v: Column, allowed: Column) -> Column:
 
 def softmax_slope(p: Column, upstream: Column) -> Column:
     """Gradient through a softmax with output p: p (u - sum p u)."""
-    inner = dot(p, upstream)
-    return F.zip_with(p, upstream, lambda a, u: a * (u - inner))
+    return bound(dot(p, upstream), lambda inner: F.zip_with(p, upstream, lambda a, u: a * (u - inner)))
 
 
 def soft_bound(x: Column, bound: float) -> Column:

@@ -184,10 +184,9 @@ def _temperatures(spark, sf_dir):
     """Mean negative log likelihood of each grid value in one scan: a column for each, no copy of the rows for each."""
     l = _whole(spark, sf_dir).withColumn("bucket", F.col("label") % 2)
     y = F.get("v", F.col("label").cast("int"))
-    top = F.array_max("v")
 
     def nll(t):
-        return F.avg(F.log(V.total(F.transform("v", lambda x: F.exp((x - top) / t)))) - (y - top) / t)
+        return F.avg(V.bound(F.array_max("v"), lambda top: F.log(V.total(F.transform("v", lambda x: F.exp((x - top) / t)))) - (y - top) / t))
 
     n = l.groupBy("bucket").agg(*[nll(t).alias(f"n{i}") for i, t in enumerate(GRID)])
     best = F.array_min(F.array(*[F.struct(F.round(f"n{i}", 9).alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(GRID)]))
