@@ -1,29 +1,26 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions only."""
+"""Fuzzy line dedup by MinHash: DataFrame functions, with NumPy inside the tasks for shingles, minima and exact comparison."""
 
 from __future__ import annotations
 
 import random
+from typing import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, join_uneven, materialise, text_of
 
 #: A shingle starts at every character (UTF-16 unit) of a line and runs over this many, or to the line's end.
 SHINGLE = 12
-#: Shingles fall into PARTS by their hash; in each part BANDS bands of ROWS minima are taken: 8 bands of 3 in all.
-PARTS, BANDS, ROWS = 4, 2, 3
-#: Lines that meet in a bucket are sketched by two bits of each of 16 x 16 further minima, two parts to a word.
-CELLS, CODES, WORDS = 16, 16, 8
-#: How far below the wanted similarity the sketches may put a pair that is verified: the likely pairs first, so that
-#: union-find spares most of the others; the last is two and a half standard deviations of an estimate.
-MARGINS = (0.0, 0.075)
-#: Lines below this many characters are verified without a look at their sketches.
-SHORT = 64
-#: A large bucket is dealt over sub-groups of about this many lines, and compared in pieces of about PIECE.
-GROUP, PIECE = 16, 256
-UNIT = 2
-LOW32 = 0xFFFFFFFF
+#: Bands and minima in each.
+BANDS, ROWS = 8, 3
+#: Lines that share a bucket are compared in cells of about this much weight, a line weighing 1 and 1 for each LONG characters.
+CELL, LONG = 96, 4096
+#: Characters that a task hashes at once (more only for a single longer line or cell), and columns multiplied at once.
+CHUNK, COLUMNS = 1 << 17, 1 << 13
 
 
 def normal_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,114 +38,180 @@ def normal_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "ta", "tb", "pos", F.trim(F.when(rough, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw"))).alias("text")).filter("text <> ''")
 
 
-def shingles(lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, h, part: a row for each character at which a shingle of `text` starts, h being 32 bits of its hash."""
-    units = lines.select(*keys, F.encode("text", "UTF-16BE").alias("units"))
-    at = units.select(*keys, "units", F.explode(F.sequence(F.lit(1), F.length("units"), F.lit(UNIT))).alias("at"))
-    h = at.select(*keys, F.xxhash64(F.substring("units", F.col("at"), F.lit(SHINGLE * UNIT))).alias("h"))
-    return h.select(*keys, F.shiftrightunsigned("h", 32).alias("h"), F.col("h").bitwiseAND(F.lit(0xFF)).cast("int").alias("low"))
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def orders(n: int, seed: int) -> list[Column]:
-    """n random orders of the 32-bit column h: a * h mod 2^32 with an odd a, and some bits flipped."""
-    rng = random.Random(seed)
-    return [(F.col("h") * (2 * rng.randrange(1 << 30) + 1)).bitwiseXOR(F.lit(rng.randrange(1 << 32))).bitwiseAND(F.lit(LOW32)) for _ in range(n)]
+def shingle_hashes(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the shingles that start at each of these units, the lines lying one behind the other.
 
-
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """uid, bucket: each distinct line (two hashes of its text, a and b) with its bands; uid is the smallest rid among its copies."""
-    parts = shingles(lines, "rid", "a", "b").withColumn("part", F.col("low") % PARTS)
-    minima = parts.groupBy("a", "b", "part").agg(F.min("rid").alias("uid"), *[F.min(o).alias(f"m{i}") for i, o in enumerate(orders(BANDS * ROWS, 1))])
-    bands = [F.xxhash64("part", F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
-    return minima.select("uid", F.explode(F.array(*bands)).alias("bucket"))
-
-
-def sketches(texts: DataFrame) -> DataFrame:
-    """line, n (characters) and w0 .. w7: two bits of each of 256 minima, 16 in each of 16 parts of the shingles."""
-    parts = shingles(texts, "line").withColumn("part", F.shiftright("low", 4))
-    minima = parts.groupBy("line", "part").agg(F.count("*").alias("n"), *[F.min(o).alias(f"m{i}") for i, o in enumerate(orders(CODES, 2))])
-    word = F.lit(0).cast("long")
-    for i in range(CODES):
-        word = word.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(3)), 2 * i))
-    bits = minima.select("line", "n", F.shiftright("part", 1).alias("at"), F.when(F.col("part") % 2 == 1, F.shiftleft(word, 2 * CODES)).otherwise(word).alias("w"))
-    return bits.groupBy("line").agg(F.sum("n").alias("n"), *[F.coalesce(F.bit_or(F.when(F.col("at") == p, F.col("w"))), F.lit(0)).cast("long").alias(f"w{p}") for p in range(WORDS)])
-
-
-def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether the sketches of two lines (columns with prefixes a and b) allow this similarity, or one is short.
-
-    Two minima agree with a probability of the similarity s, and two bits of them then and in a quarter of the other cases: of
-    256 codes 192 (1 - s) differ.
+    The units of a shingle are the digits of a polynomial, summed by doubling; behind its line's end it has zeros.
     """
-    odd = F.lit(0x5555555555555555)
+    base = 0x9E3779B97F4A7C15
+    power = lambda n: np.uint64(pow(base, n, 1 << 64))
+    at = np.arange(len(units)) + np.repeat(np.arange(len(lengths)) * SHINGLE, lengths)
+    digits = np.zeros(len(units) + SHINGLE * len(lengths), np.uint64)
+    digits[at] = units.astype(np.uint64) + np.uint64(1)
+    two = digits[:-1] * power(1) + digits[1:]
+    four = two[:-2] * power(2) + two[2:]
+    eight = four[:-4] * power(4) + four[4:]
+    twelve = eight[:-4] * power(4) + four[8:]
+    return mixed(twelve[at])
+
+
+def chunks(lengths: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about CHUNK units that end where a group ends; ends: the rows behind each group."""
+    total, first = np.r_[0, np.cumsum(lengths)], 0
+    while first < len(lengths):
+        fit = np.searchsorted(total[ends], total[first] + CHUNK, "right") - 1
+        last = int(ends[max(int(fit), int(np.searchsorted(ends, first, "right")))])
+        yield first, last
+        first = last
+
+
+def units_of(column: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units, lengths) of rows first .. last - 1 of a binary column of UTF-16BE text."""
+    values = column.slice(first, last - first).to_pylist()
+    return np.frombuffer(b"".join(values), ">u2"), np.array([len(v) // 2 for v in values], np.int64)
+
+
+def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, a, b, weight, and a hash of each band's minima over the line's shingles, each minimum in an order a * h of its own."""
+    rng = random.Random(1)
+    factors = [np.uint32(2 * rng.randrange(1 << 30) + 1 + (1 << 31)) for _ in range(BANDS * ROWS)]
+    for batch in batches:
+        lengths = pc.binary_length(batch["units"]).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        bands = np.empty((BANDS, batch.num_rows), np.int64)
+        for first, last in chunks(lengths, np.arange(1, batch.num_rows + 1)):
+            units, sizes = units_of(batch["units"], first, last)
+            h = (shingle_hashes(units, sizes) >> np.uint64(32)).astype(np.uint32)
+            starts, ordered = np.cumsum(sizes) - sizes, np.empty_like(h)
+            for k in range(BANDS):
+                band = np.full(last - first, k + 1, np.uint64)
+                for factor in factors[k * ROWS:(k + 1) * ROWS]:
+                    np.multiply(h, factor, out=ordered)
+                    band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(ordered, starts))
+                bands[k, first:last] = band.view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch["rid"], batch["a"], batch["b"], pa.array(1 + lengths // LONG), *map(pa.array, bands)], names=["rid", "a", "b", "weight", *[f"b{k}" for k in range(BANDS)]])
 
-    def apart(p: int) -> Column:
-        x = F.col(f"{a}w{p}").bitwiseXOR(F.col(f"{b}w{p}"))
-        return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(odd))
 
-    total = apart(0)
-    for p in range(1, WORDS):
-        total = total + apart(p)
-    bound = int(CELLS * CODES * 0.75 * (1 - max(0.0, similarity)))
-    return (F.least(f"{a}n", f"{b}n") < SHORT) | (total <= bound)
-
-
-def _shingle_set(units: str) -> Column:
-    starts = F.sequence(F.lit(1), F.length(units), F.lit(UNIT))
-    return F.array_distinct(F.transform(starts, lambda p: F.xxhash64(F.substring(F.col(units), p, F.lit(SHINGLE * UNIT)))))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose exact Jaccard similarity over all shingles (by their 64-bit hashes) is high enough."""
-    a, b = (texts.select(F.col("line").alias(k), F.encode("text", "UTF-16BE").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    sets = pairs.join(a, "u").join(b, "v").select("u", "v", _shingle_set("a").alias("a"), _shingle_set("b").alias("b"))
-    counts = sets.select("u", "v", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return counts.filter(F.col("both") >= similarity * (F.col("total") - F.col("both"))).select("u", "v")
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """uid, weight, bucket: each distinct line (two hashes of its text, a and b) with its bands; uid is the smallest rid among its copies."""
+    names = [f"b{k}" for k in range(BANDS)]
+    signed = lines.select("rid", "a", "b", F.encode("text", "UTF-16BE").alias("units")).mapInArrow(minima, "rid long, a long, b long, weight long, " + ", ".join(f"{c} long" for c in names))
+    nodes = signed.groupBy("a", "b").agg(F.min("rid").alias("uid"), *[F.min(c).alias(c) for c in ["weight", *names]])
+    return nodes.select("uid", "weight", F.explode(F.array(*names)).alias("bucket"))
+
+
+def links_in(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first row (of this cell) that each row is linked to, by chains of exact Jaccard similarities; sets: sorted, without repeats."""
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(m), sizes.astype(np.int64))
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    change = np.r_[True, flat[1:] != flat[:-1]]
+    if m == 2:
+        both = len(flat) - np.count_nonzero(change)
+        return np.array([0, 0 if both >= similarity * (sizes.sum() - both) else 1])
+    column = np.cumsum(change) - 1
+    shared = np.bincount(column)[column] > 1  # a shingle of one line adds to no intersection
+    column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+    both = np.diag(sizes)
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        held = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        held[row[part], column[part] - low] = 1
+        both += np.where(np.eye(m, dtype=bool), 0, held @ held.T)
+    linked = both >= similarity * (sizes[:, None] + sizes - both)
+    label = np.arange(m)
+    while True:
+        lower = np.where(linked, label, m).min(1)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """u, v: for each cell (cells: cell, line) links that join all its lines of an exact similarity that is high enough.
+
+    Similarity is that of the sets of all shingles, by their 64-bit hashes; a cell's lines need to share a bucket.
+    """
+    def compare(batches):
+        rest = None
+        for batch in batches:
+            table = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            cell = table["cell"].to_numpy(zero_copy_only=False)
+            ends = np.r_[np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+            whole = int(ends[-2]) if len(ends) > 1 else 0
+            if whole:
+                yield found(table.slice(0, whole), ends[:-1])
+            rest = table.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield found(rest, np.array([rest.num_rows]))
+
+    def found(table, ends):
+        line, u, v = table["line"].to_numpy(zero_copy_only=False), [], []
+        lengths = pc.binary_length(table["units"]).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        ends = np.asarray(ends)
+        for first, last in chunks(lengths, ends):
+            units, sizes = units_of(table["units"], first, last)
+            h = np.split(shingle_hashes(units, sizes), np.cumsum(sizes)[:-1])
+            start = first
+            for end in ends[(ends > first) & (ends <= last)]:
+                if end - start > 1:
+                    root = links_in([np.unique(x) for x in h[start - first:end - first]], similarity)
+                    node = np.flatnonzero(root != np.arange(end - start))
+                    u.append(line[start + node])
+                    v.append(line[start + root[node]])
+                start = end
+        pair = [np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["u", "v"])
+
+    rows = cells.join(texts, "line").select("cell", "line", "units").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(compare, "u long, v long").filter("u <> v")
 
 
 def similar_lines(lines: DataFrame, similarity: float) -> DataFrame:
     """node, root: the components of similar lines; lines without a link are left out. lines: rid, a, b, text.
 
-    Lines that agree in a band meet in a bucket. In each bucket a line is first compared with the smallest line of its sub-group
-    of about GROUP, and these with each other's smallest; after union-find, what is still in different components of one bucket
-    is compared sketch by sketch inside a join, which gives out the likely pairs first; these are verified on whole texts.
-    So no pair that the banding proposes goes unverified unless a chain of links joins it already or its sketches rule it out
-    (6 in 1000 of the pairs of similarity 0.8, hardly any of 0.85). With 8 bands of 3, a pair of 0.8 meets with probability 0.997.
+    Lines that agree in a band meet in a bucket; of buckets with the same members one is enough. A bucket is dealt over cells,
+    within which all lines are compared exactly, and the smallest lines of the cells with the smallest of all. After union-find,
+    in buckets of several cells that still hold different components, the lines outside the most frequent one are compared with
+    all the others, block by block. So every pair that the banding proposes is either compared or joined by a chain of links
+    already. With 8 bands of 3, a pair of similarity 0.8 meets with probability 0.997.
     """
     signed = signed_lines(lines).repartition("bucket")  # one shuffle, from which the buckets are counted and filled
-    shared = signed.groupBy("bucket").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count("*").alias("size")).filter("low <> high").select("bucket", "size")
-    groups = F.ceil(F.col("size") / GROUP).cast("int")
-    members = signed.join(shared, "bucket").select("bucket", F.col("uid").alias("line"), "size", F.pmod(F.xxhash64("uid"), groups).cast("int").alias("sub"))
+    prints = [F.bit_xor(F.xxhash64(F.lit(k), "uid")).alias(f"f{k}") for k in range(2)]
+    shared = signed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("size"), F.min("uid").alias("low"), F.max("uid").alias("high"), *prints).filter("low <> high")
+    shared = shared.groupBy("n", "size", "low", "high", "f0", "f1").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    members = signed.join(shared, "bucket").select("bucket", F.col("uid").alias("line"), "weight", "cells", F.pmod(F.xxhash64("uid"), "cells").cast("int").alias("sub"))
     members = materialise(members, "line-members")
     partners = members.select(F.col("line").alias("rid")).distinct()
-    texts = materialise(lines.join(partners, "rid", "left_semi").select(F.col("rid").alias("line"), "text"), "line-texts", compression="zstd")
-    sketch = materialise(sketches(texts), "line-sketches")
-    named = lambda prefix, key: sketch.select(F.col("line").alias(key), *[F.col(c).alias(prefix + c) for c in sketch.columns if c != "line"])
-
-    hubs = members.groupBy("bucket", "sub").agg(F.min("line").alias("hub"))
-    tops = hubs.groupBy("bucket").agg(F.min("hub").alias("top"))
-    stars = members.join(hubs, ["bucket", "sub"]).select(F.col("line").alias("u"), F.col("hub").alias("v"))
-    stars = stars.union(hubs.join(tops, "bucket").select(F.col("hub").alias("u"), F.col("top").alias("v"))).filter("u <> v").distinct()
-    stars = stars.join(named("u", "u"), "u").join(named("v", "v"), "v").filter(_may_be_similar("u", "v", similarity - MARGINS[-1])).select("u", "v")
-    links = verified(materialise(stars, "line-stars"), texts, similarity)
-    found = components(links, "line-classes")
-
-    pieces = F.ceil(F.col("size") / PIECE).cast("int")
-    kept = ["line", "root", *[c for c in sketch.columns if c != "line"]]
-    for margin in MARGINS:
-        known = members.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-        known = materialise(known, "line-known")
-        mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("size")).filter("low <> high")
-        mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0), groups - 1)).alias("sub"))
-        left_open = known.join(mixed, ["bucket", "sub"]).join(sketch, "line").withColumn("piece", F.pmod(F.xxhash64("line", F.lit(7)), pieces).cast("int"))
-        left_open = materialise(left_open, "line-open")
-        left = left_open.select("bucket", "piece", *[F.col(c).alias("u" + c) for c in kept])
-        right = left_open.select("bucket", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), *[F.col(c).alias("v" + c) for c in kept])
-        test = (F.col("uline") < F.col("vline")) & (F.col("uroot") != F.col("vroot")) & _may_be_similar("u", "v", similarity - margin)
-        pairs = left.join(right, ["bucket", "piece"]).filter(test).select(F.col("uline").alias("u"), F.col("vline").alias("v")).distinct()
-        bridges = materialise(verified(materialise(pairs, "line-pairs"), texts, similarity), "line-bridges")
-        if not bridges.isEmpty():
-            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(bridges), "line-classes")
+    texts = materialise(lines.join(partners, "rid", "left_semi").select(F.col("rid").alias("line"), F.encode("text", "UTF-16BE").alias("units")), "line-texts", compression="zstd")
+
+    heads = members.filter("cells > 1").groupBy("bucket", "cells", "sub").agg(F.min("line").alias("line"))
+    tops = heads.groupBy("bucket", "cells").agg(F.min("line").alias("line")).withColumn("block", F.explode(F.sequence(F.lit(0), ((F.col("cells") - 1) / CELL).cast("int"))))
+    heads = heads.withColumn("block", (F.col("sub") / CELL).cast("int"))
+    cells = members.select(F.xxhash64("bucket", "sub").alias("cell"), "line")
+    for extra in (heads, tops):
+        cells = cells.union(extra.select(F.xxhash64("bucket", F.lit("heads"), "block").alias("cell"), "line"))
+    found = components(links(cells, texts, similarity), "line-classes")
+
+    known = members.filter("cells > 1").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    known = materialise(known, "line-known")
+    sizes = known.groupBy("bucket", "root").agg(F.sum("weight").alias("w")).groupBy("bucket").agg(F.max_by("root", F.struct("w", "root")).alias("main"), (F.sum("w") - F.max("w")).alias("others"))
+    still = known.join(sizes.filter("others > 0").select("bucket", "main", F.ceil(F.col("others") / CELL).cast("int").alias("pieces")), "bucket")
+    still = materialise(still, "line-open")
+    home = still.select("bucket", "sub", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "line")
+    guests = still.filter("root <> main").select("bucket", F.pmod(F.xxhash64("line", F.lit(7)), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("sub"), "line")
+    cells = home.unionByName(guests).select(F.xxhash64("bucket", "sub", "piece").alias("cell"), "line")
+    bridges = materialise(links(cells, texts, similarity).distinct(), "line-bridges")
+    if not bridges.isEmpty():
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(bridges), "line-classes")
     return found
 
 
