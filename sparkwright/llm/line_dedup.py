@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, join_uneven, materialise, text_of
+from .shared import components, join_uneven, mark, materialise, release, text_of
 
 #: A shingle starts at every character (UTF-16 unit) of a line and runs over this many, or to the line's end.
 SHINGLE = 12
@@ -171,7 +171,7 @@ def links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         pair = [np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["u", "v"])
 
-    rows = cells.join(texts, "line").select("cell", "line", "units").repartition("cell").sortWithinPartitions("cell")
+    rows = cells.join(texts.hint("merge"), "line").select("cell", "line", "units").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(compare, "u long, v long").filter("u <> v")
 
 
@@ -188,9 +188,9 @@ def similar_lines(lines: DataFrame, similarity: float) -> DataFrame:
     prints = [F.bit_xor(F.xxhash64(F.lit(k), "uid")).alias(f"f{k}") for k in range(2)]
     shared = signed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("size"), F.min("uid").alias("low"), F.max("uid").alias("high"), *prints).filter("low <> high")
     shared = shared.groupBy("n", "size", "low", "high", "f0", "f1").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    members = signed.join(shared, "bucket").select("bucket", F.col("uid").alias("line"), "weight", "cells", F.pmod(F.xxhash64("uid"), "cells").cast("int").alias("sub"))
+    members = signed.join(shared.hint("merge"), "bucket").select("bucket", F.col("uid").alias("line"), "weight", "cells", F.pmod(F.xxhash64("uid"), "cells").cast("int").alias("sub"))
     members = materialise(members, "line-members")
-    partners = members.select(F.col("line").alias("rid")).distinct()
+    partners = members.select(F.col("line").alias("rid")).distinct().hint("merge")  # grows with the input: a merge join at every size
     texts = materialise(lines.join(partners, "rid", "left_semi").select(F.col("rid").alias("line"), F.encode("text", "UTF-16BE").alias("units")), "line-texts", compression="zstd")
 
     heads = members.filter("cells > 1").groupBy("bucket", "cells", "sub").agg(F.min("line").alias("line"))
@@ -235,6 +235,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     Input columns of any other name are passed on untouched; those named n_lines, n_dropped or clean_text are replaced.
     An empty table gives an empty result.
     """
+    since = mark()
     lines, classes = line_classes(docs, similarity, id_col, text_col)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "ta", "tb", "pos")
     nodes = lines.select("rid", "a", "b", place.alias("at")).groupBy("a", "b").agg(F.min("rid").alias("node"), F.min("at").alias("first"), F.count("*").alias("n"))
@@ -248,11 +249,12 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     gone = join_uneven(narrow, firsts, ["a", "b"], "n").filter(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("id", "ta", "tb").agg(F.collect_set("pos").alias("gone"))
     gone = materialise(gone, "line-gone").select(F.col("id").alias("gid"), F.col("ta").alias("gta"), F.col("tb").alias("gtb"), "gone")
+    release(docs.sparkSession, since, keep=1)  # what follows reads the documents and the last table only
 
     text = text_of(text_col)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(1), text).alias("tb"))
     same = F.col("id").eqNullSafe(F.col("gid")) & (F.col("ta") == F.col("gta")) & (F.col("tb") == F.col("gtb"))
-    rows = rows.join(gone, same, "left")
+    rows = rows.join(gone.hint("merge"), same, "left")  # grows with the input: a merge join at every size
     raw = F.col("row").getField(text_col)
     parts, marks = F.split(raw, "\n"), F.coalesce("gone", F.array().cast("array<int>"))
     # a map would do for look-up, but documents rarely lose more than a few lines

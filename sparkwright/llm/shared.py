@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: The characters that separate words wherever a contract says [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[str] = []
 
 
@@ -29,11 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The files outlive any executor; release() removes them once nothing reads them any more.
+    The files outlive any executor; release() removes them once nothing reads them any more. The shuffles behind the table
+    go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,10 +52,13 @@ def mark() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables that materialise() has written since mark(). Only for callers whose results are already stored."""
-    while len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the tables that materialise() has written since mark(), but for the last `keep`.
+
+    Only for callers whose results are already stored, or read nothing but the tables kept.
+    """
+    while len(_written) - keep > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(since))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
