@@ -8,12 +8,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, text_of
 
 NO_ID = -(2**63)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def folded(text: Column) -> Column:
+    """text with A-Z, and nothing else, in lower case; lower() does that for texts of one byte a character, and faster."""
+    return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def _runs(batches):
@@ -75,7 +81,7 @@ def _runs(batches):
 def _normalised(batches):
     for b in batches:
         t = pa.array([x.lower() for x in b.column("t").cast(pa.binary()).to_pylist()], pa.binary())  # bytes.lower() touches A-Z only
-        yield pa.RecordBatch.from_arrays([b.column("p"), b.column("h"), b.column("id"), t.cast(pa.string())], names=["p", "h", "id", "t"])
+        yield pa.RecordBatch.from_arrays([b.column("p"), b.column("h"), b.column("h2"), b.column("id"), t.cast(pa.string())], names=["p", "h", "h2", "id", "t"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,18 +91,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Spark range-partition the rows by content, an external sort places equals next to each other in each
     task, and each text is compared whole with its neighbour. The id is part of the splitters, so a group of
     copies larger than a task is cut over several; the runs at the ends of tasks (at most two each) are then
-    joined by their whole text. Placement uses a short key (the first characters and a hash) to keep the
-    splitters small on the driver; it decides nothing but where a row goes.
+    joined by their whole text. Placement uses a short key of the folded text (its first characters and 128 bits of
+    hash) to keep the splitters small on the driver: equal texts share it, and different texts do not, whatever
+    letters beyond A-Z they differ in, so what a cut divides is always one group.
 
-    Null ids count as the smallest id; rows that repeat both id and text are marked alike, and counted. An empty
-    table gives an empty result. Other columns of docs are not read.
+    Null ids count as the smallest id (-2^63, which no real id may be); rows that repeat both id and text are marked alike,
+    and counted. Texts of any length are compared whole. An empty table gives an empty result. Other columns of docs are not
+    read, so their names can't clash.
     """
     kind = docs.schema[id_col].dataType
-    text = text_of(text_col)
-    # lower() folds more than A-Z, so texts that are equal for us always get the same key
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("t")).select(F.lower(F.substring("t", 1, 24)).alias("p"), F.xxhash64(F.lower("t")).alias("h"), "id", "t")
-    ranged = rows.repartitionByRange(F.col("p"), F.col("h"), F.col("id").desc())
-    sorted_ = ranged.mapInArrow(_normalised, "p string, h bigint, id bigint, t string").sortWithinPartitions("p", "h", "t", F.col("id").desc())
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("t")).select("id", "t", folded(F.col("t")).alias("n"))
+    rows = rows.select(F.substring("n", 1, 24).alias("p"), F.xxhash64("n").alias("h"), F.xxhash64(F.lit(1), "n").alias("h2"), "id", "t")
+    ranged = rows.repartitionByRange(F.col("p"), F.col("h"), F.col("h2"), F.col("id").desc())
+    sorted_ = ranged.mapInArrow(_normalised, "p string, h bigint, h2 bigint, id bigint, t string").sortWithinPartitions("p", "h", "h2", "t", F.col("id").desc())
     schema = "id bigint, keep_id bigint, group_size bigint, text_sha256 string, edge boolean, pid bigint, run bigint, text string"
     runs = materialise(sorted_.select("id", "t").mapInArrow(_runs, schema), "content-runs")
     heads = runs.filter("edge and text is not null")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, small, text_of, words_in
+from .shared import join_uneven, materialise, running, small, text_of, words_in
 
 BITS = 48
 LEVEL = 12
@@ -30,6 +30,27 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
     return s.withColumn("target", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).drop("level", "cap")
 
 
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def number_repeats(rows: DataFrame, name: str, keys: tuple[str, ...] = ("id", "source", "digest")) -> DataFrame:
+    """Add `occurrence`: the number (from 0) of a row among those equal in `keys`, null counting as a value.
+
+    Only rows that have equals are shuffled whole, by a range sort that cuts even one huge group over all tasks.
+    """
+    mark, out = F.to_json(F.struct(*[F.col(k).cast("string").alias(str(i)) for i, k in enumerate(keys)])), rows.columns
+    marked = rows.withColumns({"_of": F.xxhash64(mark), "_of2": F.xxhash64(F.lit(1), mark)})
+    again = materialise(marked.groupBy("_of", "_of2").agg(F.count("*").alias("_n")).filter("_n > 1"), f"{name}-again")
+    if again.isEmpty():
+        return rows.withColumn("occurrence", F.lit(0).cast("long"))
+    many = join_uneven(marked, again, ["_of", "_of2"], "_n").select(*out, F.concat_ws(":", "_of", "_of2").alias("_group"), F.monotonically_increasing_id().alias("_row"), F.lit(1).alias("_one"))
+    # the row number is stored before the range sort, so that sampling and sorting see the same one
+    placed = running(materialise(many, f"{name}-repeats"), "_group", ["_row"], "_one", f"{name}-numbers")
+    single = marked.join(small(again), ["_of", "_of2"], "left_anti")
+    return single.select(*out, F.lit(0).cast("long").alias("occurrence")).unionByName(placed.select(*out, F.col("rank").alias("occurrence")))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: id, source, size, source_size, target, taken, copies. Every source's taken words come near its target.
 
@@ -40,13 +61,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     source) is ordered. The document on the threshold is taken if that comes nearer to the remainder.
     Nothing is sorted as a whole and each document is only filtered.
 
-    Null text: size 0. Null source: a source of its own, last by name. Rows that repeat an id share its hash and are
-    taken together. Sources without words have target 0. An empty table gives an empty result.
+    Null text: size 0. Null source: a source of its own, last by name. The hash is of id, text and the number of the row among
+    those that repeat both, so repeated and null ids, and a row copied many times, spread over the hash like any others. Sources
+    without words have target 0. Texts of any length are counted whole. An empty table gives an empty result. Columns other
+    than id, text and source are not read. `digest` (md5 of the text) and `occurrence` (from 0) tell the rows of an id apart.
     """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("source"), words_in(text_of(text_col)).alias("size"), h.alias("h"))
-    rows = materialise(rows, "mix-sizes")
+    rows = number_repeats(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), digest(F.col(text_col)).alias("digest"), words_in(text_of(text_col)).alias("size")), "mix-rows")
+    named = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest", F.col("occurrence").cast("string"))
+    h = F.conv(F.substring(F.md5(named.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = materialise(rows.select("id", key.alias("key"), "source", "size", "digest", "occurrence", h.alias("h")), "mix-sizes")
     sums = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
     plan = source_targets(sums, weights, share, repeats).withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(0))
@@ -75,4 +99,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     out = rows.join(plan, "key").join(ends, "key", "left")
     extra = F.when(F.col("need") <= 0, 0).when(F.col("top").isNull() | (F.col("h") <= F.col("top")), 1).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.col("whole")).cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "digest", "occurrence")

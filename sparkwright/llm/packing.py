@@ -33,11 +33,12 @@ class WordTokens:
 
     No pattern of such a tokenizer reaches across white space, so the ids of a text are those of its stretches. If the
     tokenizer ignores case and splits letters from marks (tried on probes when it is loaded), case is folded and marks behind
-    a word are split off before, and plain words go to its vocabulary model directly, which leaves far fewer and cheaper stretches.
+    a word are split off before (not in texts with a dotted capital I), and plain words go to its vocabulary model directly, which leaves far fewer and cheaper stretches.
     """
 
     MARKS = r"(\pL|\pN)([.,;:!?]+)(\s|$)"
     SPECIAL = "<|"  # texts with special tokens keep their case
+    DOTTED = "\u0130"  # the one letter that lower-casing turns into a letter and a combining dot, which takes a mark behind it along
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +72,7 @@ class WordTokens:
         texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # whole: string functions err on slices
         if self.uncased:
             texts = pc.if_else(pc.match_substring(texts, self.SPECIAL), texts, pc.ascii_lower(texts))
-            texts = pc.replace_substring_regex(texts, self.MARKS, r"\1 \2\3")
+            texts = pc.if_else(pc.match_substring(texts, self.DOTTED), texts, pc.replace_substring_regex(texts, self.MARKS, r"\1 \2\3"))
         lists = pc.ascii_split_whitespace(texts)
         stretch = lists.flatten().dictionary_encode()
         vocabulary, index = stretch.dictionary.to_pylist(), stretch.indices.to_numpy(zero_copy_only=False)

@@ -88,7 +88,8 @@ ORACLES = {
 with d as (
   select doc_id, source,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as h
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, '')) || ':'
+              || cast(row_number() over (partition by doc_id, source, coalesce(text, '')) - 1 as varchar)), 1, 12) as bigint) as h
   from documents),
 s as (
   select source, cast(sum(size) as bigint) as source_size,

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: The characters that separate words wherever a contract says [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,7 +97,7 @@ def running(df: DataFrame, part: str, order: list[str], weight: str, name: str)
     of the earlier stretches, one row for a task and part, are added afterwards. Nothing passes one task whole.
     """
     spec = df.repartitionByRange(part, *order).sortWithinPartitions(part, *order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    schema = StructType([*df.schema.fields, *[StructField(c, LongType()) for c in ("_pid", "_cum", "_rank")]])
 
     def local(batches):
         pid, last, total, seen = TaskContext.get().partitionId(), None, 0, 0
@@ -118,7 +119,7 @@ def running(df: DataFrame, part: str, order: list[str], weight: str, name: str)
             last, total, seen = keys[-1], int(cum[-1]), int(rank[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, np.int64)), pa.array(cum), pa.array(rank.astype(np.int64))], names=[*batch.schema.names, "_pid", "_cum", "_rank"])
 
-    placed = materialise(spec.mapInArrow(local, f"{fields}, _pid bigint, _cum bigint, _rank bigint"), name)
+    placed = materialise(spec.mapInArrow(local, schema), name)
     ends = placed.groupBy(F.col(part).alias("_part"), F.col("_pid").alias("_at")).agg(F.max("_cum").alias("_sum"), F.max("_rank").alias("_last"))
     before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("_part", "_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_c0"), F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_r0"))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkwright.llm import gif_media as G
 from sparkwright.llm import simhash as S
@@ -75,6 +76,45 @@ def test_exact_dedup_hot_group_over_many_tasks(spark):
     assert len(got) == 1000 and {(r["keep_id"], r["group_size"]) for r in got} == {(2997, 1000)} and sum(r["kept"] for r in got) == 1
 
 
+def test_exact_dedup_case_variants_of_other_letters_over_many_tasks(spark):
+    """Texts that differ only in the case of letters beyond A-Z are different, however the sort cuts them."""
+    kinds = ["\u00c9cole one", "\u00e9cole one", "\u00c9COLE One", "\u00e9COLE ONE", "\u0130x", "i\u0307x", "\u0130X"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5600).select("id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % 7 + 1).cast("int")).alias("text")).withColumnRenamed("id", "doc_id").repartition(5)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = exact_dedup(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = {}
+    for i in range(5600):
+        groups.setdefault(lower(kinds[i % 7]), []).append(i)
+    assert len(groups) == 4 and len(got) == 5600
+    for r in got:
+        ids = groups[lower(kinds[r["doc_id"] % 7])]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(ids), len(ids), r["doc_id"] == max(ids))
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    """A third of the rows without id, and a group of equal rows, still let every source come near its target."""
+    rows = [(None if i % 3 == 0 else i % 50, "same words here" if i % 5 == 0 else f"w{i} " * (1 + i % 7), "abc"[i % 3] if i % 4 else None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    sums = {}
+    for r in got:
+        s = sums.setdefault(r["source"], [r["target"], 0])
+        s[1] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for target, taken in sums.values():
+        assert abs(taken - target) <= 7
+    key = lambda r: tuple(str(r[c]) for c in ("doc_id", "source", "digest", "occurrence", "copies"))
+    assert sorted(map(key, got)) == sorted(map(key, mix_sources(docs.repartition(7)).collect()))
+    again = [r["occurrence"] for r in got if r["doc_id"] is None and r["source"] == "a" and r["size"] == 3]
+    assert len(again) > 100 and max(again) > 50
+
+
 def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
@@ -157,7 +197,7 @@ def test_packing(spark, docs, empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="aAbéÉ Σσß'.,!?\"5½ \t\n<|>endoftextﷺ́", max_size=30), max_size=4))
+@given(st.lists(st.text(alphabet="aAbéÉ Σσß'.,!?\"5½ \t\n<|>endoftextﷺ́İIi̇ıßẞ\u00a0\u0085\u1680\x1c", max_size=30), max_size=4))
 def test_word_tokens_equal_the_tokenizers(texts):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     encode = test_word_tokens_equal_the_tokenizers.__dict__.setdefault("encode", WordTokens(public_tokenizers.path("word_bpe_49k.json")))
