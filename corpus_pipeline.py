@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm.content_dedup import exact_dedup
-from sparkwright.llm.mixing import mix_sources
+from sparkwright.llm.mixing import digest, mix_sources, number_repeats
 from sparkwright.llm.packing import pack_documents
 from sparkwright.llm.queries import tokenizer_path
 from sparkwright.llm.shared import mark, materialise, release, shared_folder
@@ -82,9 +82,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to twice, so that the sources' words come near their targets."""
     release(spark, _first[0])
     plan = mix_sources(docs, weights=(5.0, 2.0, 1.0), share=1.5, repeats=2).filter("copies > 0")
-    plan = materialise(plan.groupBy("doc_id", "source").agg(F.max("copies").alias("copies")), "mix-plan").hint("merge")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
-    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")))
+    mark = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit("")), "digest", "occurrence")
+    plan = plan.withColumnRenamed("doc_id", "id").select(mark.alias("mark"), "copies")
+    # nearly every document is in the plan, so it grows with the input: a merge join at every size
+    plan = materialise(plan, "mix-plan").hint("merge")
+    rows = docs.select(F.col("doc_id").alias("id"), "source", digest(F.col("text")).alias("digest"), F.struct("*").alias("row"))
+    taken = number_repeats(rows, "mix-docs").select("row", mark.alias("mark")).join(plan, "mark")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
