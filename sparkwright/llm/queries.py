@@ -12,6 +12,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import digests, find_personal_data
+from .quality import quality_rules
 from .sharding import balanced_shards
 from .simhash import simhash_components
 from .toxicity import score_toxicity
@@ -70,6 +71,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), risk=0.05, error=0.05)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op13_quality": op13_quality,
 }
 
 ORACLES = {
@@ -121,5 +127,83 @@ with n as (
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n
+""",
+    "op13_quality": r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, coalesce('=' || lang, '') as stratum, coalesce(text, '') as t from documents),
+w as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from d),
+win as (
+  select rid, i, array_to_string(words[i:i + 4], ' ') as win
+  from (select rid, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)),
+again as (select rid, i from (select *, count(*) over (partition by rid, win) as n from win) where n > 1),
+cover as (
+  select rid, cast(sum(least(5, coalesce(nxt - i, 5))) as bigint) as n
+  from (select rid, i, lead(i) over (partition by rid order by i) as nxt from again) group by rid),
+c as (
+  select w.rid, doc_id, stratum, md5(t) as digest, cast(len(words) as bigint) as n_words, cast(len(array_to_string(words, '')) as bigint) as word_chars,
+         cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(lines) as bigint) as n_lines,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(cover.n, 0) as n_repeat_words,
+         len(regexp_extract_all(t, '[A-Z]')) as n_capitals, len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) as n_marks
+  from w left join cover on w.rid = cover.rid),
+f as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         case when n_words > 0 then floor(word_chars * 20 / n_words) else 0 end as mean from c),
+m as (
+  select *, list_transform([
+    case when word_chars > 0 then floor(n_symbols * 1000 / word_chars) else 0 end,
+    case when n_lines > 0 then floor(n_dup_lines * 1000 / n_lines) else 0 end,
+    case when n_words > 0 then floor(n_repeat_words * 1000 / n_words) else 0 end,
+    case when word_chars > 0 then floor(n_capitals * 1000 / word_chars) else 0 end,
+    case when word_chars > 0 then floor(n_marks * 1000 / word_chars) else 0 end,
+    mean, case when n_words > 0 then 1000 - least(1000, mean) else 0 end, 1000 - least(1000, n_words)], lambda x: cast(least(1000, x) as int)) as ms
+  from f),
+truth as (select doc_id, max(quality) as q from labels group by doc_id having max(quality) is not null),
+known as (
+  select stratum, digest, max(q) > 0 as good, any_value(ms) as ms, substr(digest, 1, 1) <= '7' as train
+  from m join truth using (doc_id) where not base_failed group by stratum, digest),
+lv as (select i - 1 as level, l[i] as share
+  from (select [0.0, 0.0005, 0.001, 0.002, 0.004, 0.006, 0.008, 0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04, 0.045, 0.05]::double[] as l), range(1, 17) r(i)),
+hist as (
+  select stratum, rule, ms[rule] as v, count(*) filter (good) as g, count(*) filter (not good) as b
+  from known, range(1, 9) r(rule) where train group by 1, 2, 3),
+up as (
+  select *, sum(g) over p as g_up, sum(b) over p as b_up, sum(g) over (partition by stratum, rule) as n_g, sum(b) over (partition by stratum, rule) as n_b
+  from hist window p as (partition by stratum, rule order by v desc)),
+cut0 as (
+  select stratum, rule, level, share, min(v) filter (g_up <= share * n_g) as cut, coalesce(max(b_up) filter (g_up <= share * n_g), 0) as caught, max(n_b) as n_b
+  from up, lv group by 1, 2, 3, 4),
+cut1 as (
+  select stratum, rule, level,
+         case when bool_or(share = 0.02::double and n_b > 0 and caught >= 0.1::double * n_b) over (partition by stratum, rule) then coalesce(cut, 1001) else 1001 end as cut
+  from cut0),
+cuts as (select stratum, level, list(cut order by rule) as cuts from cut1 group by 1, 2),
+met as (
+  select k.stratum, train, good, coalesce((select min(level) from cuts c, range(1, 9) r(j) where c.stratum = k.stratum and k.ms[j] >= c.cuts[j]), 16) as level
+  from known k where k.stratum in (select stratum from cuts)),
+cnt as (
+  select stratum, level, count(*) filter (train and good) as good, count(*) filter (train and not good) as bad, count(*) filter (not train and good) as held
+  from met group by 1, 2),
+tot as (select stratum, sum(good) as all_good, sum(bad) as all_bad, sum(held) as all_held from cnt group by 1),
+grid as (
+  select t.*, lv.level, cast(sum(coalesce(good, 0)) over p as bigint) as good, sum(coalesce(bad, 0)) over p as bad, cast(sum(coalesce(held, 0)) over p as bigint) as held
+  from tot t cross join lv left join cnt on cnt.stratum = t.stratum and cnt.level = lv.level window p as (partition by t.stratum order by lv.level)),
+test as (
+  select *, case when held >= all_held * 0.05::double then 1.0
+    else list_sum(list_transform(range(0, held + 1), lambda j: exp(lgamma(all_held + 1) - lgamma(j + 1) - lgamma(all_held - j + 1) + j * ln(0.05::double) + (all_held - j) * ln(0.95::double)))) end
+    > 0.05::double / (select greatest(count(*), 1) from tot where all_held > 0) as fails
+  from grid),
+pass as (select *, bool_or(fails) over (partition by stratum order by level) as failed from test),
+best as (
+  select stratum, level from pass where not failed
+  qualify row_number() over (partition by stratum order by round(bad / greatest(all_bad, 1) - good / greatest(all_good, 1), 9) desc, level) = 1),
+rule as (
+  select m.*, case when n_words < 10 then 'base: few words' when base_failed then 'base: repeated words'
+    else ['symbols', 'repeated_lines', 'repeated_words', 'capitals', 'marks', 'long_words', 'short_words', 'few_words'][
+      list_position(list_transform(range(1, 9), lambda j: ms[j] >= cuts.cuts[j]), true)] end as reason
+  from m left join best on m.stratum = best.stratum left join cuts on cuts.stratum = best.stratum and cuts.level = best.level)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, reason from rule
 """,
 }
