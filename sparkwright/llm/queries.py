@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .content_dedup import exact_dedup
 from .gif_media import text_media
 from .html_text import extract_text
+from .lexical import rank_documents
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -71,6 +72,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), risk=0.05, error=0.05)
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op12_search": op12_search,
     "op13_quality": op13_quality,
 }
 
@@ -127,6 +133,25 @@ with n as (
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n
+""",
+    "op12_search": r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+size as (select count(*) as docs, sum(len(terms)) as total from d where len(terms) > 0),
+t as (select rid, term, cast(count(*) as bigint) as tf from (select rid, unnest(terms) as term from d) group by 1, 2),
+df as (select term, count(*) as df from t where term in (select term from q) group by 1),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as w from df, size),
+m as (select rid, doc_id, 10 + (90 * len(terms) * docs) // cast(total as bigint) as m from d, size where len(terms) > 0),
+s as (
+  select item_id, m.rid, doc_id, cast(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from q join w using (term) join t using (term) join m on m.rid = t.rid group by 1, 2, 3),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 10
 """,
     "op13_quality": r"""
 with recursive d as (
