@@ -16,6 +16,7 @@ from .pii import digests, find_personal_data
 from .quality import quality_rules
 from .sharding import balanced_shards
 from .simhash import simhash_components
+from .spelling import spelling_groups
 from .toxicity import score_toxicity
 
 
@@ -72,6 +73,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"), least_letters=7, least_count=2, ratio=10)
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_spelling": op11_spelling,
     "op12_search": op12_search,
     "op13_quality": op13_quality,
 }
@@ -133,6 +139,41 @@ with n as (
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n
+""",
+    "op11_spelling": r"""
+with recursive tab as (
+  select list(c order by b) as tbl from (
+    select b, list_reduce(list_prepend(cast(b as bigint), [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c
+    from range(256) r(b))),
+r as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents),
+u as (select doc_id, run, count(*) as k, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from r where len(run) >= 7 group by 1, 2),
+h as (
+  select run, k, xor(4294967295, list_reduce(
+           list_prepend(4294967295::bigint, list_transform(range(1, len(x), 2), lambda i: cast(('0x' || substr(x, cast(i as int), 2)) as bigint))),
+           lambda c, b: xor(c >> 8, tbl[cast(xor(c, b) & 255 as int) + 1]))) as h
+  from u, tab),
+w as (
+  select word, cast(sum(k) as bigint) as n
+  from (select case when h % 31 = 0 then left(run, cast(h % len(run) as int)) || substr(run, cast(h % len(run) as int) + 2) else run end as word, k from h)
+  where len(word) >= 7 group by 1 having sum(k) >= 2),
+cut as (select word, i, left(word, cast(i as int) - 1) || substr(word, cast(i as int) + 1) as rest from (select word, unnest(range(1, len(word) + 1)) as i from w)),
+pair as (
+  select a.word as a, b.word as b from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, w.word from cut c join w on c.rest = w.word
+  union select w.word, c.word from cut c join w on c.rest = w.word),
+best as (
+  select a as word, cast(count(*) as bigint) as n_near, first(b order by n desc, encode(b)) as near, max(n) as m
+  from pair join w on w.word = b group by 1),
+f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 10 * w.n then near end as form, case when m >= 10 * w.n then m end as form_n
+  from w left join best using (word)),
+way as (
+  select word, word as cur, 0 as step from f
+  union all select way.word, f.form, step + 1 from way join f on f.word = way.cur where f.form is not null),
+root as (select word, arg_max(cur, step) as root from way group by 1)
+select word, form, root, n, n_near, form_n from f join root using (word)
 """,
     "op12_search": r"""
 with d as (
