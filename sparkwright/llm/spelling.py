@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ SAMPLE = 50_000  # words that the gram dictionary is made from
 HEAVY = 2048  # words in a gram's list from which on it is not compared pair by pair
 DAMAGE = 31
 DELETIONS = 64  # letters up to which words of heavy lists meet by their deletions
+WIDE = 48  # letters up to which pairs are verified in blocks; longer ones by themselves
 HELD = 200_000  # words counted by a task before it hands them on
 
 
@@ -119,32 +121,40 @@ class GramDictionary:
         An edit touches a gram if it falls inside it, or right behind it where the letter there might prolong it. A touched
         position may also begin a longer gram than before, which swallows grams up to where it reaches.
         """
-        ends, opens = self.ends(s)
+        return self._affected(s, *self.ends(s))
+
+    def _affected(self, s: str, ends: list[int], opens: list[bool]) -> int:
         own, far = [], 0
         for p, e in enumerate(ends):
             if e > far:
                 own.append(p)
                 far = e
-        worst, n, depth, least, first = 0, len(s), self.depth, self.shortest, 0
+        worst, n, depth, least, longest, first = 0, len(s), self.depth.get, self.shortest, self.longest, 0
         for i in range(self.pad, n - self.pad + 1):
-            low = max(0, i - self.longest)
+            low = max(0, i - longest)
             while first < len(own) and own[first] < low:
                 first += 1
-            near = own[first : bisect_right(own, i + 2 * self.longest, first)]  # no edit at i reaches further
-            if i < n - self.pad:  # the letter at i goes or changes
-                touched, reach = set(), i + self.longest
-                for p in range(low, min(i, len(ends) - 1) + 1):
-                    if i < ends[p] or i == ends[p] and opens[p]:
-                        touched.add(p)
-                        if p < i:
-                            reach = max(reach, p + max(depth.get(s[p:i], 0), least) + 1)
-                worst = max(worst, sum(p in touched or p > i and ends[p] <= reach for p in near))
-            touched, reach = set(), i + self.longest - 1  # a letter comes in before i
-            for p in range(low, min(i - 1, len(ends) - 1) + 1):
-                if i < ends[p] or i == ends[p] and opens[p]:
-                    touched.add(p)
-                    reach = max(reach, p + max(depth.get(s[p:i], 0), least) - 1)
-            worst = max(worst, sum(p in touched or p >= i and ends[p] <= reach for p in near))
+            base = 0  # where a gram that begins before i and is touched may reach, if the text kept its length
+            for p in range(low, min(i, len(ends))):
+                e = ends[p]
+                if e > i or e == i and opens[p]:
+                    d = depth(s[p:i], 0)
+                    base = max(base, p + (d if d > least else least))
+            changed, put = max(base + 1, i + longest), max(base - 1, i + longest - 1)  # the letter at i goes or changes; one comes in before it
+            change = insert = 0
+            for k in range(first, len(own)):
+                p = own[k]
+                e = ends[p]
+                if p < i:
+                    if e > i or e == i and opens[p]:
+                        change += 1
+                        insert += 1
+                    continue
+                if p > i + 2 * longest:  # no edit at i reaches further
+                    break
+                change += p == i or e <= changed
+                insert += e <= put
+            worst = max(worst, insert, change if i < n - self.pad else 0)
         return worst
 
     def signature(self, word: str) -> list[tuple[int, int, str]]:
@@ -156,8 +166,14 @@ class GramDictionary:
         shared there the first one is; and right of it, behind a shared gram, nothing changes either, so the last one is.
         """
         s = self.padded(word)
-        grams = sorted(((self.count.get(g, 0), g, p) for p, g in self.decompose(s)))
-        keep = min(len(grams), self.affected(s) + 1)
+        ends, opens = self.ends(s)
+        grams, far = [], 0
+        for p, e in enumerate(ends):
+            if e > far:
+                grams.append((self.count.get(s[p:e], 0), s[p:e], p))
+                far = e
+        grams.sort()
+        keep = min(len(grams), self._affected(s, ends, opens) + 1)
         while keep < len(grams) and grams[keep][1] == grams[keep - 1][1]:
             keep += 1
         first: dict[str, int] = {}
@@ -168,20 +184,91 @@ class GramDictionary:
         return [(first[g], last[g], g) for g in first]
 
 
+def sketch(word: str) -> int:
+    """The length (255 at most) in the upper 8 bits, and which letters occur in the other 56: one edit changes the length by at most 1 and two letters."""
+    bits = 0
+    for c in set(word):
+        bits |= 1 << ord(c) % 56
+    size = min(len(word), 255)
+    return bits | (size if size < 128 else size - 256) << 56
+
+
 def gram_lists(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
-    """key, word: the inverted lists. A gram's place is told from the start and from the end, a list for each."""
+    """key, word, sketch: the inverted lists. A gram's place is told from the start and from the end, a list for each."""
 
     def index(batches):
         for batch in batches:
-            keys, rows = [], []
-            for i, w in enumerate(batch.column("word").to_pylist()):
-                for left, right, g in dictionary.signature(w):
-                    keys += [f"{left}<{g}", f"{right}>{g}"]
-                    rows += [i, i]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("word").take(pa.array(rows, pa.int64()))], names=["gram", "word"])
+            words = batch.column("word").to_pylist()
+            for at in range(0, len(words), 1000):
+                keys, rows = [], []
+                for i, w in enumerate(words[at : at + 1000]):
+                    for left, right, g in dictionary.signature(w):
+                        keys += [f"{left}<{g}", f"{right}>{g}"]
+                        rows += [i, i]
+                part = batch.column("word").slice(at, 1000)
+                seen = pa.array([sketch(w) for w in words[at : at + 1000]], pa.int64())
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), part.take(rows), seen.take(rows)], names=["gram", "word", "sketch"])
 
     # a list is known by 64 bits of hash: lists that meet by chance only mean words compared in vain
-    return words.select("word").mapInArrow(index, "gram string, word string").select(F.xxhash64("gram").alias("key"), "word")
+    return words.select("word").mapInArrow(index, "gram string, word string, sketch bigint").select(F.xxhash64("gram").alias("key"), "word", "sketch")
+
+
+def _merged(batches):
+    """Rows sorted by key to the pairs of words of a list whose sketches allow for one edit.
+
+    Compares all rows of a batch with those at one distance behind them at a time, so that short lists cost no call of
+    their own. A list that goes on in the next batch is carried along; lists have at most HEAVY words here.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        table = table.combine_chunks()
+        keys = table.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
+        held = table.slice(cut)
+        yield _compared(table.slice(0, cut))
+    if held is not None:
+        yield _compared(held)
+
+
+def _edit_apart(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are one edit apart, from their letters in order and in reverse; pairs with a longer word all pass."""
+    same, out = size[a] == size[b], np.zeros(len(a), bool)
+    out[same] = (start[a[same]] != start[b[same]]).sum(axis=1) == 1
+    x, y = a[~same], b[~same]
+    alike = (start[x] != start[y]).argmax(axis=1) + (end[x] != end[y]).argmax(axis=1)
+    out[~same] = alike >= np.minimum(size[x], size[y])
+    return out | ~(fits[a] & fits[b])
+
+
+def _compared(rows: pa.Table) -> pa.RecordBatch:
+    keys, sketches = rows.column("key").to_numpy(), rows.column("sketch").to_numpy()
+    size, letters = sketches.view(np.uint64) >> np.uint64(56), sketches.view(np.uint64) & np.uint64(2**56 - 1)
+    size, alive, found = size.astype(np.int16), np.arange(len(keys)), [np.zeros((2, 0), np.int64)]
+    for lag in range(1, len(keys)):
+        alive = alive[alive < len(keys) - lag]
+        alive = alive[keys[alive] == keys[alive + lag]]
+        if not len(alive):
+            break
+        a, b = alive, alive + lag
+        near = (np.bitwise_count(letters[a] ^ letters[b]) <= 2) & (np.abs(size[a] - size[b]) <= 1)
+        found.append(np.stack([a[near], b[near]]))
+    a, b = np.concatenate(found, axis=1)
+    own = rows.column("word").to_pylist()
+    width = min(WIDE, max(map(len, own), default=1))
+    fits = np.array([len(w) <= width for w in own], bool)
+    bytes_ = [w.encode("latin-1") for w in own]  # every letter of the runs is one byte there
+    start, end = (np.array(x, f"S{width}").view(np.uint8).reshape(len(own), width) for x in (bytes_, [w[::-1] for w in bytes_]))
+    keep = [np.zeros(0, bool)]
+    for at in range(0, len(a), 500_000):
+        keep.append(_edit_apart(a[at : at + 500_000], b[at : at + 500_000], start, end, size, fits))
+    keep = np.concatenate(keep)
+    a, b = a[keep], b[keep]
+    words = rows.column("word").combine_chunks()
+    return pa.RecordBatch.from_arrays([words.take(pa.array(x)) for x in (a, b)], names=["a", "b"])
 
 
 def _one_edit(a: str, b: str):
@@ -216,14 +303,17 @@ def near_words(words: DataFrame, least_letters: int = 7, sample: int = SAMPLE, h
     large = materialise(lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("key"), "spelling-heavy")
     rest, any_large = lists, not large.isEmpty()
     if any_large:
-        many = materialise(lists.join(small(large), "key"), "spelling-many")
-        # a pair with a word of more letters has two words of at least DELETIONS
-        rest = lists.join(small(large), "key", "left_anti").union(many.filter(F.char_length("word") >= DELETIONS).select("key", "word"))
-    meet = rest.withColumnRenamed("word", "a").join(rest.withColumnRenamed("word", "b").hint("merge"), "key")
-    pairs = meet.filter((F.col("a") < F.col("b")) & (F.abs(F.char_length("a") - F.char_length("b")) <= 1) & _one_edit("a", "b")).select("a", "b")
+        rest = lists.join(small(large), "key", "left_anti")
+    sorted_ = rest.repartition("key").sortWithinPartitions("key")
+    pairs = sorted_.mapInArrow(_merged, "a string, b string").filter(_one_edit("a", "b"))
     if any_large:
+        many = materialise(lists.join(small(large), "key"), "spelling-many")
         pairs = pairs.union(_by_deletions(many.filter(F.char_length("word") <= DELETIONS).select("word").distinct()))
-    return pairs.distinct()
+        # a pair with a word of more letters has two words of at least DELETIONS
+        long = many.filter(F.char_length("word") >= DELETIONS).select("key", "word")
+        meet = long.toDF("key", "a").join(long.toDF("key", "b"), "key").filter((F.col("a") < F.col("b")) & _one_edit("a", "b"))
+        pairs = pairs.union(meet.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def spelling_groups(docs: DataFrame, least_letters: int = 7, least_count: int = 2, ratio: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
