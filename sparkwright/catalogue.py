@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import annotation, encoders, labels, metrics, models, sequences, vectors  # noqa: F401
+from .plans import annotation, encoders, labels, metrics, models, sequences, signals, validation, vectors  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
