@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rasters import cut
+
 
 def platt_sums(df: DataFrame, score: str, label: str, a: float, b: float) -> tuple[float, ...]:
     """Gradient (2), Hessian (3) and loss at (a, b), with smoothed targets, in one aggregate."""
@@ -71,29 +73,98 @@ def _blocks(table: pd.DataFrame) -> pd.DataFrame:
     """Rows (s, sy, y, n) in the order of s -> one row for each block: least s, and the sums of s over rows, of y and of n."""
     cuts = [a for a, _, _ in pool_violators((table["y"] / table["n"]).to_numpy(), table["n"].to_numpy(float))]
     sums = {c: np.add.reduceat(table[c].to_numpy(float), cuts) if cuts else [] for c in ("sy", "y", "n")}
-    return pd.DataFrame({"s": table["s"].to_numpy(float)[cuts], **sums})
+    return pd.DataFrame({"g": table["g"].to_numpy()[cuts], "s": table["s"].to_numpy(float)[cuts], **sums})
 
 
-def fit_isotonic(df: DataFrame, score: str, label: str) -> list[tuple[float, float]]:
-    """Knots (score, probability): one for each block of the best rising fit, at its mean score.
+def _pool(batches):
+    """Blocks of each stretch g; rows come in the order of g and s, so only the last stretch seen is held."""
+    held = None
+    for pdf in batches:
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        runs = [_blocks(run) for _, run in rows.groupby("g", sort=False)]
+        yield from runs[:-1]
+        held = runs[-1] if runs else held
+    if held is not None:
+        yield held
+
 
-    Exact at every size: equal scores are pooled first, each task then pools the violators of its own range of scores to
-    blocks, and the driver pools the blocks, which comes to the same fit in whatever order violators are pooled.
+def _regroup(ends: list, size: int) -> list[tuple[int, bool, int]] | None:
+    """(stretch, upper half, new stretch) from a row for each stretch in order; None where the means rise from each to the next.
+
+    Stretches are cut in half and joined anew, up to about `size` blocks each, but never cut where the means fall. Inside a
+    stretch they rise, so that at most the halves on both sides of such a place and stretches of one block have to stay together.
+    """
+    if all(a["last"] < b["first"] for a, b in zip(ends, ends[1:], strict=False)):
+        return None
+    out, new, held, before = [], 0, 0, None
+    for e in ends:
+        falls = before is not None and before >= e["first"]
+        for upper, n in ((False, e["lower"]), (True, e["n"] - e["lower"])):
+            if not n:
+                continue
+            if held and held + n > size and not falls:
+                new, held = new + 1, 0
+            out.append((e["g"], upper, new))
+            held, falls = held + n, False
+        before = e["last"]
+    return out
+
+
+def isotonic_table(df: DataFrame, score: str, label: str, parts: int | None = None) -> DataFrame:
+    """x, p: the blocks of the best rising fit by mean score, exact at every size, as a table that never passes one task or the driver.
+
+    Equal scores are pooled first. Each task then pools the violators of its own stretch of scores; where the means still fall
+    from one stretch to the next, the stretches are cut and joined anew around those places and pooled again, which comes to
+    the same fit in whatever order violators are pooled. Only a row for each stretch comes to the driver. Every pass takes
+    away a block for each such place, so the passes end. Null scores and labels don't count; no rows give no blocks.
     """
     s = F.col(score).cast("double")
     rows = df.filter(s.isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("s")).agg(F.sum(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("n"))
-    ranges = rows.select("s", (F.col("s") * F.col("n")).alias("sy"), "y", "n").repartitionByRange("s").sortWithinPartitions("s")
-
-    def pool(batches):
-        held = None
-        for pdf in batches:
-            held = _blocks(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
-        if held is not None:
-            yield held
-
-    found = ranges.mapInPandas(pool, "s double, sy double, y double, n double").toPandas()
-    found = _blocks(found.sort_values("s", ignore_index=True)) if len(found) else found
-    return [(float(r.sy / r.n), float(r.y / r.n)) for r in found.itertuples()]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = "g int, s double, sy double, y double, n double"
+    ranges = rows.select("s", (F.col("s") * F.col("n")).alias("sy"), "y", "n").repartitionByRange(parts, "s").sortWithinPartitions("s")
+    blocks = cut(ranges.select(F.spark_partition_id().alias("g"), "*").mapInPandas(_pool, shape))
+    mean = F.col("y") / F.col("n")
+    while True:
+        middle = blocks.groupBy("g").agg(F.percentile_approx("s", 0.5).alias("middle"))
+        half = blocks.join(F.broadcast(middle), "g").withColumn("upper", F.col("s") >= F.col("middle"))  # a row for each stretch
+        ends = half.groupBy("g").agg(F.min_by(mean, "s").alias("first"), F.max_by(mean, "s").alias("last"), F.count("*").alias("n"), F.count_if(~F.col("upper")).alias("lower")).orderBy("g").collect()
+        moves = _regroup(ends, max(2, -(-sum(e["n"] for e in ends) // parts)))
+        if moves is None:
+            return blocks.select((F.col("sy") / F.col("n")).alias("x"), mean.alias("p"))
+        to = F.broadcast(df.sparkSession.createDataFrame(moves, "g int, upper boolean, _to int"))
+        joined = half.join(to, ["g", "upper"]).select(F.col("_to").alias("g"), "s", "sy", "y", "n")
+        blocks = cut(joined.repartition(parts, "g").sortWithinPartitions("g", "s").mapInPandas(_pool, shape))
+
+
+def fit_isotonic(df: DataFrame, score: str, label: str) -> list[tuple[float, float]]:
+    """The knots (score, probability) of isotonic_table as a list, for curves whose knots become literals."""
+    return sorted((r["x"], r["p"]) for r in isotonic_table(df, score, label).collect())
+
+
+def predict_isotonic(df: DataFrame, score: str, knots: DataFrame, name: str = "p", parts: int | None = None) -> DataFrame:
+    """df with `name`: linear between the knots (x, p) of a table of any size, level outside; null for a null score or without knots.
+
+    Rows and knots are range-partitioned together by score, rows of equal score spread by a running number. Each row takes the
+    nearest knots below and above it in its task; where a task has none, one row for each task tells those of the tasks around.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = knots.select(F.col("x").alias("_s"), F.lit(0).alias("_tag"), F.lit(0).cast("long").alias("_salt"), F.struct("x", "p").alias("_knot"))
+    right = df.select(F.col(score).cast("double").alias("_s"), F.lit(1).alias("_tag"), F.monotonically_increasing_id().alias("_salt"), F.struct("*").alias("_row"))
+    order = ["_s", "_tag", "_salt"]
+    both = right.unionByName(left, allowMissingColumns=True).repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
+
+    own = both.filter("_tag = 0").groupBy("_pid").agg(F.min("_knot").alias("first"), F.max("_knot").alias("last"))
+    tasks = df.sparkSession.range(parts).select(F.col("id").cast("int").alias("_pid")).join(own, "_pid", "left")
+    below, above = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    around = tasks.select("_pid", F.last("last", True).over(below).alias("_below"), F.last("first", True).over(above).alias("_above"))
+
+    up, down = Window.partitionBy("_pid").orderBy(*order), Window.partitionBy("_pid").orderBy(*[F.desc(c) for c in order])
+    near = both.withColumn("_lo", F.last("_knot", True).over(up)).withColumn("_hi", F.last("_knot", True).over(down)).filter("_tag = 1")
+    near = near.join(F.broadcast(around), "_pid").select("_s", "_row", F.coalesce("_lo", "_below").alias("lo"), F.coalesce("_hi", "_above").alias("hi"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("lo.x", "lo.p", "hi.x", "hi.p"))
+    value = F.when(F.col("_s").isNull(), None).when(F.col("lo").isNull(), y1).when(F.col("hi").isNull(), y0).otherwise(y0 + (y1 - y0) * (F.col("_s") - x0) / (x1 - x0))
+    return near.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c != name], value.alias(name))
 
 
 def interpolate(score: Column, knots: list[tuple[float, float]]) -> Column:

@@ -106,7 +106,8 @@ def export_wide(spark, sf_dir):
     return wide.select("sample_id", value("0").alias("value_0"), value("1").alias("value_1"))
 
 
-@query()
+@query(LOG + """, j as (select sample_id, string_agg('"' || task_id || '":{' || case when value is null then '' else '"value":' || cast(value as varchar) || ',' end || '"confidence":1.0}', ',' order by task_id) as j from cur group by 1)
+select '{"sample_id":"' || sample_id || '","labels":{' || j || '}}' as value from j""")
 def export_jsonl(spark, sf_dir):
     return L.export_lines(L.current_state(_log(spark, sf_dir)).withColumn("confidence", F.lit(1.0)))
 

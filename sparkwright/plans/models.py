@@ -58,15 +58,26 @@ def platt_fit(spark, sf_dir):
     return s.select("doc_id", C.platt(F.col("score"), *C.fit_platt(s, "score", "quality")).alias("p"))
 
 
-@query()
+#: The rising fit as the maximum over starts of the minimum over ends of means.
+RISING = SCORED + """, g as (select score, sum(quality) as y, count(*) as n, row_number() over (order by score) as i from s where score is not null group by 1),
+c as (select *, sum(y) over (order by i) as cy, sum(n) over (order by i) as cn from g),
+m as (select a.i as a, b.i as b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)::double as m from c a join c b on a.i <= b.i),
+lo as (select a, g.i, min(m) as m from m join g on g.i between a and b group by 1, 2), f as (select i, round(max(m), 12) as p from lo group by 1),
+k as (select sum(score * n) / sum(n)::double as x, p from f join g using (i) group by p)"""
+
+
+@query(RISING + " select round(x, 6) + 0.0 as score, round(p, 6) + 0.0 as p from k")
 def isotonic_knots(spark, sf_dir):
-    return spark.createDataFrame(C.fit_isotonic(_scored(spark, sf_dir), "score", "quality"), "score double, p double")
+    k = C.isotonic_table(_scored(spark, sf_dir), "score", "quality")
+    return k.select(rounded(F.col("x")).alias("score"), rounded(F.col("p")).alias("p"))
 
 
-@query()
+@query(RISING + """, w as (select x, p, lead(x) over (order by x) as x1, lead(p) over (order by x) as p1 from k), e as (select min(x) as x0, arg_min(p, x) as first from k),
+q as (select doc_id, round(log10(n_chars + 1), 2) as score from labels join documents using (doc_id))
+select doc_id, round(case when q.score < x0 then first when x1 is null then p else p + (p1 - p) * (q.score - x) / (x1 - x) end, 6) + 0.0 as p from q cross join e left join w on q.score >= x and (x1 is null or q.score < x1)""")
 def isotonic_predict(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return s.select("doc_id", C.interpolate(F.col("score"), C.fit_isotonic(s, "score", "quality")).alias("p"))
+    return C.predict_isotonic(s, "score", C.isotonic_table(s, "score", "quality")).select("doc_id", rounded(F.col("p")).alias("p"))
 
 
 @query()
@@ -146,23 +157,30 @@ def svd_inverse(spark, sf_dir):
     return back.select("vec_id", rounded(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), rounded(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 3).alias("squares"))
 
 
-@query()
+@query("""with v as (select label, unnest(embedding)::double as x, unnest(range(1, 65)) as i from embeddings where label is not null),
+c as (select label, list(m order by i) as c from (select label, i, avg(x) as m from v group by 1, 2) group by 1),
+d as (select c.label, list_distance(cast(embedding as double[]), c) as d from embeddings, c),
+r as (select label, 1.67::double * avg(d) as r from (select *, row_number() over (partition by label order by d) as k from d) where k <= 20 group by 1),
+n as (select label, r, greatest(count_if(d <= r), 1) as n from d join r using (label) group by 1, 2), l as (select label, ln(n) - 64 * ln(r) as l from n),
+e as (select label, exp(l - max(l) over ()) as e from l)
+select label, round(e / avg(e) over (), 6) + 0.0 as density from e""")
 def local_density(spark, sf_dir):
     """Relative density at each label's mean: rows within 1.67 times the mean of its 20 nearest distances, over the ball's volume."""
     from ..operators.nearest import distances, label_means
 
     e = table(spark, sf_dir, "embeddings")
-    centres = np.array([r["centre"] for r in label_means(e, "embedding", "label").orderBy("label").collect()])
+    means = label_means(e, "embedding", "label").orderBy("label").collect()
+    names, centres = [r["label"] for r in means], np.array([r["centre"] for r in means])
 
     def nearest20(batches):
         import pandas as pd
 
+        best = np.empty((0, len(centres)))  # one result for a task
         for pdf in batches:
             if len(pdf):
                 d = distances(np.stack(pdf["embedding"].to_numpy()).astype(float), centres)
-                k = min(20, len(d))
-                part = np.sort(d, axis=0)[:k]
-                yield pd.DataFrame({"k": np.repeat(np.arange(len(centres)), k), "d": part.T.ravel()})
+                best = np.sort(np.r_[best, d], axis=0)[:20]
+        yield pd.DataFrame({"k": np.repeat(np.arange(len(centres)), len(best)), "d": best.T.ravel()})
 
     from pyspark.sql import Window
 
@@ -172,13 +190,14 @@ def local_density(spark, sf_dir):
     def inside(batches):
         import pandas as pd
 
+        limits, n = np.array([radius[k] for k in range(len(centres))]), np.zeros(len(centres), np.int64)
         for pdf in batches:
             if len(pdf):
-                d = distances(np.stack(pdf["embedding"].to_numpy()).astype(float), centres)
-                yield pd.DataFrame({"k": np.arange(len(centres)), "n": [(d[:, k] <= radius[k]).sum() for k in range(len(centres))]})
+                n += (distances(np.stack(pdf["embedding"].to_numpy()).astype(float), centres) <= limits).sum(axis=0)
+        yield pd.DataFrame({"k": np.arange(len(centres)), "n": n})
 
     counts = e.select("embedding").mapInPandas(inside, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
     logs = np.array([np.log(max(r["n"], 1)) - centres.shape[1] * np.log(radius[r["k"]]) for r in sorted(counts, key=lambda r: r["k"])])
     density = np.exp(logs - logs.max())
     density = density / density.mean()
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(density)], "label int, density double")
+    return spark.createDataFrame([(int(i), float(v)) for i, v in zip(names, density, strict=True)], "label int, density double").select("label", rounded(F.col("density")).alias("density"))
