@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -215,3 +216,36 @@ def token_accuracy(predicted: Column, target: Column, mask: Column) -> Column:
 def exact_match(predicted: Column, target: Column, mask: Column) -> Column:
     wrong = F.zip_with(F.zip_with(predicted, target, lambda a, b: a != b), mask, lambda w, m: w & (m > 0))
     return ~F.exists(wrong, lambda w: w)
+
+
+#: Kinds of decisions in the order of their numbers.
+DECISIONS = ["binary", "choice", "score"]
+
+
+def decision_kind(value: Column) -> Column:
+    """The kind's name from its name in any case or its number as text; null if it is none."""
+    by_number = F.get(F.array(*map(F.lit, DECISIONS)), F.when(F.rlike(value, F.lit("^[0-9]$")), value).cast("int"))
+    return F.coalesce(by_number, F.when(F.lower(value).isin(DECISIONS), F.lower(value)))
+
+
+def decision_options(kind: Column, options: Column, levels: Column) -> Column:
+    """Option texts in the order of their answers: false and true, those given, or the levels from 0."""
+    ladder = F.transform(F.sequence(F.lit(0), F.greatest(levels, F.lit(1)).cast("int") - 1), lambda i: i.cast("string"))
+    ladder = F.when(levels > 0, ladder).otherwise(F.array().cast("array<string>"))
+    return F.when(kind == "binary", F.array(F.lit("false"), F.lit("true"))).when(kind == "score", ladder).otherwise(options)
+
+
+def typed_decision(kind: Column, instruction: Column, options: Column, state: Column, encode: Callable[[Column], Column], length: int | None = None) -> Column:
+    """struct(ids, marker_pos, marker_end) of a decision whose kind stands before the instruction, closed by a [SEP].
+
+    instruction and state are texts, options an array of texts; encode turns a text into ids. The state is cut so that all
+    but it and the last mark fit `length`; it is whole without one.
+    """
+    head = encode(F.concat_ws(" ", kind, instruction))
+    d = decision_sequence(head, F.transform(options, encode), encode(state), (2**30 if length is None else length) - 1)
+    return F.struct(F.concat(d["ids"], _id("sep")).alias("ids"), d["marker_pos"].alias("marker_pos"), d["marker_end"].alias("marker_end"))
+
+
+def sha_ids(words: Column, vocabulary: int) -> Column:
+    """Content ids from the first 32 bits of each word's SHA-256: the same in every engine."""
+    return F.transform(words, lambda t: (F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 8), 16, 10).cast("long") % vocabulary + CONTENT).cast("int"))

@@ -75,8 +75,9 @@ def strip_tags(text: pd.Series) -> pd.Series:
 
 
 def key_values(text: Column) -> Column:
-    """Lines `name: meaning` as a map; later lines win, lines without a colon are left out."""
+    """Lines `name: meaning` as a map; later lines win, lines without a colon, a name or a meaning are left out."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    pairs = F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != ""))
     last = F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, p: F.concat(F.filter(acc, lambda q: q["k"] != p["k"]), F.array(p)))
     return F.map_from_entries(last)

@@ -95,3 +95,17 @@ def read_json_or(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
 
 def probabilities_cell(p: Column) -> Column:
     return F.to_json(F.transform(p, lambda x: F.round(x, 6)))
+
+
+def split_targets(df: DataFrame, task: str) -> DataFrame:
+    """x, y from a table of features and targets, whose names begin with y: an array of doubles, and a double (regression), an int, or an array of ints (multilabel).
+
+    Rows with a null or NaN anywhere are left out.
+    """
+    targets = [c for c in df.columns if c.startswith("y")]
+    if not targets:
+        raise ValueError("no column begins with y")
+    whole = df.dropna()
+    x = F.array(*[F.col(c).cast("double") for c in df.columns if c not in targets]).cast("array<double>")
+    y = {"regression": F.col(targets[0]).cast("double"), "multilabel": F.array(*[F.col(c).cast("int") for c in targets])}.get(task, F.col(targets[0]).cast("int"))
+    return whole.select(x.alias("x"), y.alias("y"))

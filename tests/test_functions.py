@@ -69,7 +69,7 @@ def test_text(spark):
     assert one(spark, text.sentences(F.lit("One. Two!  Three? four"))) == ["One.", "Two!", "Three?", "four"]
     spans = one(spark, text.token_offsets(F.lit("😀 it's né-e!")))
     assert [(s["token"], s["start"], s["end"]) for s in spans] == [("😀", 0, 1), ("it's", 2, 6), ("né-e", 7, 11), ("!", 11, 12)]
-    assert one(spark, text.key_values(F.lit("a: 1\nb:2\nnone\na: x:y"))) == {"a": "x:y", "b": "2"}
+    assert one(spark, text.key_values(F.lit("a: 1\nb:2\nnone\na: x:y\n: no name\nc:  \n"))) == {"a": "x:y", "b": "2"}
     assert one(spark, text.strip_tags(F.lit("&lt;b&gt;x&amp;amp;<i>y</i>"))) == "x&y"
 
 
