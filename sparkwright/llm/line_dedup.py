@@ -31,7 +31,9 @@ def normal_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("whole"))
-    rows = rows.select("id", F.xxhash64("whole").alias("ta"), F.xxhash64(F.lit(1), "whole").alias("tb"), F.posexplode(F.split(F.lower("whole"), "\n")).alias("pos", "raw"))
+    # hashed before the lines part: beside posexplode the whole text would be hashed again for each of its lines
+    rows = rows.select("id", F.xxhash64("whole").alias("ta"), F.xxhash64(F.lit(1), "whole").alias("tb"), "whole")
+    rows = rows.select("id", "ta", "tb", F.posexplode(F.split(F.lower("whole"), "\n")).alias("pos", "raw"))
     rough = F.contains("raw", F.lit("  "))
     for c in "\t\x0b\f\r":
         rough = rough | F.contains("raw", F.lit(c))
@@ -257,8 +259,10 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     rows = rows.join(gone.hint("merge"), same, "left")  # grows with the input: a merge join at every size
     raw = F.col("row").getField(text_col)
     parts, marks = F.split(raw, "\n"), F.coalesce("gone", F.array().cast("array<int>"))
-    # a map would do for look-up, but documents rarely lose more than a few lines
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(marks, i)), "\n")
+    # the stretches between dropped lines, each cut out at once; split and sorted marks are bound to names, so no stretch works them out again
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort(marks), F.array(F.size(parts)))
+    between = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.size(x["ends"]) - 1), lambda i: F.slice(x["parts"], F.get(x["ends"], i - 1) + 2, F.get(x["ends"], i) - F.get(x["ends"], i - 1) - 1)))
+    kept = F.array_join(F.get(F.transform(F.array(F.struct(parts.alias("parts"), ends.alias("ends"))), between), F.lit(0)), "\n")
     clean = F.when(F.col("gone").isNull(), F.coalesce(raw, F.lit(""))).otherwise(kept)
     n = F.when(raw.isNull(), 0).otherwise(F.size(parts))
     rows = rows.select("row", n.alias("n_lines"), F.size(marks).alias("n_dropped"), clean.alias("clean_text"))

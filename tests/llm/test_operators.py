@@ -20,7 +20,7 @@ from sparkwright.llm.html_text import extract_text, main_text, stretches
 from sparkwright.llm.line_dedup import dedup_lines, line_classes
 from sparkwright.llm.mixing import mix_sources
 from sparkwright.llm.packing import WordTokens, first_fit_decreasing, pack_documents, sequences, token_pieces
-from sparkwright.llm.pii import digests, find_personal_data, sanitised
+from sparkwright.llm.pii import base_spans, digests, find_personal_data, sanitised
 from sparkwright.llm.sharding import balanced_shards
 from sparkwright.llm.toxicity import score_toxicity
 
@@ -589,3 +589,24 @@ def test_line_dedup_every_character(spark):
     rows = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     dropped, want = {r["doc_id"] for r in rows if r["n_dropped"]}, {j for _, j in similar}
     assert dropped <= want and len(want - dropped) <= 0.02 * len(want)
+
+
+def test_line_dedup_many_dropped_lines(spark):
+    """100 000 dropped lines in one text, kept ones between them."""
+    lines = ["the very same line of text that comes again and again"] * 100_000
+    for i, w in enumerate(("first", "second", "third")):
+        lines[i * 40_000 + 1] = f"{w} quite another line here {w * 3} {i}"
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n\nthe very same line of text that comes again and again"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in dedup_lines(df).collect()}
+    assert got[1]["n_lines"] == 100_000 and got[1]["n_dropped"] == 100_000 - 4
+    assert got[1]["clean_text"].split("\n") == [lines[0], lines[1], lines[40_001], lines[80_001]]
+    assert (got[2]["n_dropped"], got[2]["clean_text"], got[3]["clean_text"]) == (1, "\n", "")
+
+
+def test_pii_many_matches_in_a_text(spark):
+    """Places of matches over many blocks, block ends included, in linear time."""
+    for n in (0, 1, 255, 256, 257, 512, 30_000):
+        text = " ".join(f"é u{i}@ex{i % 7}.org," for i in range(n))
+        want = [(m.start(), m.end(), m.group()) for m in re.finditer(r"u[0-9]+@ex[0-9]\.org", text)]
+        got = spark.createDataFrame([(text,)], "t string").select(base_spans(F.col("t"))["email"]).first()[0]
+        assert [tuple(x) for x in got] == want
