@@ -11,6 +11,7 @@ from .shared import materialise, small, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+BLOCK = 256  # matches of a text that are placed together
 
 # A run of name characters is tried from its start only, or from the end of the match before: the same matches, in linear time.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,17 +35,29 @@ def located(text: Column, pattern: str, source: Column | None = None, keep: Call
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
     pairs = F.zip_with(pieces, values, lambda p, v: F.struct(F.char_length(p).alias("gap"), F.char_length(v).alias("len"), v.alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + x["len"]
         value = x["value"] if source is None else F.substring(source, begin + 1, x["len"])
         put = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value"))))
-        # what isn't kept adds nothing to the array, so that finding a few words among many takes linear time
         return F.struct(end.alias("at"), (put if keep is None else F.when(keep(x["value"]), put).otherwise(acc["out"])).alias("out"))
 
-    return F.when(F.size(values) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    def part(block: Column) -> Column:
+        return F.aggregate(block["items"], F.struct(block["at"].alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def place(acc: Column, items: Column) -> Column:
+        after = F.aggregate(items, acc["at"], lambda n, x: n + x["gap"] + x["len"])
+        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), items.alias("items")))).alias("out"))
+
+    def whole(found: Column) -> Column:
+        # an array grows by copying, so matches are placed in blocks: first where each block begins, then inside it
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda i: F.slice(found, i * BLOCK + 1, F.lit(BLOCK)))
+        begun = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.struct(F.lit(0).alias("at"), found.alias("items"))), 1, 0).alias("out"))
+        return F.flatten(F.transform(F.aggregate(blocks, begun, place, lambda acc: acc["out"]), part))
+
+    # the array of pairs is bound to a name, so that no block works it out again
+    return F.when(F.size(values) > 0, F.get(F.transform(F.array(pairs), whole), F.lit(0))).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
