@@ -5,19 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import windows
+from .signals import series_positions
 
 
 def series(df: DataFrame, key: str, order: list[str], value: str, name: str = "values") -> DataFrame:
-    """key and its values as an array in order. For series that fit a row; longer ones keep to row windows."""
+    """key and its values as an array in order. For results that are a whole series in a row; all else keeps to rows."""
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return df.groupBy(key).agg(F.transform(items, lambda s: s["_v"]).alias(name))
 
 
+def _placed(df: DataFrame, key: str, order: list[str], value: Column, *more: Column) -> DataFrame:
+    """_key, pos, value and more: the rows of each series with their places, by range partitions.
+
+    The key is wrapped in a struct, whose equality holds for null keys too, so that these are a series like any other.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(F.struct(F.col(key).alias("k")).alias("_key"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], value.alias("value"), *more)
+    return series_positions(rows, ["_key"], names).drop(*names)
+
+
+def _sizes(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(F.struct(F.col(key).alias("k")).alias("_key")).agg(F.count("*").alias("_n"))
+
+
 def series_windows(df: DataFrame, key: str, order: list[str], value: str, size: int, overlap: int) -> DataFrame:
-    """key, window (number), values."""
-    w = series(df, key, order, value).select(key, F.posexplode(windows(F.col("values"), size, overlap)).alias("window", "values"))
-    return w
+    """key, window (number), values: whole windows of `size` values, each sharing `overlap` with the one before.
+
+    A row is sent to the windows it takes part in, so the largest group is one window, however long a series or however many
+    rows a key has. A tail too short for a window gives none; null values keep their place.
+    """
+    step = size - (size - 1 if overlap >= size else overlap)
+    first = F.greatest(F.ceil((F.col("pos") - size + 1) / step), F.lit(0))
+    each = _placed(df, key, order, F.col(value)).select("_key", "pos", "value", F.explode(F.sequence(first, F.floor(F.col("pos") / step))).alias("window"))
+    full = each.groupBy("_key", "window").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_w")).filter(F.size("_w") == size)
+    return full.select(F.col("_key.k").alias(key), F.col("window").cast("int").alias("window"), F.transform("_w", lambda s: s["value"]).alias("values"))
+
+
+def shift_rows(df: DataFrame, key: str, order: list[str], value: str, by: int, fill: Column | None = None, wrap: bool = False) -> DataFrame:
+    """df's rows and `shifted`: the value `by` places later in the series of the same key (earlier, if by is negative).
+
+    Each row goes to two places, its own and the one its value moves to, and places meet in one shuffle on key and place, so
+    that a key with a third of all rows is spread as any other. Beyond the ends stands `fill` (null by default), or with
+    `wrap` the value from the other end. A null value moves as null.
+    """
+    rows, to = _placed(df, key, order, F.col(value), F.struct("*").alias("row")), F.col("pos") - by
+    if wrap:
+        rows, to = rows.join(_sizes(df, key), "_key"), F.pmod(to, F.col("_n"))
+    own = F.struct(F.col("pos").alias("at"), F.col("row").alias("row"), F.lit(None).cast(rows.schema["value"].dataType).alias("x"), F.lit(0).alias("moved"))
+    moved = F.struct(to.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("value").alias("x"), F.lit(1).alias("moved"))
+    each = rows.select("_key", F.explode(F.array(own, moved)).alias("e")).select("_key", "e.*")
+    met = each.groupBy("_key", "at").agg(F.first("row", ignorenulls=True).alias("row"), F.first("x", ignorenulls=True).alias("x"), F.max("moved").alias("moved"))
+    x = F.col("x") if fill is None else F.when(F.col("moved") == 1, F.col("x")).otherwise(fill)
+    return met.filter("row is not null").select("row.*", x.alias("shifted"))
+
+
+def sequence_targets(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """key, pos, copied, reversed, sorted: the targets of the copy, reversal and sorting tasks of each series, a row for a place. Nulls sort first."""
+    placed = _placed(df, key, order, F.col(value)).select("_key", "pos", "value", F.lit("copied").alias("task"))
+    back = placed.join(_sizes(df, key), "_key").select("_key", (F.col("_n") - 1 - F.col("pos")).alias("pos"), "value", F.lit("reversed").alias("task"))
+    rising = _placed(df, key, [value], F.col(value)).select("_key", "pos", "value", F.lit("sorted").alias("task"))
+    each = placed.unionByName(back).unionByName(rising)
+    met = each.groupBy("_key", "pos").agg(*[F.first(F.when(F.col("task") == t, F.col("value")), ignorenulls=True).alias(t) for t in ("copied", "reversed", "sorted")])
+    return met.select(F.col("_key.k").alias(key), "pos", "copied", "reversed", "sorted")
+
+
+def row_accuracy(rows: DataFrame, keys: list[str], predicted: str, target: str, mask: str | None = None) -> DataFrame:
+    """keys, accuracy, exact: the share of equal tokens among the rows the mask (0/1) counts, and whether all of them are equal.
+
+    Sequences stay rows, and each task sums its own. Null equals nothing; a sequence of which nothing counts has accuracy 0 and is exact.
+    """
+    counts = F.lit(1) if mask is None else F.col(mask)
+    hit = F.coalesce((F.col(predicted) == F.col(target)).cast("int"), F.lit(0)) * counts
+    return rows.groupBy(*keys).agg((F.sum(hit) / F.greatest(F.sum(counts), F.lit(1))).alias("accuracy"), (F.sum(hit) == F.sum(counts)).alias("exact"))
 
 
 def row_windows(df: DataFrame, key: str, order: list[str], value: str, size: int, overlap: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from ..functions import vectors as V
 from ..functions.text import sentences
 from ..operators import boosting as B
 from ..operators import labels as L
+from ..operators import signals
 from ..sources import datasets
+from ..sources.audio import band_edges
 from .registry import query, rounded, table
 from .sequences import SENT
 from .vectors import MEANS, SOFT, _pairs, _whole
@@ -131,12 +134,23 @@ def band_pooling(spark, sf_dir):
     return b.select("vec_id", F.col("band").cast("long").alias("band"), rounded(F.col("level")).alias("level"))
 
 
-@query()
-def window_spectra(spark, sf_dir):
-    """Spectra of each user's series of values, pooled into bands."""
-    from ..operators.windows import series
-    from ..sources import audio
+EDGES = band_edges(9, 3)
+BLACKMAN = np.blackman(16).tolist()
 
-    e = series(table(spark, sf_dir, "events").filter("value is not null"), "user_id", ["ts", "event_id"], "value")
-    s = audio.spectra(e, "user_id", "values", 16, 8)
-    return audio.pool_bands(s, "spectrum", audio.band_edges(9, 3)).select("user_id", "window", "bands")
+
+@query(f"""with s as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, value::double as value from events where value is not null),
+n as (select user_id, unnest(range(0, (max(pos) - 15) // 8 + 1)) as win from s group by 1 having max(pos) >= 15),
+w as (select user_id, win, pos - win * 8 as i, value * ({BLACKMAN!r}::double[])[pos - win * 8 + 1] as x from s join n using (user_id) where pos between win * 8 and win * 8 + 15),
+c as (select user_id, win, freq, sum(x * cos(2 * pi() * freq * i / 16)) as re, sum(x * sin(2 * pi() * freq * i / 16)) as im from w, (select unnest(range(0, 9)) as freq) group by all),
+p as (select user_id, win, freq, (case when freq between 1 and 7 then 2 else 1 end) * (re * re + im * im) / {sum(x * x for x in BLACKMAN)!r}::double as power from c)
+select user_id, cast(win as int) as "window", cast(band as int) as band, round(avg(power), 4) + 0.0 as level from p, (select unnest(range(0, 3)) as band) where freq >= ({EDGES!r})[band + 1] and freq < ({EDGES!r})[band + 2] group by all""")
+def window_spectra(spark, sf_dir):
+    """Spectra of each user's series of values, pooled into bands; series and spectra stay rows."""
+    e = table(spark, sf_dir, "events").filter("value is not null").select("user_id", "ts", "event_id", "value")
+    rows = signals.series_positions(e, ["user_id"], ["ts", "event_id"])
+    found = signals.spectra(rows, ["user_id"], BLACKMAN, 8)
+    at = F.col("freq")
+    band = sum([(at >= x).cast("int") for x in EDGES[1:]], F.lit(0))
+    inside = found.filter((at >= EDGES[0]) & (at < EDGES[-1])).select("user_id", "win", band.alias("band"), signals.power(F.col("c"), at, BLACKMAN).alias("power"))
+    levels = inside.groupBy("user_id", "win", "band").agg(F.avg("power").alias("level"))
+    return levels.select("user_id", F.col("win").cast("int").alias("window"), "band", rounded(F.col("level"), 4).alias("level"))

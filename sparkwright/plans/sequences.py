@@ -30,16 +30,14 @@ def rolling_windows_rows(spark, sf_dir):
 
 @query("select event_id, round(lead(value, 2, 0) over (partition by user_id order by ts, event_id), 6) + 0.0 as shifted from events")
 def shift_left(spark, sf_dir):
-    e = W.series(table(spark, sf_dir, "events").withColumn("pair", F.struct("value", "event_id")), "user_id", ["ts", "event_id"], "pair")
-    moved = e.select(F.explode(F.arrays_zip(F.col("values.event_id").alias("event_id"), S.shift_left(F.col("values.value"), 2).alias("shifted"))).alias("z"))
-    return moved.select("z.event_id", rounded(F.col("z.shifted")).alias("shifted"))
+    moved = W.shift_rows(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 2, F.lit(0.0))
+    return moved.select("event_id", rounded(F.col("shifted")).alias("shifted"))
 
 
 @query("select event_id, round(lag(value, 1, 0) over (partition by user_id order by ts, event_id), 6) + 0.0 as shifted from events")
 def shift_right(spark, sf_dir):
-    e = W.series(table(spark, sf_dir, "events").withColumn("pair", F.struct("value", "event_id")), "user_id", ["ts", "event_id"], "pair")
-    moved = e.select(F.explode(F.arrays_zip(F.col("values.event_id").alias("event_id"), S.shift_right(F.col("values.value"), 1).alias("shifted"))).alias("z"))
-    return moved.select("z.event_id", rounded(F.col("z.shifted")).alias("shifted"))
+    moved = W.shift_rows(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", -1, F.lit(0.0))
+    return moved.select("event_id", rounded(F.col("shifted")).alias("shifted"))
 
 
 TAPER = [0.5, 1.0, 1.0, 1.0, 0.5]
@@ -149,6 +147,15 @@ def sequence_copy_reverse_sort(spark, sf_dir):
     return e.select("user_id", text(F.reverse("values")).alias("reversed_"), text(F.array_sort("values")).alias("sorted_"))
 
 
+@query("""with s as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos,
+row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as back, row_number() over (partition by user_id order by value) - 1 as rising from events)
+select a.user_id, a.pos, round(a.value, 6) + 0.0 as copied, round(b.value, 6) + 0.0 as reversed, round(c.value, 6) + 0.0 as sorted from s a join s b on a.user_id = b.user_id and a.pos = b.back join s c on a.user_id = c.user_id and a.pos = c.rising""")
+def sequence_targets(spark, sf_dir):
+    """Copy, reversal and sorting as rows, for series too long for an array."""
+    t = W.sequence_targets(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return t.select("user_id", "pos", *[rounded(F.col(c)).alias(c) for c in ("copied", "reversed", "sorted")])
+
+
 def _distorted(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.hash_ids(tokens(F.col("text")), 30000).alias("ids"))
 
@@ -186,10 +193,8 @@ def text_infilling(spark, sf_dir):
 @query(SERIES + """, t as (select user_id, a as p, list_concat(a[2:], a[1:1]) as q from v)
 select user_id, round(list_sum(list_transform(list_zip(p, q), lambda z: cast(z[1] = z[2] as int))) / len(p)::double, 6) + 0.0 as accuracy, list_bool_and(list_transform(list_zip(p, q), lambda z: z[1] = z[2])) as exact from t""")
 def token_accuracy(spark, sf_dir):
-    e = W.series(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
-    p, q = F.col("values"), F.concat(F.slice("values", F.lit(2), F.size("values")), F.slice("values", 1, 1))
-    mask = F.array_repeat(F.lit(1), F.size("values"))
-    return e.select("user_id", rounded(S.token_accuracy(p, q, mask)).alias("accuracy"), S.exact_match(p, q, mask).alias("exact"))
+    e = W.shift_rows(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 1, wrap=True)
+    return W.row_accuracy(e, ["user_id"], "value", "shifted").select("user_id", rounded(F.col("accuracy")).alias("accuracy"), "exact")
 
 
 @query("""with o as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as ix, count(*) over () as n from orders)
