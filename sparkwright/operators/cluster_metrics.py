@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .nearest import block_pairs, distances, label_means
+from .nearest import PROTOTYPES, block_pairs, distances, label_means
 
 
 def silhouette_values(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -42,6 +42,46 @@ def silhouette_score(df: DataFrame, key: str, vector: str, label: str) -> DataFr
     return silhouette_values(df, key, vector, label).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
 
 
+def silhouette_by_centres(df: DataFrame, key: str, vector: str, label: str, squared: bool = True) -> DataFrame:
+    """key, label, silhouette in one pass over the rows: no pair of rows meets, the work is rows times clusters.
+
+    squared: the exact silhouette over squared distances. Their sum from a row to a cluster of n rows is n times the squared
+    distance to its centre plus the cluster's own scatter, so that centres and scatters say all.
+    Otherwise the simplified one over plain distances, a and b being those to the own and to the nearest other centre: by the triangle
+    inequality each is off from the mean distance to the rows by at most the mean distance of that cluster's rows to its centre.
+    A cluster of one has 0, and so have all rows where there is one cluster. Null labels and vectors don't count.
+    """
+    rows = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    joined, _ = _with_centres(rows, vector, label)
+    table = joined.groupBy(label).agg(F.first("size").alias("size"), F.first("centre").alias("centre"), F.sum(V.squared_euclid(F.col("_x"), F.col("centre"))).alias("scatter"))
+    found = table.limit(PROTOTYPES + 1).collect()  # a row for a cluster
+    if len(found) > PROTOTYPES:
+        raise ValueError("too many clusters for a table of centres")
+    names = {r[label]: i for i, r in enumerate(found)}
+    centres = np.array([r["centre"] for r in found])
+    size, inside = np.array([r["size"] for r in found], float), np.array([r["scatter"] for r in found], float)
+
+    def score(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = distances(np.stack(pdf["x"].to_numpy()).astype(float), centres)
+            if squared:
+                d = d * d + inside / size
+            at, i = pdf["label"].map(names).to_numpy(), np.arange(len(d))
+            a = d[i, at] * (size[at] / np.maximum(size[at] - 1, 1) if squared else 1.0)
+            d[i, at] = np.inf
+            b = d.min(axis=1)
+            top = np.maximum(a, b)
+            alone = (size[at] < 2) | ~np.isfinite(b) | (top == 0)
+            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "silhouette": np.where(alone, 0.0, (np.where(alone, 0.0, b) - a) / np.where(alone, 1.0, top))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    plain = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    out = plain.mapInPandas(score, f"key {kinds[key]}, label {kinds[label]}, silhouette double")
+    return out.select(F.col("key").alias(key), F.col("label").alias(label), "silhouette")
+
+
 def _with_centres(df: DataFrame, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Centres are one row for a cluster: a model-sized table, which Spark may broadcast by its own statistics."""
     centres = label_means(df, vector, label)
@@ -184,10 +224,11 @@ def rank_scores(df: DataFrame, key: str, data: str, embedding: str, k: int) -> D
         if len(a) and len(b):
             both_spaces, names = spaces(a, b), b["key"].to_numpy()
             for i, (name, space, other, far) in enumerate(zip(a["key"], a["space"], a["other_"], a["far"], strict=True)):
-                for s, o, f in zip(space, other, far, strict=True):
-                    d = both_spaces[1 - s][i]
-                    for c, v in zip(out, (name, s, o, int(((d < f) | (d == f) & (names < o)).sum())), strict=True):
-                        out[c].append(v)
+                space, other, far = np.asarray(space), np.asarray(other), np.asarray(far, float)
+                d = np.stack([both_spaces[1][i], both_spaces[0][i]])[space]  # each question is about the other space
+                n = ((d < far[:, None]) | (d == far[:, None]) & (names < other[:, None])).sum(axis=1)
+                for c, v in zip(out, ([name] * len(n), space, other, n), strict=True):
+                    out[c].extend(v)
         return pd.DataFrame(out)
 
     asked = asked.withColumnRenamed("other", "other_")

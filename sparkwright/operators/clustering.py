@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster_metrics import scatter, silhouette_score
+from .cluster_metrics import scatter, silhouette_by_centres, silhouette_score
 from .nearest import distances, nearest
 
 
@@ -49,12 +49,24 @@ class Growth:
         return nearest(df, vector, list(enumerate(self.centres[k or self.best].tolist())))
 
 
-def grow_centroids(df: DataFrame, key: str, vector: str, most: int = 8, iterations: int = 20, tolerance: float = 1e-3, score: bool = True) -> Growth:
+def grow_centroids(df: DataFrame, key: str, vector: str, most: int = 8, iterations: int = 20, tolerance: float = 1e-3, score: str = "pairs") -> Growth:
     """From two centres to `most`: settle by Lloyd steps, score, then split the cluster with the largest error.
 
     A split moves its two halves apart along the cluster's first principal axis by the deviation there. Each Lloyd step is
-    one scan with map-side sums. Silhouettes are all-pairs work; set score=False for tables where that is too much.
+    one scan with map-side sums over vectors that are stored once. score: "pairs" for silhouettes over all pairs of rows, which is
+    quadratic work; "squared" for exact ones over squared distances and "centres" for simplified ones, both in one pass; "error" for
+    the squared error alone.
     """
+    if score not in ("pairs", "squared", "centres", "error"):
+        raise ValueError(f"unknown score {score}")
+    df = df.select(key, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).persist()
+    try:
+        return _grow(df, key, vector, most, iterations, tolerance, score)
+    finally:
+        df.unpersist()
+
+
+def _grow(df: DataFrame, key: str, vector: str, most: int, iterations: int, tolerance: float, score: str) -> Growth:
     n, mean, total = scatter(df, vector)
     values, axes = np.linalg.eigh(total / max(n, 1))
     step = np.sqrt(max(values[-1], 0.0)) * axes[:, -1]
@@ -70,7 +82,12 @@ def grow_centroids(df: DataFrame, key: str, vector: str, most: int = 8, iteratio
         k = len(centres)
         out.centres[k] = centres.copy()
         labelled = nearest(df.select(key, vector), vector, list(enumerate(centres.tolist())))
-        out.silhouettes[k] = silhouette_score(labelled, key, vector, "nearest").first()[0] if score else -float(error.sum())
+        if score == "pairs":
+            out.silhouettes[k] = silhouette_score(labelled, key, vector, "nearest").first()[0]
+        elif score == "error":
+            out.silhouettes[k] = -float(error.sum())
+        else:
+            out.silhouettes[k] = silhouette_by_centres(labelled, key, vector, "nearest", score == "squared").agg(F.avg("silhouette")).first()[0]
         if k >= most:
             return out
         worst = int(error.argmax())
@@ -110,8 +127,17 @@ def fit_latent_map(df: DataFrame, vector: str, rows: int = 6, cols: int = 6, ite
     """Batch map: soft assignment of each row to lattice units by its distance to the weights and of its latent place to the unit.
 
     The start is the plane of the first two principal axes, signs fixed by the largest entry, so the fit is deterministic. The
-    latent place of a row is found inside the scan from the same weights, so nothing about rows is kept between iterations.
+    latent place of a row is found inside the scan from the same weights, so nothing about rows is kept between iterations but
+    the vectors, which are stored once.
     """
+    df = df.select(F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).persist()
+    try:
+        return _fit_map(df, vector, rows, cols, iterations, gamma, tolerance)
+    finally:
+        df.unpersist()
+
+
+def _fit_map(df: DataFrame, vector: str, rows: int, cols: int, iterations: int, gamma: float, tolerance: float) -> LatentMap:
     n, mean, total = scatter(df, vector)
     values, axes = np.linalg.eigh(total / max(n, 1))
     two = axes[:, [-1, -2]] * np.sign(axes[np.abs(axes[:, [-1, -2]]).argmax(axis=0), [-1, -2]])

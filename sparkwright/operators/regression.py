@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ class LinearModel:
         return z * self.target[1] + self.target[0] if self.task == "regression" else 1 / (1 + F.exp(-z))
 
 
-def _gradient(df: DataFrame, weights: np.ndarray, mean: np.ndarray, std: np.ndarray, task: str, target: tuple[float, float]) -> tuple[float, np.ndarray]:
+def _logistic_cost(df: DataFrame, weights: np.ndarray, mean: np.ndarray, std: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss and gradient: each task adds up its rows."""
 
     def partial(batches):
@@ -38,13 +39,8 @@ def _gradient(df: DataFrame, weights: np.ndarray, mean: np.ndarray, std: np.ndar
             if len(pdf):
                 x = np.c_[np.ones(len(pdf)), (np.stack(pdf["v"].to_numpy()) - mean) / std]
                 y, z = pdf["y"].to_numpy(), x @ weights
-                if task == "regression":
-                    e = z - (y - target[0]) / target[1]
-                    loss += float((e * e).sum()) / 2
-                else:
-                    e = 1 / (1 + np.exp(-z)) - y
-                    loss += float((np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))).sum())
-                g += x.T @ e
+                g += x.T @ (1 / (1 + np.exp(-z)) - y)
+                loss += float((np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))).sum())
                 n += len(pdf)
         yield pd.DataFrame({"i": np.arange(len(weights) + 2), "x": np.r_[g, loss, n]})
 
@@ -58,18 +54,37 @@ def fit_linear(df: DataFrame, vector: str, target: str, task: str = "regression"
     """Scaled conjugate gradients (Moller): the step length from a finite difference of gradients, adapted by how well it foretold the loss.
 
     Elastic net: penalty (alpha |w| + (1 - alpha) w^2), the intercept included. Features (and a regression's target) are standardised.
+    A regression reads its rows once: loss and gradient at any weights follow from the sums of products of features and target. A
+    logistic fit stores its rows once and reads the stored ones in each step.
     """
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y")).filter("v is not null and y is not null")
-    n, mean, s = scatter(rows, "v")
-    std = np.sqrt(np.diag(s) / max(n, 1)) + 1e-15
-    scale = tuple(rows.agg(F.avg("y"), F.stddev_pop("y")).first()) if task == "regression" else (0.0, 1.0)
-    scale = (scale[0], scale[1] or 1.0)
-
+    if task == "regression":
+        n, centre, s = scatter(rows.select(F.concat("v", F.array("y")).alias("v")), "v")
+        mean, std = centre[:-1], np.sqrt(np.diag(s)[:-1] / max(n, 1)) + 1e-15
+        scale = (float(centre[-1]), float(np.sqrt(s[-1, -1] / max(n, 1))) or 1.0)
+        inner = s[:-1, :-1] / max(n, 1) / np.outer(std, std)
+        cross, own = s[:-1, -1] / max(n, 1) / std / scale[1], s[-1, -1] / max(n, 1) / scale[1] ** 2
+
+        def loss_at(w: np.ndarray) -> tuple[float, np.ndarray]:
+            g = inner @ w[1:] - cross
+            return (w[0] ** 2 + w[1:] @ (g - cross) + own) / 2, np.r_[w[0], g]
+
+        return LinearModel(task, _descend(loss_at, len(mean) + 1, penalty, alpha, steps, tolerance), mean, std, scale)
+    rows = rows.persist()
+    try:
+        n, mean, s = scatter(rows, "v")
+        std = np.sqrt(np.diag(s) / max(n, 1)) + 1e-15
+        return LinearModel(task, _descend(lambda w: _logistic_cost(rows, w, mean, std), len(mean) + 1, penalty, alpha, steps, tolerance), mean, std)
+    finally:
+        rows.unpersist()
+
+
+def _descend(loss_at: Callable[[np.ndarray], tuple[float, np.ndarray]], width: int, penalty: float, alpha: float, steps: int, tolerance: float) -> np.ndarray:
     def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, g = _gradient(rows, w, mean, std, task, scale)
+        loss, g = loss_at(w)
         return loss + penalty * (alpha * np.abs(w).sum() + (1 - alpha) * (w * w).sum()), g + penalty * (alpha * np.sign(w) + 2 * (1 - alpha) * w)
 
-    w = np.zeros(len(mean) + 1)
+    w = np.zeros(width)
     loss, g = cost(w)
     r = -g
     p, lam, extra, success, delta = r.copy(), 1e-6, 0.0, True, 0.0
@@ -105,7 +120,7 @@ def fit_linear(df: DataFrame, vector: str, target: str, task: str = "regression"
             lam += delta * (1 - gain) / size
         if r @ r < tolerance**2:
             break
-    return LinearModel(task, w, mean, std, scale)
+    return w
 
 
 def relative_weights(df: DataFrame, features: list[str], target: str) -> dict[str, float]:

@@ -31,6 +31,21 @@ def silhouette_rows(spark, sf_dir):
     return out.select("vec_id", rounded(F.col("silhouette"), 5).alias("silhouette"))
 
 
+@query(PAIRS.replace("sum(list_distance(a.x, b.x))", "sum(list_distance(a.x, b.x) ** 2)") + "select vec_id, round(silhouette, 5) + 0.0 as silhouette from v")
+def silhouette_squared(spark, sf_dir):
+    """Exact over squared distances, in one pass."""
+    out = M.silhouette_by_centres(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return out.select("vec_id", rounded(F.col("silhouette"), 5).alias("silhouette"))
+
+
+@query(MEANS + """, d as (select v.vec_id, v.label, c.label as other, c.size, list_distance(cast(embedding as double[]), centre) as d from embeddings v, c where v.label is not null and c.label is not null),
+s as (select vec_id, max(case when other = label and size > 1 then d end) as a, min(case when other <> label then d end) as b from d group by 1)
+select vec_id, round(case when a is null or b is null then 0 else (b - a) / greatest(a, b) end, 5) + 0.0 as silhouette from s""")
+def silhouette_simplified(spark, sf_dir):
+    out = M.silhouette_by_centres(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", squared=False)
+    return out.select("vec_id", rounded(F.col("silhouette"), 5).alias("silhouette"))
+
+
 @query(MEANS + """, s as (select p.vec_id, label, list_distance(x, y) as d from p), k as (select s.label, avg(d) as s, any_value(centre) as centre from s join c using (label) group by 1)
 select round(avg(r), 6) + 0.0 as davies_bouldin from (select a.label, max((a.s + b.s) / list_distance(a.centre, b.centre)) as r from k a, k b where a.label <> b.label group by 1)""")
 def davies_bouldin(spark, sf_dir):

@@ -89,7 +89,7 @@ def spline_predict(spark, sf_dir):
 @query()
 def centroid_fit(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    g = clustering.grow_centroids(e, "vec_id", "embedding", most=4, iterations=6)
+    g = clustering.grow_centroids(e, "vec_id", "embedding", most=4, iterations=6, score="squared")
     return g.predict(e.select("vec_id", "embedding"), "embedding").select("vec_id", "nearest", "distance")
 
 
