@@ -123,6 +123,18 @@ def _descend(loss_at: Callable[[np.ndarray], tuple[float, np.ndarray]], width: i
     return w
 
 
+def elasticnet_loss(df: DataFrame, vector: str, target: str, weights: list[float], penalty: float, alpha: float) -> DataFrame:
+    """One row, loss: half the mean squared error of standardised features and target at the weights (the intercept's first), and the
+    penalty on all of them, alpha of it by magnitude and the rest by square. What fit_linear() descends; rows with a null don't count."""
+    rows = df.select(F.concat(F.col(vector).cast("array<double>"), F.array(F.col(target).cast("double"))).alias("v")).filter(F.forall("v", lambda x: x.isNotNull()))
+    n, mean, s = scatter(rows, "v")
+    std = np.sqrt(np.diag(s) / max(n, 1)) + 1e-15
+    model = LinearModel("binary", np.array(weights, float), mean[:-1], std[:-1])
+    e = model.linear(F.slice("v", 1, len(weights) - 1)) - (F.element_at("v", -1) - F.lit(float(mean[-1]))) / F.lit(float(std[-1]))
+    held = penalty * sum(alpha * abs(w) + (1 - alpha) * w * w for w in weights)
+    return rows.agg((F.avg(e * e) / 2 + F.lit(held)).alias("loss"))
+
+
 def relative_weights(df: DataFrame, features: list[str], target: str) -> dict[str, float]:
     """Johnson's weights: each predictor's share of R^2, from the correlation matrix alone, which one scan gives."""
     rows = df.select(F.array(*[F.col(c).cast("double") for c in (*features, target)]).alias("v")).filter(F.forall("v", lambda x: x.isNotNull()))

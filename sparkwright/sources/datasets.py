@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESERVED = ("id", "sample_id", "text")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The folder that every executor reaches: spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="sparkwright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header required; names trimmed and lower-cased, unnamed surplus cells dropped, a byte-order mark removed. Malformed rows fail."""
     df = spark.read.option("header", True).option("multiLine", True).option("mode", "FAILFAST").option("encoding", "UTF-8").csv(path)
@@ -33,7 +44,7 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
 def as_samples(df: DataFrame) -> DataFrame:
     """id, text, extra: needs a text column; id from id or sample_id, else from the content; blank texts dropped; other non-empty columns in a map.
 
-    Rows without an id are named by a hash of their text, which doesn't depend on how the file is split.
+    Rows without an id are named by their place in the file's parts, so that repeated texts stay apart; the names hold as long as the parts do.
     """
     if "text" not in df.columns:
         raise ValueError("the dataset has no text column")
