@@ -13,6 +13,7 @@ from ..operators import labels as L
 from ..operators import signals
 from ..sources import datasets
 from ..sources.audio import band_edges
+from .models import ebm_sql
 from .registry import query, rounded, table
 from .sequences import SENT
 from .vectors import MEANS, SOFT, _pairs, _whole
@@ -101,11 +102,13 @@ def conversation_confidence(spark, sf_dir):
 PAIR = ["l_quantity", "l_discount", "l_tax"]
 
 
-@query()
+@query(ebm_sql(PAIR, 4, 2, 0.5, """, z as (select fa, fb, case fa when 'l_quantity' then len(e0) else len(e1) end as na, case fb when 'l_discount' then len(e1) else len(e2) end as nb from best, e),
+g as (select fa, fb, nb, unnest(range(0, na + 1)) as i from z), h as (select fa, fb, i, unnest(range(0, nb + 1)) as j from g), c as (select i, j, any_value(d) as d from u group by all)
+select fa as first, fb as second, cast(h.i as int) as i, cast(h.j as int) as j, round(coalesce(d, 0), 4) + 0.0 as contribution from h left join c on c.i = h.i and c.j = h.j"""))
 def ebm_interactions(spark, sf_dir):
     """The pair of features that explains most of what single features leave."""
     m = B.fit_shapes(table(spark, sf_dir, "lineitem"), PAIR, "l_extendedprice", bins=4, rounds=2, rate=0.5, pairs=1)
-    return spark.createDataFrame([(a, b, int(i), int(j), float(t[i, j])) for (a, b), t in m.pairs.items() for i in range(t.shape[0]) for j in range(t.shape[1])], "first string, second string, i int, j int, contribution double")
+    return spark.createDataFrame([(a, b, int(i), int(j), float(t[i, j])) for (a, b), t in m.pairs.items() for i in range(t.shape[0]) for j in range(t.shape[1])], "first string, second string, i int, j int, contribution double").withColumn("contribution", rounded(F.col("contribution"), 4))
 
 
 @query("""with s as (select count(distinct quality) as q, min(quality) as lo, max(quality) as hi, count_if(quality + toxic > 1) as many, count_if(quality + toxic = 0) as none from labels where quality is not null and toxic is not null)

@@ -28,7 +28,25 @@ def ebm_round1(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.shapes["l_quantity"])], "bin int, contribution double").select("bin", rounded(F.col("contribution"), 4).alias("contribution"))
 
 
-@query()
+def ebm_sql(features: list[str], bins: int, rounds: int, rate: float, tail: str) -> str:
+    """The rounds as one window average after the other; then `best`, the pair whose cells leave most, and its step d in `u`. `tail` reads them."""
+    edges = ", ".join("list_distinct([" + ", ".join(f"quantile_cont({c}, {i / bins!r}::double)" for i in range(1, bins)) + f"]) as e{k}" for k, c in enumerate(features))
+    cells = ", ".join(f"len(list_filter(e{k}, lambda x: x <= {c})) as b{k}" for k, c in enumerate(features))
+    parts = [f"with e as (select {edges} from lineitem), t0 as (select l_orderkey, l_linenumber, l_extendedprice as y, {cells}, avg(l_extendedprice) over () as s from lineitem, e)"]
+    steps = [k for _ in range(rounds) for k in range(len(features))]
+    for n, k in enumerate(steps):
+        parts.append(f"t{n + 1} as (select * exclude (s), s + {rate!r}::double * avg(y - s) over (partition by b{k}) as s from t{n})")
+    pairs = [(a, b) for a in range(len(features)) for b in range(a + 1, len(features))]
+    last = f"t{len(steps)}"
+    ranks = " union all ".join(f"select {n} as pair, '{features[a]}' as fa, '{features[b]}' as fb, sum(r * r / k) as v from (select sum(y - s) as r, count(*) as k from {last} group by b{a}, b{b} having count(*) > 1)" for n, (a, b) in enumerate(pairs))
+    parts.append(f"best as (select * from ({ranks}) order by v desc, fa, fb limit 1)")
+    case = lambda of: "case pair " + " ".join(f"when {n} then {of(a, b)}" for n, (a, b) in enumerate(pairs)) + " end"
+    step = case(lambda a, b: f"avg(y - s) over (partition by b{a}, b{b})")
+    parts.append(f"u as (select {last}.*, fa, fb, {case(lambda a, b: f'b{a}')} as i, {case(lambda a, b: f'b{b}')} as j, {rate!r}::double * {step} as d from {last}, best)")
+    return ", ".join(parts) + " " + tail
+
+
+@query(ebm_sql(FEATURES, 8, 3, 0.3, "select l_orderkey, l_linenumber, round(s + d, 2) + 0.0 as price from u"))
 def ebm_fit(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
     m = B.fit_shapes(df, FEATURES, "l_extendedprice", bins=8, rounds=3, rate=0.3, pairs=1)
@@ -52,10 +70,17 @@ def platt_step(spark, sf_dir):
     return spark.range(1).select(*[rounded(F.lit(v), 5).alias(n) for n, v in zip(("ga", "gb", "haa", "hab", "hbb"), sums, strict=False)])
 
 
-@query()
+@query("with recursive" + SCORED.removeprefix("with") + """, n as (select sum(quality) as p, sum(1 - quality) as q from s),
+t as (select score, case when quality = 1 then (p + 1) / (p + 2)::double else 1 / (q + 2)::double end as t from s, n),
+it as (select 0 as k, 0.0::double as a, ln((p + 1) / (q + 1)::double) as b from n union all
+select k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from
+(select k, a, b, sum((p - t) * score) as ga, sum(p - t) as gb, sum(p * (1 - p) * score * score) as haa, sum(p * (1 - p) * score) as hab, sum(p * (1 - p)) as hbb
+from (select k, a, b, score, t, 1 / (1 + exp(-(a * score + b))) as p from it, t where k < 15) group by k, a, b)),
+f as (select a, b from it where k = 15), d as (select doc_id, round(log10(n_chars + 1), 2) as score from labels join documents using (doc_id))
+select doc_id, round(1 / (1 + exp(-(a * score + b))), 5) + 0.0 as p from d, f""")
 def platt_fit(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return s.select("doc_id", C.platt(F.col("score"), *C.fit_platt(s, "score", "quality")).alias("p"))
+    return s.select("doc_id", rounded(C.platt(F.col("score"), *C.fit_platt(s, "score", "quality")), 5).alias("p"))
 
 
 #: The rising fit as the maximum over starts of the minimum over ends of means.
