@@ -13,17 +13,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rasters import cut
+
 EPSILON = 1e-12
 
 
 def series_positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
-    """Add each row's place in its series, from 0. A range sort cuts even one huge series over all tasks; counts by task are added."""
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_pid", F.spark_partition_id())
-    inside = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
-    sizes = inside.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return inside.join(start, ["_pid", *keys]).withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_pid", "_rn", "_start")
+    """Add each row's place in its series, from 0. A range sort cuts even one huge series over all tasks; counts by task are added.
+
+    Sorted rows are stored with their task and their place in it, as a range sort draws its bounds anew, and may join its
+    tasks otherwise, each time it runs: counts and rows have to come from one and the same cut. A null key is a key.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    task, names = F.shiftright("_at", 33), [f"_key{i}" for i in range(len(keys))]
+    sizes = placed.groupBy(task.alias("_task"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("_task", *names, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    met = task == F.col("_task")
+    for k, n in zip(keys, names, strict=True):
+        met &= F.col(k).eqNullSafe(F.col(n))
+    # without keys, a row for each task
+    return placed.join(start if keys else F.broadcast(start), met).select(*df.columns, (F.col("_start") + F.col("_at")).alias(name))
 
 
 def position_moments(df: DataFrame, column: str) -> DataFrame:

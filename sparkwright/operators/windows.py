@@ -125,11 +125,7 @@ def schedule(steps: int, start: float, stop: float, shape: str = "linear") -> Co
 
 def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add each row's place in the order, from 0. Places come from counts of range partitions, not from one sorted task."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    inside = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    sizes = inside.groupBy("_pid").agg(F.count("*").alias("_n"))
-    start = sizes.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return inside.join(start, "_pid").withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_pid", "_rn", "_start")
+    return series_positions(df, [], order, name)
 
 
 def ordered_split(df: DataFrame, order: list[str], shares: list[float]) -> DataFrame:
