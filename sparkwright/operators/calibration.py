@@ -152,7 +152,8 @@ def predict_isotonic(df: DataFrame, score: str, knots: DataFrame, name: str = "p
     left = knots.select(F.col("x").alias("_s"), F.lit(0).alias("_tag"), F.lit(0).cast("long").alias("_salt"), F.struct("x", "p").alias("_knot"))
     right = df.select(F.col(score).cast("double").alias("_s"), F.lit(1).alias("_tag"), F.monotonically_increasing_id().alias("_salt"), F.struct("*").alias("_row"))
     order = ["_s", "_tag", "_salt"]
-    both = right.unionByName(left, allowMissingColumns=True).repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
+    # stored, as a range partitioning draws its bounds anew each time it runs: rows and the knots around have to see the same tasks
+    both = cut(right.unionByName(left, allowMissingColumns=True).repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()))
 
     own = both.filter("_tag = 0").groupBy("_pid").agg(F.min("_knot").alias("first"), F.max("_knot").alias("last"))
     tasks = df.sparkSession.range(parts).select(F.col("id").cast("int").alias("_pid")).join(own, "_pid", "left")

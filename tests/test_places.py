@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwright.operators import batches, signals, windows
+from sparkwright.operators import batches, calibration, signals, windows
 
 
 @pytest.fixture
@@ -44,3 +44,10 @@ def test_batches_keep_all_rows(many_tasks):
     assert out.count() == 1250 and out.filter("n <> 32").isEmpty()
     drawn = batches.random_draws(rows, ["i"], 5000, "s")
     assert tuple(drawn.agg(F.count("*"), F.sum(F.length("text"))).first()) == (5000, 5000 * 50)
+
+
+def test_isotonic_predictions_keep_all_rows(many_tasks):
+    rows = _rows(many_tasks).select("i", (F.col("i") / 10).alias("s"))
+    knots = many_tasks.range(0, 4001).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("p"))  # up and down
+    out = calibration.predict_isotonic(rows, "s", knots).withColumn("up", F.when(F.floor("s") % 2 == 0, F.col("s") % 1).otherwise(1 - F.col("s") % 1))
+    assert tuple(out.agg(F.count("*"), F.count_if(F.abs(F.col("p") - F.col("up")) > 1e-6)).first()) == (40_000, 0)
