@@ -63,6 +63,19 @@ def mca(df: DataFrame, columns: list[str], components: int = 2) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, v, coords[i].tolist()) for (c, v), i in at.items()], "column string, category string, coordinates array<double>")
 
 
+def _times(vector: Column, matrix: np.ndarray) -> Column:
+    """Row vectors times a small matrix, by one product for a batch of rows; null for vectors that it doesn't fit."""
+
+    @F.pandas_udf("array<double>")
+    def product(rows: pd.Series) -> pd.Series:
+        fits = [v is not None and len(v) == len(matrix) for v in rows]
+        found = iter(np.stack(rows[fits].to_numpy()).astype(float) @ matrix if any(fits) else ())
+        return pd.Series([next(found) if f else None for f in fits], dtype=object)
+
+    v = vector.cast("array<double>")
+    return F.when(~F.exists(v, F.isnull), product(v))
+
+
 @dataclass
 class RunningSVD:
     """The leading right singular vectors of all rows seen so far; older ones fade by `decay`."""
@@ -82,15 +95,12 @@ class RunningSVD:
         self.basis, self.sigma = fix_signs(vt[keep][: self.rank].T), s[keep][: self.rank]
 
     def project(self, vector: Column) -> Column:
-        """The vector's coordinates on the components."""
-        x = F.transform(vector, lambda v: v.cast("double"))
-        dot = lambda row: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in row]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        return F.array(*[dot(self.basis[:, k]) for k in range(self.basis.shape[1])])
+        """The vector's coordinates on the components; null where the vector, or an item of it, is null or it has another length."""
+        return _times(vector, self.basis)
 
     def restore(self, coordinates: Column) -> Column:
         """The vector behind coordinates; exact for rows seen if no component was cut off."""
-        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.basis])
-        return F.transform(rows, lambda row: F.aggregate(F.zip_with(row, coordinates, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
+        return _times(coordinates, self.basis.T)
 
     @property
     def explained(self) -> np.ndarray:
