@@ -1,9 +1,10 @@
-"""Work that has to stay near the input's size: products by batches."""
+"""Work that has to stay near the input's size: products by batches, state without Python."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sparkwright.operators import projection
+from sparkwright.streaming import label_state
 
 
 def test_projections_by_batches(spark):
@@ -14,3 +15,15 @@ def test_projections_by_batches(spark):
     got = {r["k"]: r["x"] for r in df.collect()}
     assert got[2] is got[3] is got[4] is None and np.allclose(got[1], [1, 2]) and np.allclose(got[5], [-3, 0.5])
     assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_state_over_batches(spark, tmp_path):
+    rows = [("a", "1", 5, "label", 1.0), ("a", "1", 2, "retract", 2.0), ("b", "1", 1, "label", float("nan")), ("a", "2", 1, "label", None), ("a", "2", 9, "retract", 0.0)]
+    schema = "sample_id string, task_id string, seq long, op string, value double"
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "log"))
+    folded = label_state.fold_stream(stream)
+    assert "Python" not in folded._jdf.queryExecution().analyzed().toString() and "InPandas" not in folded._jdf.queryExecution().analyzed().toString()
+    got = sorted(tuple(r[c] for c in ("sample_id", "task_id", "seq", "value", "revisions")) for r in label_state.current_from_stream(spark, stream).collect())
+    assert got == [("a", "1", 5, 1.0, 2), ("b", "1", 1, None, 1)]
