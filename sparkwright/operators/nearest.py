@@ -51,14 +51,20 @@ def nearest(df: DataFrame, vector: str, prototypes: list[tuple[int, list[float]]
     return df.mapInPandas(search, f"{fields}, nearest bigint, distance double")
 
 
-def block_pairs(df: DataFrame, key: str, vector: str, size: int = 1024, extra: tuple[str, ...] = (), rows: int | None = None):
+BLOCKS = 16  # blocks on each side of a comparison of all pairs, as long as no block is too small or too large
+LEAST_BLOCK, MOST_BLOCK = 1024, 32_768  # rows of a block
+TILE = 4_194_304  # distances that a task holds at a time
+
+
+def block_pairs(df: DataFrame, key: str, vector: str, size: int | None = None, extra: tuple[str, ...] = (), rows: int | None = None):
     """All blocks of rows against all blocks, as a cogrouped pair of grouped frames (left by a, right by b).
 
-    Each row is copied once for a block, n / size times, never once for a row. All-pairs measures are quadratic work by
-    nature; this keeps their memory bounded and spreads them over (n / size)^2 tasks.
+    Each row is copied once for a block: BLOCKS times on each side whatever the number of rows, up to BLOCKS * MOST_BLOCK rows,
+    and n / MOST_BLOCK times beyond. All-pairs measures are quadratic work by nature; this keeps what is shuffled
+    near the input's size and spreads the work. Who compares two blocks should go through them by tiles().
     """
     n = df.count() if rows is None else rows
-    blocks = max(1, -(-n // size))
+    blocks = max(1, -(-n // (size or min(max(-(-n // BLOCKS), LEAST_BLOCK), MOST_BLOCK))))
     placed = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), *extra, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = placed.withColumn("other", every).withColumnRenamed("own", "a").withColumnRenamed("other", "b")
@@ -67,6 +73,12 @@ def block_pairs(df: DataFrame, key: str, vector: str, size: int = 1024, extra: t
     return left.groupBy("a", "b"), right.groupBy("a", "b")
 
 
+def tiles(rows: int, columns: int):
+    """Slices of rows so that rows times columns stays within TILE."""
+    step = max(1, TILE // max(columns, 1))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances by one matrix product on centred values."""
     shift = y.mean(axis=0)

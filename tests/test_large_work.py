@@ -1,12 +1,38 @@
-"""Work that has to stay near the input's size: products by batches, state without Python."""
+"""Work that has to stay near the input's size: copies of rows in comparisons of all pairs, products by batches, state without Python."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkwright.operators import projection
+from sparkwright.operators import cluster_metrics, nearest, projection
 from sparkwright.streaming import label_state
 
 
+def test_rows_are_copied_a_fixed_number_of_times(spark):
+    df = spark.range(40_000).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    left, _ = nearest.block_pairs(df, "id", "v")
+    assert left.agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] <= nearest.BLOCKS * 40_000
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    """Tiles of a few rows give the scores that plain NumPy gives; distances and labels have ties."""
+    rng = np.random.default_rng(5)
+    x, l = rng.integers(0, 6, (90, 3)).astype(float), rng.integers(0, 3, 90)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    a = np.array([d[i, (l == l[i])].sum() / ((l == l[i]).sum() - 1) for i in range(90)])
+    b = np.array([min(d[i, l == k].mean() for k in range(3) if k != l[i]) for i in range(90)])
+    monkeypatch.setattr(nearest, "TILE", 200)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(l[i])) for i in range(90)], "k long, v array<double>, l int")
+    got = {r["k"]: r["silhouette"] for r in cluster_metrics.silhouette_values(df, "k", "v", "l").collect()}
+    assert np.allclose([got[i] for i in range(90)], (b - a) / np.maximum(a, b))
+
+    e = np.sqrt(((x[:, None, :2] - x[:, :2]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf), np.fill_diagonal(e, np.inf)
+    rank = [np.argsort(np.argsort(m.round(9), axis=1, kind="stable"), axis=1) + 1 for m in (d, e)]
+    behind = [np.maximum(rank[1 - s][rank[s] <= 4] - 4, 0).sum() * 2 / (90 * 4 * (180 - 12 - 1)) for s in (0, 1)]
+    row = cluster_metrics.rank_scores(df.withColumn("two", F.slice("v", 1, 2)), "k", "v", "two", 4).first()
+    assert np.allclose((row[0], row[1]), (1 - behind[1], 1 - behind[0]))
+
+
 def test_projections_by_batches(spark):
     m = projection.RunningSVD(rank=2)
     m.merge(np.random.default_rng(1).normal(size=(5, 2)))
