@@ -203,8 +203,8 @@ def main_text(page: str) -> str:
     """The article of a page: its lines between surge and dive points of the line-block distribution, joined by a space.
 
     Furniture has length zero. Where the page marks its article, so has every line outside it; furniture inside leaves no line,
-    so that it makes no dive, and all lines of the article count. On other pages mostly-link lines have length zero too;
-    a heading just before a surge belongs to it, short lines at the ends that are no prose (menus, credits) don't, and what lies
+    so that it makes no dive, and a heading just before a surge or a line in the same element belongs to it. On other pages
+    mostly-link lines have length zero too; a heading just before a surge belongs to it, short lines at the ends that are no prose (menus, credits) don't, and what lies
     in the same element as the lines before and after, or before the end, of a stretch is part of the article, links included.
     """
     rows: list[Line] = []
@@ -215,7 +215,13 @@ def main_text(page: str) -> str:
             rows.append(x)
     if marked:
         lengths = np.array([len(x.text) if x.article else 0 for x in rows], np.int64)
-        return " ".join(rows[i].text for begin, stop in stretches(lengths, surge=1) for i in range(begin, stop) if lengths[i])
+        inside: list[int] = []
+        for begin, stop in stretches(lengths):
+            least = inside[-1] + 1 if inside else 0
+            while begin > least and lengths[begin - 1] and (rows[begin - 1].heading or rows[begin - 1].holder == rows[begin].holder):
+                begin -= 1
+            inside += range(begin, stop)
+        return " ".join(rows[i].text for i in inside if lengths[i])
     lengths = np.array([0 if x.furniture or x.link or _LEGAL.match(x.text) else len(x.text) for x in rows], np.int64)
     kept: list[int] = []
     for begin, stop in stretches(lengths):

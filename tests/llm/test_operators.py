@@ -391,6 +391,13 @@ def test_html_names_that_only_mention_furniture(wrap):
         assert main_text(f"<div {wrap}><h1>Head</h1><p>{LONG}</p></div>") == f"Head {LONG.strip()}"
 
 
+def test_html_surge_decides_in_articles_too():
+    """Scraps in elements of their own before the surge stay out; a lead in the same element as the surge stays in."""
+    scraps = "<div>4 min</div><div>A-Z</div><div>Tip</div>"
+    assert main_text(f"<article>{scraps}<div><h1>Head</h1><p>Ann</p><p>Bob</p><p>{LONG}</p></div></article>") == f"Head Ann Bob {LONG.strip()}"
+    assert main_text("<article><p>Short.</p><p>All of it.</p></article>") == "Short. All of it."
+
+
 def test_html_links_titles_and_plain_menus():
     links = "".join(f"<li><a href=x>Reference number {i}</a>" for i in range(4))
     shown = " ".join(f"Reference number {i}" for i in range(4))
