@@ -11,7 +11,7 @@ from sparkwright.catalogue import ORACLES, QUERIES
 from tests.test_queries import SF, plain, pytestmark  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
-NAMES = ["haar_levels", "haar_round_trip", "length_batches", "overlap_add", "random_batches", "rolling_windows", "sequence_targets", "window_spectra", "shift_left", "shift_right"]
+NAMES = ["haar_levels", "haar_round_trip", "length_batches", "overlap_add", "random_batches", "rolling_windows", "sequence_targets", "window_spectra", "shift_left", "shift_right", "spectrum_round_trip"]
 SETTINGS = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
 
 
