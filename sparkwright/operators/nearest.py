@@ -52,24 +52,28 @@ def nearest(df: DataFrame, vector: str, prototypes: list[tuple[int, list[float]]
 
 
 BLOCKS = 16  # blocks on each side of a comparison of all pairs, as long as no block is too small or too large
-LEAST_BLOCK, MOST_BLOCK = 1024, 32_768  # rows of a block
+LEAST_BLOCK, MOST_BLOCK = 512, 131_072  # rows of a block
 TILE = 4_194_304  # distances that a task holds at a time
 
 
-def block_pairs(df: DataFrame, key: str, vector: str, size: int | None = None, extra: tuple[str, ...] = (), rows: int | None = None):
+def block_pairs(df: DataFrame, key: str, vector: str, size: int | None = None, extra: tuple[str, ...] = (), rows: int | None = None, once: bool = False):
     """All blocks of rows against all blocks, as a cogrouped pair of grouped frames (left by a, right by b).
 
+    once: two blocks meet once, as a <= b, and who compares them accounts for the rows of both; that halves copies and work.
+
     Each row is copied once for a block: BLOCKS times on each side whatever the number of rows, up to BLOCKS * MOST_BLOCK rows,
     and n / MOST_BLOCK times beyond. All-pairs measures are quadratic work by nature; this keeps what is shuffled
     near the input's size and spreads the work. Who compares two blocks should go through them by tiles().
     """
     n = df.count() if rows is None else rows
     blocks = max(1, -(-n // (size or min(max(-(-n // BLOCKS), LEAST_BLOCK), MOST_BLOCK))))
-    placed = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), *extra, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumn("other", every).withColumnRenamed("own", "a").withColumnRenamed("other", "b")
+    # floats stay floats while they are shuffled
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    placed = df.select(F.col(key).alias("key"), F.col(vector).cast(kind).alias("vector"), *extra, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    left = placed.withColumn("other", every(F.col("own") if once else F.lit(0), F.lit(blocks - 1))).withColumnRenamed("own", "a").withColumnRenamed("other", "b")
     # columns of its own, which a cogroup of a frame with itself needs
-    right = placed.withColumn("other", every).select(F.col("other").alias("a"), F.col("own").alias("b"), *[F.col(c).alias(c) for c in ("key", "vector", *extra)])
+    right = placed.withColumn("other", every(F.lit(0), F.col("own") if once else F.lit(blocks - 1))).select(F.col("other").alias("a"), F.col("own").alias("b"), *[F.col(c).alias(c) for c in ("key", "vector", *extra)])
     return left.groupBy("a", "b"), right.groupBy("a", "b")
 
 
@@ -79,6 +83,12 @@ def tiles(rows: int, columns: int):
     return (slice(i, i + step) for i in range(0, rows, step))
 
 
+def squares(rows: int, columns: int):
+    """Pairs of slices that cover rows times columns, of equal sides and within TILE; for sums, which may be made up in any order."""
+    side = max(1, int(TILE**0.5))
+    return ((slice(i, i + side), slice(j, j + side)) for i in range(0, rows, side) for j in range(0, columns, side))
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances by one matrix product on centred values."""
     shift = y.mean(axis=0)

@@ -33,6 +33,25 @@ def test_pairs_in_tiles(spark, monkeypatch):
     assert np.allclose((row[0], row[1]), (1 - behind[1], 1 - behind[0]))
 
 
+def test_blocks_that_meet_once(spark):
+    """Copies grow with the rows from 10 000 to 2 million, and half of them are left out; scores of several blocks equal NumPy's."""
+    for n in (10_000, 2_000_000):
+        df = spark.range(n).select("id", F.array(F.lit(1.0).cast("float")).alias("v"))
+        left, right = nearest.block_pairs(df, "id", "v", rows=n, once=True)
+        counts = [side.agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first() for side in ((left, right) if n < 20_000 else (left,))]
+        assert all(c[0] == nearest.BLOCKS * (nearest.BLOCKS + 1) // 2 for c in counts)
+        assert sum(c[1] for c in counts) <= (nearest.BLOCKS + 1) * n
+
+    rng = np.random.default_rng(7)
+    x, l = rng.normal(size=(1300, 2)).astype(np.float32), rng.integers(0, 3, 1300)
+    d = np.sqrt(((x[:, None].astype(float) - x) ** 2).sum(-1))
+    a = np.array([d[i, l == l[i]].sum() / ((l == l[i]).sum() - 1) for i in range(1300)])
+    b = np.array([min(d[i, l == k].mean() for k in range(3) if k != l[i]) for i in range(1300)])
+    df = spark.createDataFrame([(i, x[i].tolist(), int(l[i])) for i in range(1300)], "k long, v array<float>, l int")
+    got = {r["k"]: r["silhouette"] for r in cluster_metrics.silhouette_values(df, "k", "v", "l").collect()}
+    assert len(got) == 1300 and np.allclose([got[i] for i in range(1300)], (b - a) / np.maximum(a, b))
+
+
 def test_projections_by_batches(spark):
     m = projection.RunningSVD(rank=2)
     m.merge(np.random.default_rng(1).normal(size=(5, 2)))
