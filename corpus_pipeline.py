@@ -15,7 +15,7 @@ from sparkwright.llm.content_dedup import exact_dedup
 from sparkwright.llm.mixing import digest, mix_sources, number_repeats
 from sparkwright.llm.packing import pack_documents
 from sparkwright.llm.queries import tokenizer_path
-from sparkwright.llm.shared import mark, materialise, release, shared_folder
+from sparkwright.llm.shared import lean_batches, mark, materialise, release, shared_folder
 from sparkwright.llm.simhash import simhash_components
 from sparkwright.llm.toxicity import score_toxicity
 
@@ -56,6 +56,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts count as empty, as in every stage. No labels, or an empty table: nothing goes.
     """
+    lean_batches(spark)  # holds for the stages that follow, too
     _first[0] = mark()
     scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry_text_hash=True)
     bad = materialise(scores.filter("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("th").alias("_a"), F.col("th2").alias("_b")).distinct(), "toxic")

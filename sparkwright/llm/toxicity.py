@@ -28,7 +28,8 @@ HIT, LEARNED, STEM, YOU, CAPS, MASKED, MASKED_HIT, DRAWN = (1 << i for i in rang
 FEATURES = ["log_words", "seed_density", "learned_density", "stem_density", "hits", "kinds", "near_you", "you_density", "upper_share", "caps_density", "exclaim_rate", "question_rate", "punct_rate", "symbol_rate", "digit_rate", "masked_density", "masked_hits", "drawn_density"]
 STEMS = (4, 5, 6)
 REACH = 5  # words between an insult and a second person
-KNOWN_WORDS = 500_000  # words a task remembers before it begins anew; bounds memory, not results
+KNOWN_WORDS = 100_000  # words a task remembers before it begins anew; bounds memory, not results
+SLICE = 1000  # texts that a task holds apart from their batch at a time
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _MASK = re.compile(r"[^\W\d_][\d@$!|+*#%&]+[^\W\d_]")
@@ -115,7 +116,7 @@ def text_features(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataF
 
     def compute(batches):
         flags = _Flags(words)
-        for b in batches:
+        for b in (batch.slice(lo, SLICE) for batch in batches for lo in range(0, batch.num_rows, SLICE)):
             x = np.array([features_of(t, flags) for t in b.column("text").cast(pa.binary()).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(x[:, i]) for i in range(x.shape[1])]], names=[*keep, *FEATURES])
 

@@ -90,3 +90,19 @@ def test_stages_with_clashing_columns_and_an_empty_table(spark, tmp_path):
         assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
     assert corpus_pipeline.mixing(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.toxicity(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded(spark, tmp_path):
+    """After the first stage Spark hands Python a few MB of texts at a time, however long they are."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline.toxicity(spark, spark.createDataFrame([], schema), str(tmp_path))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    got = spark.sql("select repeat('word ', 10000) as text from range(0, 600, 1, 1)").mapInArrow(sizes, "n long").collect()
+    assert sum(r["n"] for r in got) > 30_000_000 and max(r["n"] for r in got) < 5_000_000
