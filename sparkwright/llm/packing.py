@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import unicodedata
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_of
+from .shared import give_back, materialise, text_of
 
 END = 2
-KNOWN_WORDS = 400_000  # remembered by a task, then forgotten; bounds memory, not results
-SLICE = 2_000_000  # characters tokenised at a time in a task
+KNOWN_WORDS = 100_000  # remembered by a task, then forgotten; bounds memory, not results
+SLICE = 500_000  # bytes tokenised at a time in a task; bounds memory, not results
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,6 +29,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    """Ids as 32-bit numbers: a list of them would take four times the memory."""
+    return array("I", ids).tobytes()
+
+
 class WordTokens:
     """Ids of texts for a tokenizer that drops white space: each distinct stretch without ASCII white space is encoded once.
 
@@ -60,13 +66,13 @@ class WordTokens:
             if not (self.uncased and w.isalpha() and w == w.lower()):
                 rest.append(w)
             elif w.isascii():
-                known[w] = [t.id for t in model(w)]
+                known[w] = _packed(t.id for t in model(w))
             elif unicodedata.is_normalized("NFC", w):
-                known[w] = [t.id for t in model(w.encode().decode("latin-1").translate(letters))]
+                known[w] = _packed(t.id for t in model(w.encode().decode("latin-1").translate(letters)))
             else:
                 rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[w] = e.ids
+            known[w] = _packed(e.ids)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # whole: string functions err on slices
@@ -81,8 +87,8 @@ class WordTokens:
             self.known, new = {}, vocabulary
         self._learn(new)
         parts = [self.known[w] for w in vocabulary]
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(lens.sum()))
+        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), np.uint32)
         starts = np.r_[0, np.cumsum(lens)[:-1]] if len(lens) else lens
         n = lens[index]
         upto = np.r_[0, np.cumsum(n)]
@@ -112,6 +118,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
                 ids = pa.array(out.pop("ids"), pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column("id").take(row), *[pa.array(v, pa.int64()) for v in out.values()], ids], names=["id", *out, "ids"])
                 at = to
+        del encode
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise, small, text_of
+from .shared import components, give_back, materialise, small, text_of
 
 WHITE = bytes([32, 9, 10, 11, 12, 13])
 SEED = 42
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
         for b in batches:
             fp = np.array([fingerprint(x, size) for x in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(hash_texts, f"id {kind}, fp bigint")
 

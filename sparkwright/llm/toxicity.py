@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_of
+from .shared import give_back, materialise, text_of
 
 #: Insults that count in any language's text.
 SEED_WORDS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool fools imbecile cretin jerk bastard scumbag filth filthy vermin retard retarded ugly hateful crap bitch whore slut shit fuck fucking asshole arschloch idioten dumm scheisse abschaum dreck salaud connard idiote imbécile débile ordure merde idiota estúpido estúpida imbécil basura mierda pendejo".split())
@@ -119,6 +119,8 @@ def text_features(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataF
         for b in (batch.slice(lo, SLICE) for batch in batches for lo in range(0, batch.num_rows, SLICE)):
             x = np.array([features_of(t, flags) for t in b.column("text").cast(pa.binary()).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(x[:, i]) for i in range(x.shape[1])]], names=[*keep, *FEATURES])
+        flags.clear()
+        give_back()
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], *[f"{c} double" for c in FEATURES]])
     return docs.select(*keep, "text").mapInArrow(compute, schema)

@@ -106,3 +106,23 @@ def test_batches_of_long_texts_are_bounded(spark, tmp_path):
 
     got = spark.sql("select repeat('word ', 10000) as text from range(0, 600, 1, 1)").mapInArrow(sizes, "n long").collect()
     assert sum(r["n"] for r in got) > 30_000_000 and max(r["n"] for r in got) < 5_000_000
+
+
+def test_packing_remembers_little():
+    """What a task remembers of 200 000 words stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from sparkwright.llm.packing import WordTokens
+
+    encode = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    tracemalloc.start()
+    try:
+        for i in range(40):
+            encode(pa.array([" ".join(f"w{i}x{j}" for j in range(5000))]))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 25_000_000
