@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 import zlib
-from array import array
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from .shared import give_back, materialise, text_of
 
 END = 2
-KNOWN_WORDS = 100_000  # remembered by a task, then forgotten; bounds memory, not results
+KNOWN_WORDS = 200_000  # remembered by a task, the rarer half then forgotten; bounds memory, not results
+KNOWN_BYTES = 8_000_000  # the same for the bytes of these words and of their ids
 SLICE = 500_000  # bytes tokenised at a time in a task; bounds memory, not results
 
 
@@ -29,11 +29,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def _packed(ids: Iterable[int]) -> bytes:
-    """Ids as 32-bit numbers: a list of them would take four times the memory."""
-    return array("I", ids).tobytes()
-
-
 class WordTokens:
     """Ids of texts for a tokenizer that drops white space: each distinct stretch without ASCII white space is encoded once.
 
@@ -50,7 +45,8 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self._remember(pa.array([], pa.large_string()), *(np.empty(0, t) for t in (np.int64, np.uint32, np.int64)))
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         probes = ["the", "straße", "éàñ", "日本語", "thing"]
         self.uncased = all(self._word(w) == ids(w) == ids(w.upper() if w != "straße" else w) == ids(w + ",")[: len(ids(w))] for w in probes) and ids("the.") == ids("the .")
@@ -60,19 +56,40 @@ class WordTokens:
             word = word.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
-    def _learn(self, words: list[str]) -> None:
-        rest, known, letters, model = [], self.known, self.letters, self.tokenizer.model.tokenize
-        for w in words:
+    def _remember(self, words: pa.Array, lens: np.ndarray, ids: np.ndarray, seen: np.ndarray) -> None:
+        """Flat arrays of what is known, as an object for each word takes many times the memory: words, number of ids, ids, times seen."""
+        self.words, self.lens, self.ids, self.seen = words, lens, ids, seen
+
+    def _ids_at(self, places: np.ndarray) -> np.ndarray:
+        n, starts = self.lens[places], np.cumsum(self.lens) - self.lens
+        return self.ids[np.repeat(starts[places] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def _forget(self) -> None:
+        """Of the known words the half seen most often stays, or none if even that is too much."""
+        kept = np.sort(np.argsort(-self.seen, kind="stable")[: KNOWN_WORDS // 2])
+        words = self.words.take(pa.array(kept))
+        if words.nbytes > KNOWN_BYTES // 2:
+            words, kept = words[:0], kept[:0]
+        self._remember(words, self.lens[kept], self._ids_at(kept), self.seen[kept] // 2)
+
+    def _learn(self, words: pa.Array) -> None:
+        encoded, rest, letters, model = [], [], self.letters, self.tokenizer.model.tokenize
+        for w in words.to_pylist():
             if not (self.uncased and w.isalpha() and w == w.lower()):
-                rest.append(w)
+                rest.append((len(encoded), w))
+                encoded.append(None)
             elif w.isascii():
-                known[w] = _packed(t.id for t in model(w))
+                encoded.append([t.id for t in model(w)])
             elif unicodedata.is_normalized("NFC", w):
-                known[w] = _packed(t.id for t in model(w.encode().decode("latin-1").translate(letters)))
+                encoded.append([t.id for t in model(w.encode().decode("latin-1").translate(letters))])
             else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[w] = _packed(e.ids)
+                rest.append((len(encoded), w))
+                encoded.append(None)
+        for (i, _), e in zip(rest, self.tokenizer.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
+            encoded[i] = e.ids
+        lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(lens.sum()))
+        self._remember(pa.concat_arrays([self.words, words]), np.r_[self.lens, lens], np.r_[self.ids, ids], np.r_[self.seen, np.zeros_like(lens)])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # whole: string functions err on slices
@@ -81,24 +98,25 @@ class WordTokens:
             texts = pc.if_else(pc.match_substring(texts, self.DOTTED), texts, pc.replace_substring_regex(texts, self.MARKS, r"\1 \2\3"))
         lists = pc.ascii_split_whitespace(texts)
         stretch = lists.flatten().dictionary_encode()
-        vocabulary, index = stretch.dictionary.to_pylist(), stretch.indices.to_numpy(zero_copy_only=False)
-        new = [w for w in vocabulary if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, vocabulary
+        vocabulary, index = stretch.dictionary, stretch.indices.to_numpy(zero_copy_only=False)
+        place = pc.index_in(vocabulary, self.words)
+        new = vocabulary.filter(place.is_null())
+        if len(self.words) and (len(self.words) + len(new) > KNOWN_WORDS or self.words.nbytes + self.ids.nbytes + new.nbytes > KNOWN_BYTES):
+            self._forget()
+            place = pc.index_in(vocabulary, self.words)
+            new = vocabulary.filter(place.is_null())
+        at, unknown = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), place.is_null().to_numpy(zero_copy_only=False)
+        at[unknown] = len(self.words) + np.arange(len(new))
         self._learn(new)
-        parts = [self.known[w] for w in vocabulary]
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        starts = np.r_[0, np.cumsum(lens)[:-1]] if len(lens) else lens
-        n = lens[index]
-        upto = np.r_[0, np.cumsum(n)]
-        ids = flat[np.repeat(starts[index] - upto[:-1], n) + np.arange(upto[-1])]
+        self.seen[at] += np.bincount(index, minlength=len(at))
+        places = at[index]
+        ids, upto = self._ids_at(places), np.r_[0, np.cumsum(self.lens[places])]
         ends = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most `capacity` ids of each document (its ids, then the end id): id, start, length, ids_crc32, doc_tokens, ids."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pieces of at most `capacity` ids of each document (its ids, then the end id): id, start, length, ids_crc32, doc_tokens, and ids unless with_ids is false."""
 
     def cut(batches):
         encode = WordTokens(tokenizer_path)
@@ -114,16 +132,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
                         piece = ids[s : s + capacity]
                         for k, v in zip(out, (i, s, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece), strict=True):
                             out[k].append(v)
-                row = pa.array(out.pop("row"), pa.int64())
-                ids = pa.array(out.pop("ids"), pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column("id").take(row), *[pa.array(v, pa.int64()) for v in out.values()], ids], names=["id", *out, "ids"])
+                row, ids = pa.array(out.pop("row"), pa.int64()), out.pop("ids")
+                columns = {"id": rows.column("id").take(row), **{k: pa.array(v, pa.int64()) for k, v in out.items()}}
+                if with_ids:
+                    columns["ids"] = pa.array(ids, pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(columns)
                 at = to
         del encode
         give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>")
+    return rows.mapInArrow(cut, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
 
 
 class Tournament:
@@ -189,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, g
     are not read. An empty table gives an empty result. Only lengths,
     never ids, are shuffled; token_pieces() gives the ids for writing sequences (sequences()).
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity, id_col, text_col).drop("ids")
+    pieces = token_pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids=False)
     return pack_pieces(pieces, capacity, group_docs).withColumnRenamed("id", id_col)
 
 

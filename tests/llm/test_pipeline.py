@@ -126,3 +126,53 @@ def test_packing_remembers_little():
     finally:
         tracemalloc.stop()
     assert held < 25_000_000
+
+
+def test_packing_keeps_the_frequent_words():
+    """Words that come again and again are encoded once, however many rare ones lie between; ids stay the tokenizer's."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from sparkwright.llm.packing import WordTokens
+
+    learned = []
+
+    class Watched(WordTokens):
+        def _learn(self, words):
+            learned.extend(map(str, words))
+            super()._learn(words)
+
+    encode = Watched(public_tokenizers.path("word_bpe_49k.json"))
+    often = [f"often{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    for k in range(60):
+        text = " ".join([*often, *(f"r{k}x{j}" for j in range(5000)), *often])
+        (got,) = encode(pa.array([text]))
+    assert len(set(learned)) == 100 + 60 * 5000  # more than is remembered
+    assert sum(w.startswith("often") for w in learned) == 100
+    assert got.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_remembers_few_bytes():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from sparkwright.llm.packing import KNOWN_BYTES, WordTokens
+
+    encode = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(24):
+        text = " ".join(f"{k}{j}" + "long" * 500 for j in range(250))
+        (got,) = encode(pa.array([text]))
+        assert encode.words.nbytes + encode.ids.nbytes < KNOWN_BYTES + 2_000_000
+    assert got.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_leaves_ids_out(spark):
+    import public_tokenizers
+
+    from sparkwright.llm.packing import token_pieces
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (None, "four " * 30)], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    short, whole = (token_pieces(docs, path, 16, with_ids=w) for w in (False, True))
+    assert short.columns == ["id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(repr, short.collect())) == sorted(map(repr, whole.drop("ids").collect()))
