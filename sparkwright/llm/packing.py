@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import os
+import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from .shared import give_back, materialise, text_of
 END = 2
 KNOWN_WORDS = 200_000  # remembered by a task, the rarer half then forgotten; bounds memory, not results
 KNOWN_BYTES = 8_000_000  # the same for the bytes of these words and of their ids
-SLICE = 500_000  # bytes tokenised at a time in a task; bounds memory, not results
+SLICE = 1_000_000  # bytes tokenised at a time in a task; bounds memory, not results
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,7 +38,8 @@ class WordTokens:
     a word are split off before (not in texts with a dotted capital I), and plain words go to its vocabulary model directly, which leaves far fewer and cheaper stretches.
     """
 
-    MARKS = r"(\pL|\pN)([.,;:!?]+)(\s|$)"
+    SPLIT = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # no apostrophe, which begins endings of words, and nothing of a special token's brackets
+    MARKS = rf"(\pL|\pN)([{re.escape(SPLIT)}]+)(\s|$)"
     SPECIAL = "<|"  # texts with special tokens keep their case
     DOTTED = "\u0130"  # the one letter that lower-casing turns into a letter and a combining dot, which takes a mark behind it along
 
@@ -49,7 +51,7 @@ class WordTokens:
         self._remember(pa.array([], pa.large_string()), *(np.empty(0, t) for t in (np.int64, np.uint32, np.int64)))
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         probes = ["the", "straße", "éàñ", "日本語", "thing"]
-        self.uncased = all(self._word(w) == ids(w) == ids(w.upper() if w != "straße" else w) == ids(w + ",")[: len(ids(w))] for w in probes) and ids("the.") == ids("the .")
+        self.uncased = all(self._word(w) == ids(w) == ids(w.upper() if w != "straße" else w) == ids(w + ",")[: len(ids(w))] for w in probes) and all(ids(f"the{m}") == ids(f"the {m}") for m in [*self.SPLIT, self.SPLIT])
 
     def _word(self, word: str) -> list[int]:
         if not word.isascii():
@@ -72,24 +74,30 @@ class WordTokens:
             words, kept = words[:0], kept[:0]
         self._remember(words, self.lens[kept], self._ids_at(kept), self.seen[kept] // 2)
 
-    def _learn(self, words: pa.Array) -> None:
-        encoded, rest, letters, model = [], [], self.letters, self.tokenizer.model.tokenize
-        for w in words.to_pylist():
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Places of these words, all new, among the known ones."""
+        ids, ends, rest, letters, model = array("I"), [0], [], self.letters, self.tokenizer.model.tokenize
+        for i, w in enumerate(words.to_pylist()):
             if not (self.uncased and w.isalpha() and w == w.lower()):
-                rest.append((len(encoded), w))
-                encoded.append(None)
-            elif w.isascii():
-                encoded.append([t.id for t in model(w)])
-            elif unicodedata.is_normalized("NFC", w):
-                encoded.append([t.id for t in model(w.encode().decode("latin-1").translate(letters))])
-            else:
-                rest.append((len(encoded), w))
-                encoded.append(None)
-        for (i, _), e in zip(rest, self.tokenizer.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
-            encoded[i] = e.ids
-        lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(lens.sum()))
-        self._remember(pa.concat_arrays([self.words, words]), np.r_[self.lens, lens], np.r_[self.ids, ids], np.r_[self.seen, np.zeros_like(lens)])
+                rest.append((i, w))
+                continue
+            if not w.isascii():
+                if not unicodedata.is_normalized("NFC", w):
+                    rest.append((i, w))
+                    continue
+                w = w.encode().decode("latin-1").translate(letters)
+            ids.extend([t.id for t in model(w)])
+            ends.append(len(ids))
+        for e in self.tokenizer.encode_batch([w for _, w in rest], add_special_tokens=False):
+            ids.extend(e.ids)
+            ends.append(len(ids))
+        behind = np.zeros(len(words), bool)  # these were encoded last
+        behind[[i for i, _ in rest]] = True
+        order = np.argsort(behind, kind="stable")
+        places = np.empty(len(words), np.int64)
+        places[order] = len(self.words) + np.arange(len(words))
+        self._remember(pa.concat_arrays([self.words, words.take(pa.array(order))]), np.r_[self.lens, np.diff(ends)], np.r_[self.ids, np.array(ids, np.uint32)], np.r_[self.seen, np.zeros_like(order)])
+        return places
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # whole: string functions err on slices
@@ -106,8 +114,7 @@ class WordTokens:
             place = pc.index_in(vocabulary, self.words)
             new = vocabulary.filter(place.is_null())
         at, unknown = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), place.is_null().to_numpy(zero_copy_only=False)
-        at[unknown] = len(self.words) + np.arange(len(new))
-        self._learn(new)
+        at[unknown] = self._learn(new)
         self.seen[at] += np.bincount(index, minlength=len(at))
         places = at[index]
         ids, upto = self._ids_at(places), np.r_[0, np.cumsum(self.lens[places])]

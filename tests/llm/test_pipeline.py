@@ -140,7 +140,7 @@ def test_packing_keeps_the_frequent_words():
     class Watched(WordTokens):
         def _learn(self, words):
             learned.extend(map(str, words))
-            super()._learn(words)
+            return super()._learn(words)
 
     encode = Watched(public_tokenizers.path("word_bpe_49k.json"))
     often = [f"often{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
@@ -176,3 +176,22 @@ def test_packing_leaves_ids_out(spark):
     short, whole = (token_pieces(docs, path, 16, with_ids=w) for w in (False, True))
     assert short.columns == ["id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(repr, short.collect())) == sorted(map(repr, whole.drop("ids").collect()))
+
+
+def test_packing_splits_marks_from_words():
+    """Whatever marks follow a word, only the word and its marks are encoded, and ids stay the tokenizer's."""
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from sparkwright.llm.packing import WordTokens
+
+    rng, encode = random.Random(5), WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = ["Word", "é", "e\u0301", "ß", "7", "½", "日本", "it's", "<|endoftext|>", "<|", "|>", " ", "\n", "\u00a0", "\u0338", "İ", *map(chr, range(33, 127))]
+    texts = ["".join(rng.choices(tokens, k=rng.randrange(40))) for _ in range(4000)]
+    want = [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encode(pa.array(texts))] == want
+    encode = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    encode(pa.array([f"thing{m * n}" for m in "$%&#*" for n in (1, 3)]))
+    assert len(encode.words) == 11  # "thing" and the ten runs of marks
