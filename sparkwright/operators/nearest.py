@@ -56,10 +56,11 @@ LEAST_BLOCK, MOST_BLOCK = 512, 131_072  # rows of a block
 TILE = 4_194_304  # distances that a task holds at a time
 
 
-def block_pairs(df: DataFrame, key: str, vector: str, size: int | None = None, extra: tuple[str, ...] = (), rows: int | None = None, once: bool = False):
+def block_pairs(df: DataFrame, key: str, vector: str, size: int | None = None, extra: tuple[str, ...] = (), rows: int | None = None, once: bool = False, dealt: bool = False):
     """All blocks of rows against all blocks, as a cogrouped pair of grouped frames (left by a, right by b).
 
     once: two blocks meet once, as a <= b, and who compares them accounts for the rows of both; that halves copies and work.
+    dealt: over twice as many tasks as there are cells, so that none has many of them and free cores take the next.
 
     Each row is copied once for a block: BLOCKS times on each side whatever the number of rows, up to BLOCKS * MOST_BLOCK rows,
     and n / MOST_BLOCK times beyond. All-pairs measures are quadratic work by nature; this keeps what is shuffled
@@ -74,6 +75,9 @@ def block_pairs(df: DataFrame, key: str, vector: str, size: int | None = None, e
     left = placed.withColumn("other", every(F.col("own") if once else F.lit(0), F.lit(blocks - 1))).withColumnRenamed("own", "a").withColumnRenamed("other", "b")
     # columns of its own, which a cogroup of a frame with itself needs
     right = placed.withColumn("other", every(F.lit(0), F.col("own") if once else F.lit(blocks - 1))).select(F.col("other").alias("a"), F.col("own").alias("b"), *[F.col(c).alias(c) for c in ("key", "vector", *extra)])
+    if dealt:
+        tasks = blocks * (blocks + 1 if once else 2 * blocks)
+        left, right = left.repartition(tasks, "a", "b"), right.repartition(tasks, "a", "b")
     return left.groupBy("a", "b"), right.groupBy("a", "b")
 
 

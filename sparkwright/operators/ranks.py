@@ -66,13 +66,14 @@ class Block:
     def __len__(self) -> int:
         return len(self.x)
 
-    def scaled(self, shift: np.ndarray, scale: float) -> None:
-        """What tiles need, in units in which no vector is longer than 1: bounds that squared distances are held against."""
-        self.scale, self.moved = scale, (self.x - shift) * scale
-        self.long = np.sqrt((self.moved**2).sum(axis=1))
+    def scaled(self, shift: np.ndarray, scale: float) -> np.ndarray:
+        """The vectors moved, in units in which none is longer than 1, and in these the bounds that tiles are held against."""
+        moved = (self.x - shift) * scale
+        self.scale, self.long = scale, np.sqrt((moved**2).sum(axis=1))
         self.low = np.where(self.far > SLACK, ((self.far - SLACK) * scale) ** 2, NONE)
         self.high = np.where(self.far > NONE, ((self.far + SLACK) * scale) ** 2, NONE)
         self.bound = np.full(len(self), np.inf)
+        return moved
 
     def tile(self, d: np.ndarray, at: int, to: Block, start: int, error: np.ndarray, axis: int, flags: np.ndarray, now: bool) -> None:
         """Take in squared distances d, of own vectors from `at` along the other axis to those of `to` from `start` along `axis`.
@@ -197,13 +198,12 @@ def meet(a: Block, b: Block, both: bool) -> None:
     shift = a.x.mean(axis=0)
     most = max(float(np.sqrt(((p.x - shift) ** 2).sum(axis=1)).max()) for p in (a, b))
     scale = 2.0 ** -np.ceil(np.log2(most)) if most > 0 else 1.0
-    for p in (a, b):
-        p.scaled(shift, scale)
     m, wide = a.x.shape[1], -(-len(b) // 8) * 8
     # |x|^2 - 2xy + |y|^2 as one product; what fills up is infinitely far
     left, right = np.ones((len(a), m + 2), np.float32), np.zeros((m + 2, wide), np.float32)
-    left[:, :m], left[:, m] = -2 * a.moved, a.long**2
-    right[:m, : len(b)], right[m], right[m + 1, : len(b)], right[m + 1, len(b) :] = b.moved.T, 1, b.long**2, np.inf
+    left[:, :m] = -2 * a.scaled(shift, scale)
+    right[:m, : len(b)] = b.scaled(shift, scale).T
+    left[:, m], right[m], right[m + 1, : len(b)], right[m + 1, len(b) :] = a.long**2, 1, b.long**2, np.inf
     unit = (m + 16) * 2.0**-24  # of rounding of inputs, products, sums and bounds
     error = lambda x, y: unit * (x + y.max()) ** 2 + 1e-30
     space, marks = np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS, bool)
